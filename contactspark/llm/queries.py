@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import decontam, licenses, mixing, sharding
+from contactspark.llm import decontam, licenses, minhash, mixing, sharding, tokens, toxicity
 from contactspark.llm.common import documents
 
 
@@ -32,10 +32,28 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", level("lang"), level("source"), "n_tokens", "copies")
 
 
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.written(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op3_license_scan": license_scan,
     "op4_byte_shards": sharded,
+    "op5_token_ids": token_ids,
+    "op6_toxicity": toxic,
+    "op7_near_duplicates": near_duplicates,
     "op10_mixture": mixed,
 }
 
