@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import decontam, licenses, minhash, mixing, sharding, tokens, toxicity
+from contactspark.llm import decontam, licenses, minhash, mixing, sharding, suffix, tokens, toxicity
 from contactspark.llm.common import documents
 
 
@@ -47,6 +47,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix.without_repeats(documents(spark, sf_dir), 200)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op3_license_scan": license_scan,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_ids": token_ids,
     "op6_toxicity": toxic,
     "op7_near_duplicates": near_duplicates,
+    "op9_repeated_passages": repeated_passages,
     "op10_mixture": mixed,
 }
 
