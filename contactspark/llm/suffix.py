@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``length`` bytes over it also starts somewhere else. Sorting every suffix of a corpus would move it
 many times over, so suffixes are first dealt to shards by content: each window of ``length`` bytes is named by the least hash
-of its short grams, neighbouring windows of one name form a block, and a name that occurs once can't repeat. Blocks equal to
+of its short grams, neighbouring windows named by the same place form a block, and a name that occurs once can't repeat. Blocks equal to
 another block repeat as a whole. The others meet by name in shards; each shard builds a suffix array by Larsson-Sadakane
 refinement and common prefixes by Kasai's rule, both in numpy. A name with very many different blocks is split over several
 shards, whose sorted windows are then merged by binary search.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from contactspark.llm.common import materialise
 
 GRAM = 32  # bytes; windows are named by their least gram
-RUN = 1024  # windows in a block at most
+PLACE = np.uint64(31)  # bits for a place in a text; the first of equal grams counts
 SPLIT = 400  # different blocks of one name that go to one shard
 SHARD_BYTES = 1 << 20
 NO_ID = -(1 << 63)
@@ -50,17 +50,14 @@ def sliding_minimum(h: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(names, first windows, numbers of windows, digests of the bytes) of the blocks of a text."""
-    raw = np.frombuffer(data, np.uint8)
-    names = sliding_minimum(gram_hashes(raw), length - GRAM + 1)
-    new = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    sizes = np.diff(np.append(new, len(names)))
-    if sizes.max() > RUN:
-        parts = -(-sizes // RUN)
-        at = np.repeat(new, parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        new, sizes = at, np.diff(np.append(at, len(names)))
+    h = gram_hashes(np.frombuffer(data, np.uint8))
+    least = sliding_minimum(h >> PLACE << PLACE | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+    place = (least & np.uint64((1 << 31) - 1)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    sizes = np.diff(np.append(new, len(place)))
     view, digest = memoryview(data), xxhash.xxh3_64_intdigest
     marks = [digest(view[a : a + n + length - 1]) for a, n in zip(new.tolist(), sizes.tolist())]
-    return names[new], new, sizes, marks
+    return h[place[new]], new, sizes, marks
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
