@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import decontam, licenses, minhash, mixing, sharding, suffix, tokens, toxicity
+from contactspark.llm import decontam, licenses, minhash, mixing, quality, sharding, suffix, tokens, topk, toxicity
 from contactspark.llm.common import documents
 
 
@@ -52,18 +52,37 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def best_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 64)
+    return topk.top_k(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+def good_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
+    "op2_exact_top_k": best_products,
     "op3_license_scan": license_scan,
     "op4_byte_shards": sharded,
     "op5_token_ids": token_ids,
     "op6_toxicity": toxic,
     "op7_near_duplicates": near_duplicates,
+    "op8_quality": good_text,
     "op9_repeated_passages": repeated_passages,
     "op10_mixture": mixed,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": """
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20""",
     "op3_license_scan": licenses.oracle(),
     "op10_mixture": mixing.oracle(),
 }
