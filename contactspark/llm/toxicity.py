@@ -131,7 +131,7 @@ class Reader:
     def hits(self, text: str) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]:
         """The words and (position, term, edits, quoted, aimed at a reader) of each hit."""
         words = text.lower().split()
-        new = set(words) - self.known.keys()
+        new = set(words).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, set(words)
         match, known = self.automaton.match, self.known
