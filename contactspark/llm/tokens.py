@@ -110,7 +110,7 @@ class Encoder:
         plain = [not t or "<|" not in t and (latin(t) is not None) for t in texts]
         split = [tail(r" \g<0>", t.lower()).split() if p and t else [] for t, p in zip(texts, plain)]
         seen = set().union(*split)
-        new = seen - self.words.keys()
+        new = seen.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words, new = {}, seen
         self._learn(new)
