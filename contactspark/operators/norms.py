@@ -119,7 +119,7 @@ def match_coverage(sym: DataFrame, batches: DataFrame, least: float = 0.8) -> Da
     all_rows = all_rows.withColumn("t", F.col("t") / F.sum("t").over(Window.partitionBy("chrom"))).where("t > 0")
     frame = all_rows.join(F.broadcast(cover.select("chrom", "batch").distinct()), "chrom").join(shares, ["chrom", "batch", "i"], "left").fillna(0.0, ["s"])
     ranked = frame.withColumns({"rs": tie_rank("s", ["chrom", "batch"]), "rt": tie_rank("t", ["chrom", "batch"])})
-    rho = ranked.groupBy("chrom", "batch").agg(F.corr("rs", "rt").alias("correlation"))
+    rho = ranked.groupBy("chrom", "batch").agg(F.when(F.stddev_pop("rs") * F.stddev_pop("rt") > 0, F.covar_pop("rs", "rt") / (F.stddev_pop("rs") * F.stddev_pop("rt"))).alias("correlation"))
     scale = F.when(F.col("correlation") < least, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(F.lit(0.0))).otherwise(F.lit(1.0))
     return frame.join(F.broadcast(rho), ["chrom", "batch"]).select("chrom", "batch", "i", "correlation", scale.alias("scale"))
 
