@@ -97,15 +97,16 @@ def plan(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS,
     return leaves.join(cuts, keys, "left")
 
 
-def mix(docs: DataFrame, leaf_plan: DataFrame, levels: tuple[str, ...] = LEVELS, seed: int = 7, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, leaf_plan: DataFrame, levels: tuple[str, ...] = LEVELS, seed: int = 7, id_col: str = "doc_id", copies: str = "copies") -> DataFrame:
     """``docs`` with ``copies``: in how many epochs of the mixture each row stands (0: in none). All columns are kept.
 
-    The plan's columns are renamed before the join, so documents may have columns of any name but ``copies``.
+    The plan's columns are renamed before the join, so documents may have columns of any name; one named as ``copies`` is
+    replaced.
     """
     leaf = leaf_plan.select(*[F.col(c).alias(f"__leaf_{c}") for c in levels], F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut"))
     on = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) == F.col(f"__leaf_{c}") for c in levels]
     extra = F.when(_key(seed, F.col("__epochs"), _identity(id_col)) <= F.col("__cut"), 1).otherwise(0)
-    return docs.join(_small(materialise(leaf, "mix-plan")), on, "left").withColumn("copies", (F.coalesce("__epochs", F.lit(0)) + extra).cast("int")).drop(*[f"__leaf_{c}" for c in levels], "__epochs", "__cut")
+    return docs.join(_small(materialise(leaf, "mix-plan")), on, "left").withColumn(copies, (F.coalesce("__epochs", F.lit(0)) + extra).cast("int")).drop(*[f"__leaf_{c}" for c in levels], "__epochs", "__cut")
 
 
 # The parameters of the registered query.

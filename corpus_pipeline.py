@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = mixing.with_domain(docs.withColumnRenamed("domain", "__domain"))
     weights = spark.createDataFrame(MIX_WEIGHTS, "path string, weight long")
     plan = mixing.plan(named, weights, budget=F.expr(MIX_BUDGET), max_epochs=1, seed=MIX_SEED)
-    kept = mixing.mix(named, plan, seed=MIX_SEED).where("copies > 0").drop("domain").withColumnRenamed("__domain", "domain")
+    kept = mixing.mix(named, plan, seed=MIX_SEED, copies="__copies").where("__copies > 0").drop("domain").withColumnRenamed("__domain", "domain")
     return kept.select(*docs.columns)
 
 
