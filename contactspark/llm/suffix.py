@@ -239,14 +239,20 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
             for m, x, y in zip(mine[b - a > 1], a[b - a > 1], b[b - a > 1]):
                 others = order[x:y]
                 hit[m] = bool(((owner[others] != i) & (low[others] == low[m])).any())
-        keep = rows[hit & (rows[:, 5] == 0)]
-        keep = keep[np.lexsort((keep[:, 4], keep[:, 3], keep[:, 2]))]
-        new = np.concatenate([[True], (np.diff(keep[:, 2]) != 0) | (np.diff(keep[:, 3]) != 0) | (np.diff(keep[:, 4]) != 1)]) if len(keep) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(keep)) - 1 if len(first) else first
-        return pa.Table.from_arrays([pa.array(keep[first, 2]), pa.array(keep[first, 3]), pa.array(keep[first, 4]), pa.array(keep[last, 4] + length)], schema=SPANS)
-
-    merged = sorted_shards.where("windows is not null").groupBy("range").applyInArrow(merge, "doc long, mark long, low long, high long")
+        keep = rows[hit & (rows[:, 5] == 0)][:, 2:5]
+        to = (keep[:, 0] ^ keep[:, 1]) % ranges
+        return pa.table({"bucket": pa.array(np.unique(to)), "hits": pa.array([keep[to == t].tobytes() for t in np.unique(to).tolist()], pa.binary())})
+
+    def join_hits(table: pa.Table) -> pa.Table:
+        """The single windows of the same documents as ranges."""
+        keep = np.concatenate([np.frombuffer(v.as_buffer(), np.int64).reshape(-1, 3) for v in table["hits"].combine_chunks()])
+        keep = keep[np.lexsort((keep[:, 2], keep[:, 1], keep[:, 0]))]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(keep[:, 0]) != 0) | (np.diff(keep[:, 1]) != 0) | (np.diff(keep[:, 2]) > length)]))
+        last = np.append(first[1:], len(keep)) - 1
+        return pa.Table.from_arrays([pa.array(keep[first, 0]), pa.array(keep[first, 1]), pa.array(keep[first, 2]), pa.array(keep[last, 2] + length)], schema=SPANS)
+
+    merged = sorted_shards.where("windows is not null").groupBy("range").applyInArrow(merge, "bucket long, hits binary")
+    merged = merged.groupBy("bucket").applyInArrow(join_hits, "doc long, mark long, low long, high long")
     inside = sorted_shards.where("windows is null").select("doc", "mark", "low", "high")
     return whole.unionByName(inside).unionByName(merged)
 
