@@ -27,7 +27,7 @@ def query(name: str, text: str | None = None):
 CHROM, CELL = ["chrom"], ["cell_id", "chrom"]
 
 
-@query("n3_row_correlation", sql("""SELECT chrom, i, j, c AS v FROM (SELECT a.chrom, a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1 ELSE round((sum(a.v * b.v) / 40 - avg(a.v) * avg(b.v)) / (sqrt(sum(a.v * a.v) / 40 - avg(a.v) ** 2) * sqrt(sum(b.v * b.v) / 40 - avg(b.v) ** 2)), 5) END AS c
+@query("n3_row_correlation", sql("""SELECT chrom, i, j, c AS v FROM (SELECT a.chrom, a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1 ELSE round((sum(a.v * b.v) / 40 - avg(a.v) * avg(b.v)) / nullif(sqrt(sum(a.v * a.v) / 40 - avg(a.v) ** 2) * sqrt(sum(b.v * b.v) / 40 - avg(b.v) ** 2), 0), 5) END AS c
 FROM full_map a JOIN full_map b ON a.chrom = b.chrom AND a.j = b.j GROUP BY a.chrom, a.i, b.i) WHERE abs(c) > 1e-4""", "bulk", "bins").replace("\nSELECT chrom, i, j, c", ", full_map AS (SELECT c.chrom, c.i, c.j, CAST(coalesce(v, 0) AS DOUBLE) AS v FROM (SELECT a.chrom, a.bin AS i, b.bin AS j FROM bins a JOIN bins b USING (chrom)) c LEFT JOIN bulk USING (chrom, i, j))\nSELECT chrom, i, j, c", 1))
 def _(spark, d):
     return L.row_correlation(X.bulk(spark, d), CHROM, X.index(spark)).select("chrom", "i", "j", F.round("v", 5).alias("v")).where("abs(v) > 1e-4")
