@@ -22,6 +22,7 @@ from contactspark.llm.common import id_and_text, materialise
 ROWS = 4  # signature values in a band
 MISS = 1e-5  # chance that a pair exactly at the threshold shares no band
 CHUNK = 4096  # members of a bucket that meet in one group at most
+BLOCK_BYTES = 1 << 19  # of sets that are fetched together for the last comparisons
 REMEMBERED = 400_000
 SEED = 20_240_501
 FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
@@ -37,7 +38,7 @@ class Shingler:
     def of(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "replace").lower().split() if text else []
         known = self.known
-        new = set(words) - known.keys()
+        new = set(words).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set(words)
@@ -52,7 +53,8 @@ class Shingler:
             out ^= out >> np.uint64(29)
         out *= self.odd[-1]
         out ^= out >> np.uint64(32)
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def bands_for(percent: int) -> int:
@@ -61,12 +63,11 @@ def bands_for(percent: int) -> int:
 
 def signature(shingles: np.ndarray, odd: np.ndarray, values: int) -> np.ndarray:
     """Minimum and maximum of each permutation, ``values`` of them in all."""
-    low, high = np.full(len(odd), ~np.uint64(0)), np.zeros(len(odd), np.uint64)
+    low, high = np.full(len(odd), np.iinfo(np.int64).max), np.full(len(odd), np.iinfo(np.int64).min)
     for at in range(0, len(shingles), 8192):
-        z = np.multiply.outer(shingles[at : at + 8192], odd)
-        z ^= z >> np.uint64(31)
-        low, high = np.minimum(low, z.min(axis=0)), np.maximum(high, z.max(axis=0))
-    return np.stack([low, high], axis=1).ravel()[:values]
+        z = np.multiply.outer(odd, shingles[at : at + 8192]).view(np.int64)
+        low, high = np.minimum(low, z.min(axis=1)), np.maximum(high, z.max(axis=1))
+    return np.stack([low, high], axis=1).ravel()[:values].view(np.uint64)
 
 
 def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,6 +116,16 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
@@ -123,8 +134,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u8") for k in (2, 3))
-                both = len(x) + len(y) - len(np.union1d(x, y)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if alike(x, y, percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
 
@@ -134,10 +144,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Pairs of one bucket in different components that are alike enough by their signatures.
+    """Pairs of one bucket in different components that are alike enough by their signatures, packed by the blocks they are in.
 
-    ``members``: (bucket, rep, component, signature). The rows outside a bucket's largest component meet all its rows, in
-    groups of CHUNK by CHUNK at most. With ``nearest``, only so many partners for each row and component.
+    ``members``: (bucket, band, rep, component, signature, block). The rows outside a bucket's largest component meet all its
+    rows, in groups of CHUNK by CHUNK at most; a pair counts in the first band that it shares. With ``nearest``, only so many
+    partners for each row and component. Returns (x, y, pairs): blocks x <= y and int64 pairs (rep of x, rep of y).
     """
     by_component = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     top = by_component.groupBy("bucket").agg(F.max(F.struct("n", F.col("component"))).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
@@ -150,31 +161,65 @@ def _apart(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         out = np.array(table["out"].to_pylist())
-        rep, part = table["rep"].to_numpy(), table["component"].to_numpy()
+        rep, part, block = (table[c].to_numpy() for c in ("rep", "component", "block"))
+        band = table["band"][0].as_py()
         sig = np.array([np.frombuffer(s, np.uint16) for s in table["signature"].to_pylist()])
         floor = least - 4.5 * math.sqrt(least * (1 - least) / sig.shape[1])
-        y, (ry, py, sy) = np.flatnonzero(out), (rep[~out], part[~out], sig[~out])
-        a, b = [], []
-        for i in y:
-            alike = (sy == sig[i]).mean(axis=1)
-            ok = np.flatnonzero((alike >= floor) & (py != part[i]))
+        rr, pr, br, sr = rep[~out], part[~out], block[~out], sig[~out]
+        pairs = []
+        for i in np.flatnonzero(out):
+            same = sr == sig[i]
+            share = same.mean(axis=1)
+            ok = np.flatnonzero((share >= floor) & (pr != part[i]))
+            ok = ok[same[ok].reshape(len(ok), sig.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band]
             if nearest and len(ok) > nearest:
-                ok = ok[np.argsort(-alike[ok], kind="stable")]
+                ok = ok[np.argsort(-share[ok], kind="stable")]
                 taken: dict[int, int] = {}
                 some = []
                 for j in ok.tolist():
-                    taken[py[j]] = taken.get(py[j], 0) + 1
-                    if taken[py[j]] <= nearest:
+                    taken[pr[j]] = taken.get(pr[j], 0) + 1
+                    if taken[pr[j]] <= nearest:
                         some.append(j)
                 ok = np.array(some, int)
-            a += [rep[i]] * len(ok)
-            b += ry[ok].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    columns = ["bucket", "line", "column", "rep", "component", "signature", "out"]
+            # rows outside the largest component meet each other in both roles; one is enough
+            pairs.append(np.stack([np.full(len(ok), block[i]), br[ok], np.full(len(ok), rep[i]), rr[ok]], axis=1))
+        found = np.concatenate(pairs) if pairs else np.zeros((0, 4), np.int64)
+        turn = (found[:, 0] > found[:, 1]) | (found[:, 0] == found[:, 1]) & (found[:, 2] > found[:, 3])
+        found[turn] = found[turn][:, [1, 0, 3, 2]]
+        found = found[np.lexsort(found.T[::-1])]
+        cuts = np.flatnonzero((np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) != 0)) + 1
+        packs = [g for g in np.split(found, cuts) if len(g)]
+        return pa.table({"x": pa.array([int(g[0, 0]) for g in packs], pa.int64()), "y": pa.array([int(g[0, 1]) for g in packs], pa.int64()), "pairs": pa.array([np.unique(g[:, 2:], axis=0).tobytes() for g in packs], pa.binary())})
+
+    columns = ["bucket", "line", "column", "band", "rep", "component", "signature", "block", "out"]
     grouped = right.select(*columns).unionByName(left.select(*columns)).groupBy("bucket", "line", "column")
-    pairs = grouped.applyInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return grouped.applyInArrow(run, "x long, y long, pairs binary").groupBy("x", "y").agg(F.collect_list("pairs").alias("pairs"))
+
+
+def _blocks(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, block) and (block, rows): sets packed in blocks of about BLOCK_BYTES, those that share buckets together."""
+    least = members.groupBy("bucket").agg(F.min("rep").alias("f"))
+    home = members.join(least, "bucket").groupBy("rep").agg(F.min("f").alias("family"))
+    sized = sets.select("rep", F.octet_length("set").alias("bytes")).join(home, "rep")
+    parts = sized.groupBy("family").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("k"))
+    block = materialise(sized.join(parts, "family").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("k"))).alias("block")), "blocks")
+    return block, materialise(sets.join(block, "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "set")).alias("rows")), "set-blocks")
+
+
+def _confirm_packed(packs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``_apart`` whose full sets reach the threshold; blocks meet, not rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                x, y = ({r["rep"].as_py(): np.frombuffer(r["set"].as_buffer(), "<u8") for r in batch.column(k)[at]} for k in (1, 2))
+                todo = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in batch.column(0)[at].as_py()])
+                links = [(a, b) for a, b in np.unique(todo, axis=0).tolist() if alike(x[a], y[b], percent)]
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], ["a", "b"])
+
+    left = blocks.select(F.col("block").alias("x"), F.col("rows").alias("xs"))
+    right = blocks.select(F.col("block").alias("y"), F.col("rows").alias("ys"))
+    return packs.join(left, "x").join(right, "y").select("pairs", "xs", "ys").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     found = materialise(features(docs, words, percent, id_col, text_col), "features")
     known = found.where("digest is not null and doc_id is not null")
     reps = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "reps")
-    members = reps.select(F.explode("bands").alias("bucket"), "rep")
+    members = reps.select(F.posexplode("bands").alias("band", "bucket"), "rep")
     order = F.struct(F.xxhash64("rep", "bucket").alias("h"), F.col("rep").alias("r"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order).alias("p"), F.max(order).alias("q")).where("n > 1").select("bucket", F.col("p.r").alias("p"), F.col("q.r").alias("q"))
     members = materialise(members.join(shared, "bucket"), "buckets")
@@ -208,15 +253,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     pairs = members.select(F.explode(F.array("p", "q")).alias("pivot"), "rep").where("pivot <> rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    tried, links = pairs, materialise(_confirm(pairs, sets, percent), "links")
-    signatures = reps.select("rep", "signature")
+    links = materialise(_confirm(pairs, sets, percent), "links")
+    block, packed = _blocks(members, sets)
+    known_rows = reps.select("rep", "signature").join(block, "rep")
     for nearest in (3, None):
         part = components(links).withColumnRenamed("node", "rep")
-        open_rows = members.select("bucket", "rep").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        pairs = _apart(open_rows.join(signatures, "rep"), percent, nearest).join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        links = materialise(links.unionByName(_confirm(pairs, sets, percent)), "links")
-        tried = tried.unionByName(pairs)
+        open_rows = members.select("bucket", "band", "rep").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        packs = _apart(open_rows.join(known_rows, "rep"), percent, nearest)
+        links = materialise(links.unionByName(_confirm_packed(packs, packed, percent)), "links")
     part = components(links).withColumnRenamed("node", "rep")
     classes = reps.select("digest", "rep").join(part, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "component_id")
