@@ -19,13 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import id_and_text
+from contactspark.llm.common import id_and_text, materialise
 
 #: Labelled rows that a model is fitted on at most, by the least hash of their id; half give the lexicon, half the weights.
 MAX_LABELLED = 16_000
 MAX_TERMS = 4_000
 FUZZY_TERMS = 200
 LEAST_TERM, PREFIXES = 4, (4, 5, 6)
+#: A term needs this many toxic texts, this log-odds of its rates and this log-likelihood ratio against equal rates.
+LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, math.log(2), 5.0
 WINDOW = 8
 REMEMBERED = 200_000
 EDGES = "\"'.,;:!?()[]{}<>*%&$#|/\\-_~`^+=@“”„«»‘’…"
@@ -190,28 +192,46 @@ def candidate_terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) > n}
 
 
-def mine(sample: DataFrame) -> list[tuple[str, int, int]]:
-    """(term, toxic texts, other texts) of terms that hardly occur in other texts, most frequent first; equal texts count once."""
+def log_odds(toxic: float, other: float, toxic_texts: int, other_texts: int) -> float:
+    """Smoothed log-odds of a term's rate in toxic texts against its rate in others."""
+    rate = lambda n, of: (n + 0.5) / (of - n + 0.5)
+    return math.log(rate(toxic, toxic_texts) / rate(other, other_texts))
+
+
+def mine(sample: DataFrame) -> list[tuple[str, int, int, float]]:
+    """(term, toxic texts, other texts, log-odds) of terms whose rate in toxic texts is clearly over that in others, most
+    frequent first; equal texts count once. Quoted uses don't rule a term out: rates are set against the class sizes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
                 counts[label == 1].update(candidate_terms(text))
+                counts[label == 1][""] += 1  # texts of the class
         terms = list(counts[True].keys() | counts[False].keys())
-        yield pd.DataFrame({"term": terms, "toxic": [counts[True][t] for t in terms], "other": [counts[False][t] for t in terms]})
+        if terms:
+            yield pd.DataFrame({"term": terms, "toxic": [counts[True][t] for t in terms], "other": [counts[False][t] for t in terms]})
 
     texts = sample.where("text is not null").groupBy(F.sha2("text", 256).alias("d")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
     counted = texts.select("text", "label").mapInPandas(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    kept = counted.where("toxic >= 5 and toxic >= 9 * other").orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
-    return [(r["term"], r["toxic"], r["other"]) for r in kept.collect()]
-
-
-def lexicon(counts: list[tuple[str, int, int]]) -> tuple[list[tuple[str, bool, int]], list[float]]:
+    counted = materialise(counted, "toxicity-terms")
+    size = counted.where("term = ''").first()
+    if not size or not size["toxic"] or not size["other"]:
+        return []
+    toxic, other = F.col("toxic"), F.col("other")
+    share = size["toxic"] / (size["toxic"] + size["other"])
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((toxic + other) * p))).otherwise(0.0)
+    odds = F.log((toxic + 0.5) / (size["toxic"] - toxic + 0.5) / ((other + 0.5) / (size["other"] - other + 0.5)))
+    clear = (toxic >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (part(toxic, share) + part(other, 1 - share) >= LEAST_EVIDENCE)
+    kept = counted.where("term <> ''").where(clear).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
+    return [(r["term"], r["toxic"], r["other"], log_odds(r["toxic"], r["other"], size["toxic"], size["other"])) for r in kept.collect()]
+
+
+def lexicon(counts: list[tuple[str, int, int, float]]) -> tuple[list[tuple[str, bool, int]], list[float]]:
     """Terms for the automaton and their log-odds; a term that an accepted beginning covers as well is left out."""
-    by = {t: (a, b) for t, a, b in counts}
+    by = {t: (a, b) for t, a, b, _ in counts}
     terms, weights, fuzzy = [], [], 0
-    for term, toxic, other in counts:
+    for term, toxic, _, odds in counts:
         stem, prefix = term.rstrip("*"), term.endswith("*")
         shorter = [stem[:n] + "*" for n in PREFIXES if n < len(stem)]
         if any(s in by and by[s][0] >= 2 * toxic for s in shorter):
@@ -220,7 +240,7 @@ def lexicon(counts: list[tuple[str, int, int]]) -> tuple[list[tuple[str, bool, i
         if not prefix and len(stem) >= 5 and fuzzy < FUZZY_TERMS:
             edits, fuzzy = 1 + (len(stem) >= 9), fuzzy + 1
         terms.append((stem, prefix, edits))
-        weights.append(min(6.0, math.log((toxic + 0.5) / (other + 0.5))))
+        weights.append(min(6.0, odds))
     return terms, weights
 
 
@@ -242,8 +262,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most ``most`` labelled documents; without labels it is one that gives every text the same low score."""
-    sample = labelled_sample(docs, labels, "toxic", modulus, held_out, most, id_col, text_col)
+    sample = materialise(labelled_sample(docs, labels, "toxic", modulus, held_out, most, id_col, text_col), "toxicity-sample")
     terms, weights = lexicon(mine(sample.where("half = 0")))
+    if not terms:
+        return Model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(terms, weights)
@@ -251,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
             yield pd.DataFrame({"f": [reader.features(t) for t in batch["text"]], "label": batch["label"]})
 
     rows = sample.where("half = 1").select("text", "label").mapInPandas(run, "f array<double>, label int").collect()
-    if not terms or len({r["label"] for r in rows}) < 2:
+    if len({r["label"] for r in rows}) < 2:
         return Model()
     mean, scale, coefficients, intercept = logistic(np.array([r["f"] for r in rows]), np.array([float(r["label"] == 1) for r in rows]))
     return Model(terms, weights, mean.tolist(), scale.tolist(), coefficients.tolist(), intercept)
