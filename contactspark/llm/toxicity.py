@@ -27,7 +27,7 @@ MAX_TERMS = 4_000
 FUZZY_TERMS = 200
 LEAST_TERM, PREFIXES = 4, (4, 5, 6)
 #: A term needs this many toxic texts, this log-odds of its rates and this log-likelihood ratio against equal rates.
-LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, math.log(2), 5.0
+LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, math.log(2), 10.0
 WINDOW = 8
 REMEMBERED = 200_000
 EDGES = "\"'.,;:!?()[]{}<>*%&$#|/\\-_~`^+=@“”„«»‘’…"
