@@ -8,16 +8,20 @@ distance decides.
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import id_and_text
+from contactspark.llm.common import id_and_text, materialise
 
 _SPACES = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long, item_length int"
+LEAK_NAMES = ["doc_id", "item_id", "distance", "start", "end", "item_length"]
+LEAK_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
 
 def normalise(text: str | None) -> str:
@@ -120,54 +124,72 @@ class Matcher:
         yield low, high
 
 
-def _blocks(items: DataFrame, least: int, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """The normalised items in blocks of at most ``limit`` bytes (or one item)."""
+_READY: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, block: Broadcast, rate: float) -> Matcher:
+    """The matcher of a block, built once in each Python worker."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = Matcher(block.value, rate)
+    return _READY[name]
+
+
+def _blocks(items: DataFrame, limit: int) -> Iterator[tuple[str, Broadcast]]:
+    """The normalised items in blocks of at most ``limit`` bytes (or one item), sent to the executors one by one."""
+    context = items.sparkSession.sparkContext
     block, size = [], 0
     for row in items.toLocalIterator():
         text = normalise(row["text"])
-        if len(text) < least or row["doc_id"] is None:
+        if not text or row["doc_id"] is None:
             continue
         if block and size + len(text) > limit:
-            yield block
+            yield uuid.uuid4().hex, context.broadcast(block)
             block, size = [], 0
         block.append((row["doc_id"], text))
         size += len(text)
-    yield block
+    yield uuid.uuid4().hex, context.broadcast(block)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least: int = 16, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end, item_length): every item that a document holds within its error budget.
 
     Places are bytes of the normalised text. The items reach the tasks in blocks of at most ``block_bytes``, one pass over
     the documents for each block, so what is sent has a fixed bound however large the benchmark is. Null or empty texts hold
-    nothing; items that are null, without id, or shorter than ``least`` normalised bytes take no part; repeated documents
-    each get their rows, repeated items each theirs; of several places with the least distance the first found is given.
+    nothing; items that are null, without id, or without a letter or digit take no part; an item whose budget is 0, as of
+    every short one, is searched as it stands; repeated documents each get their rows, repeated items each theirs; of several
+    places with the least distance the first found is given.
     """
 
-    def matches(block: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(block, rate)
+    def matches(name: str, block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = _matcher(name, block, rate).find
             for batch in batches:
-                rows = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["text"]) for hit in matcher.find(normalise(text))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end", "item_length"])
+                rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in find(normalise(text))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(LEAK_TYPES)], LEAK_NAMES)
 
-        return id_and_text(docs, id_col, text_col).where(F.length("text") > 0).mapInPandas(run, SCHEMA)
+        return id_and_text(docs, id_col, text_col).where(F.length("text") > 0).mapInArrow(run, SCHEMA)
 
     out = None
-    for block in _blocks(id_and_text(benchmark, item_col, item_text_col), least, block_bytes):
-        out = matches(block) if out is None else out.unionByName(matches(block))
+    for name, block in _blocks(id_and_text(benchmark, item_col, item_text_col), block_bytes):
+        out = matches(name, block) if out is None else out.unionByName(matches(name, block))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least: int = 16, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a test item, all columns kept. One narrow pass for each block; nothing is shuffled."""
-    schema, out = docs.schema, docs
-    for block in _blocks(id_and_text(benchmark, item_col, item_text_col), least, block_bytes):
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a test item, all columns kept as they are. Nothing is shuffled.
+
+    One narrow pass for each block of items, written out before the next, so a task holds one block's automaton. Rows with a
+    null or empty text stay, and so does every row if there are no items; repeated rows stay or go alike; columns may have
+    any name and hold nulls; an empty table gives no rows.
+    """
+    schema, text_at, out = docs.schema, docs.columns.index(text_col), docs
+    for n, (name, block) in enumerate(_blocks(id_and_text(benchmark, item_col, item_text_col), block_bytes)):
 
-        def run(batches: Iterator[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(block, rate)
+        def run(batches: Iterator[pa.RecordBatch], name: str = name, block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            find = _matcher(name, block, rate).find
             for batch in batches:
-                yield batch[[not matcher.find(normalise(text)) for text in batch[text_col]]]
+                yield batch.filter(pa.array([not find(normalise(text)) for text in batch.column(text_at).to_pylist()], pa.bool_()))
 
-        out = out.mapInPandas(run, schema)
+        out = (materialise(out, "decontaminated") if n else out).mapInArrow(run, schema)
     return out

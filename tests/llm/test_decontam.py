@@ -47,13 +47,22 @@ def test_matcher_like_brute_force(seed):
 
 def test_table(spark):
     item = "the quick brown fox jumps over the lazy dog and runs away from it all"
-    docs = [(1, f"so, THE quick  brown-fox jumps over the lazy dog; and runs\naway from it all! yes"), (2, None), (3, ""), (None, item), (4, "the quick brown fix jumps over the lazy dog and runs away from it oll"), (5, "clean text of no account"), (1, item), (6, "x" * 100_000 + item)]
-    bench = [(7, item), (8, "short"), (9, None), (None, item), (10, item)]
+    docs = [(1, f"so, THE quick  brown-fox jumps over the lazy dog; and runs\naway from it all! yes"), (2, None), (3, ""), (None, item), (4, "the quick brown fix jumps over the lazy dog and runs away from it oll"), (5, "clean text of no account"), (2**53 + 1, "cut short."), (1, item), (6, "x" * 100_000 + item)]
+    bench = [(7, item), (8, "Short!"), (9, None), (None, item), (10, item), (11, " ?")]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id")
     b = spark.createDataFrame(bench, "item_id long, text string").selectExpr("*", "2 AS doc_id")
     for block in (10, 8_000_000):
         got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(d, b, block_bytes=block).collect()), key=str)
-        assert got == sorted([(x, i, e) for x, e in ((1, 0), (None, 0), (4, 2), (1, 0), (6, 0)) for i in (7, 10)], key=str)
+        assert got == sorted([(x, i, e) for x, e in ((1, 0), (None, 0), (4, 2), (1, 0), (6, 0)) for i in (7, 10)] + [(2**53 + 1, 8, 0)], key=str)
     left = decontam.decontaminate(d, b)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 5]
     assert decontam.leaks(d, b.limit(0)).count() == 0 and decontam.decontaminate(d.limit(0), b).count() == 0
+
+
+def test_other_columns_come_back_as_they_are(spark):
+    rows = [(2**53 + 1, "fine", None, [1, None]), (None, "has an item here", 2**53 + 1, None), (3, None, 2**53 + 1, []), (3, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, item array<long>")
+    bench = spark.createDataFrame([(1, "An  item"), (2, "another")], "item_id long, text string")
+    for block in (5, 8_000_000):
+        left = decontam.decontaminate(docs, bench, block_bytes=block)
+        assert left.schema == docs.schema and sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.text != "has an item here")
