@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of our own where that is unset, in local mode only, as in tests.
+
+    On a cluster a folder of the driver's machine would lose every executor's rows, so there the setting is required.
+    """
     context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and context.getCheckpointDir().isDefined():
         found = context.getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="contactspark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)

@@ -2,12 +2,14 @@
 
 Each id takes the least number of bits that the vocabulary needs. A block holds the ids of whole consecutive documents with
 their lengths, so any document is found from its block's row and unpacked by numpy without reading other blocks. Blocks are
-rows of a Parquet table, which any store that Spark writes to can hold: (part, block, first, doc_ids, lengths, n_ids, bits,
-payload); ``first`` is the number of ids before the block in its part, and parts follow each other in ascending doc_id.
+rows of a Parquet table, which any store that Spark writes to can hold: (part, block, first, least_id, greatest_id, doc_ids,
+lengths, n_ids, bits, payload); ``first`` is the number of ids before the block in its part, and parts follow each other in
+ascending doc_id.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import uuid
@@ -22,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import id_and_text, shared_dir
+from contactspark.llm.common import id_and_text, materialise, shared_dir
 
-BLOCK_SCHEMA = "part int, block int, first long, doc_ids array<long>, lengths array<int>, n_ids long, bits int, payload binary"
+BLOCK_SCHEMA = "part int, block int, first long, least_id long, greatest_id long, doc_ids array<long>, lengths array<int>, n_ids long, bits int, payload binary"
+BLOCK_COLUMNS = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 BLOCK_IDS = 1 << 16
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 600_000
@@ -52,33 +55,45 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return (planes.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else the next from U+0100 on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+# The pre-tokenizer and normalisers under which no token reaches across white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+
+
+def splits_at_spaces(config: dict) -> bool:
+    """Whether a tokenizer file drops white space before its model, word by word: read from the file's own parts."""
+    within = lambda part, key: part.get(key, []) if part and part.get("type") == "Sequence" else [part]
+    normal, before = within(config.get("normalizer"), "normalizers"), within(config.get("pre_tokenizer"), "pretokenizers")
+    if any(n is not None and n not in NORMALISERS for n in normal) or len(before) != 2 or config.get("truncation") or config.get("padding"):
+        return False
+    cut, to_bytes = before
+    words = cut.get("type") == "Split" and cut.get("pattern") == {"Regex": SPLIT} and cut.get("behavior") == "Removed" and cut.get("invert") is True
+    return words and to_bytes.get("type") == "ByteLevel" and not to_bytes.get("add_prefix_space") and to_bytes.get("use_regex") is False
 
 
 class Encoder:
-    """Ids of whole texts. Words between white space are encoded once and remembered, as this tokenizer never looks across it.
+    """Ids of whole texts, by the tokenizer file at ``path``.
 
-    Only for tokenizers that lower the case, drop white space and never join what stands on both sides of it, nor letters and
-    the punctuation after them; ``whole`` turns all of that off and encodes text by text.
+    If the file's own normaliser and pre-tokenizer show that it drops white space and never looks across it, the words of a
+    Latin text are encoded once each by the library and remembered; every other text, and every text under another file, is
+    encoded as a whole. Both give the ids of ``Tokenizer.encode`` on the whole text.
     """
 
-    #: Texts of Latin letters, digits, ASCII punctuation and usual white space; all others are encoded as they stand.
-    LATIN = re.compile("[\t\n\r -~À-ÖØ-öø-ɏ]*")
-    TAIL = re.compile(r"[!-/:-@\[-`{-~]+(?=[\t\n\r ])")  # punctuation before white space
-    LETTERS = re.compile(r"[^\W\d_]+")
+    #: Texts of Latin letters, digits, ASCII punctuation and usual white space. Without U+0130, whose lower case is two letters.
+    LATIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ɏ]*")
+    TAIL = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ])[!-/:-@\[-`{-~]+(?=[\t\n\r ])")  # punctuation between a word and white space
 
-    def __init__(self, path: str, whole: bool = False):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        self.added = [t["content"] for t in config.get("added_tokens") or []]
+        self.by_word = splits_at_spaces(config)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.wide, self.code = (2, "H") if self.vocabulary <= 1 << 16 else (4, "I")
         self.kind = f"<u{self.wide}"
-        self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -90,81 +105,80 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        tokenize, letters_only, pack_ids, known = self.tokenizer.model.tokenize, self.LETTERS.fullmatch, self._bytes, self.words
-        other = []
-        for w in words:
-            if not letters_only(w):
-                other.append(w)
-            elif w.isascii():
-                known[w] = pack_ids([t.id for t in tokenize(w)])
-            else:
-                known[w] = pack_ids([t.id for t in tokenize(w.encode().decode("latin-1").translate(self.letters))])
-        known.update(zip(other, self._raw(other)))
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``kind``."""
-        if self.whole:
+        if not self.by_word:
             return self._raw([t or "" for t in texts])
         latin, tail = self.LATIN.fullmatch, self.TAIL.sub
-        plain = [not t or "<|" not in t and (latin(t) is not None) for t in texts]
-        split = [tail(r" \g<0>", t.lower()).split() if p and t else [] for t, p in zip(texts, plain)]
+        plain = [not t or latin(t) is not None and not any(a in t for a in self.added) for t in texts]
+        split = [tail(r" \g<0>", t).split() if p and t else [] for t, p in zip(texts, plain)]
         seen = set().union(*split)
         new = seen.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words, new = {}, seen
-        self._learn(new)
+        new = list(new)
+        self.words.update(zip(new, self._raw(new)))
         get = self.words.__getitem__
         return [b"".join(map(get, s)) if p else self._raw([t])[0] for t, p, s in zip(texts, plain, split)]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, whole: bool) -> Encoder:
-    return Encoder(path, whole)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
 
+def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, ids): the ids of each whole text as little-endian integers; ``tie`` is a hash of the text."""
+    batch_docs = 256
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, whole: bool = False, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_docs):
+                some = batch.slice(at, batch_docs)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(enc.encode(some.column(1).to_pylist()), pa.binary())], ["doc_id", "tie", "ids"])
+
+    return id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encode every whole text, append ``end_id`` and write the blocks at ``path``, in ascending doc_id.
 
-    Null texts count as empty: they have the end id only. Null ids come first. Rows of one id follow each other by a hash of
-    their text; repeated rows are all written. An empty table gives an empty file. Further columns are ignored. ``tokenizer``
-    is a file that every executor has.
+    Texts are encoded where they lie; only ids are sorted. Null texts count as empty: they have the end id only. Null ids come
+    first. Rows of one id follow each other by a hash of their text; repeated rows are all written. An empty table gives an
+    empty file. Further columns are ignored. ``tokenizer`` is a file that every executor has.
     """
     n = partitions or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    batch_docs = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer, whole), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         bits, end = bits_for(max(enc.vocabulary, end_id + 1)), np.array([end_id], enc.kind).tobytes()
         wide, block, first = np.dtype(enc.kind).itemsize, 0, 0
         ids, data, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, first, ids, data, size
-            lengths = [len(x) // wide for x in data]
+            lengths, known = [len(x) // wide for x in data], [i for i in ids if i is not None]
             payload = pack(np.frombuffer(b"".join(data), enc.kind), bits)
-            columns = [[part], [block], [first], [ids], [lengths], [size], [bits], [payload]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary()]
-            names = ["part", "block", "first", "doc_ids", "lengths", "n_ids", "bits", "payload"]
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            columns = [part, block, first, min(known, default=None), max(known, default=None), ids, lengths, size, bits, payload]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], BLOCK_COLUMNS)
             block, first = block + 1, first + size
             ids, data, size = [], [], 0
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, batch_docs):
-                some = batch.slice(at, batch_docs)
-                for doc, raw in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
-                    ids.append(doc)
-                    data.append(raw + end)
-                    size += len(raw) // wide + 1
-                    if size >= BLOCK_IDS:
-                        yield flush()
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(doc)
+                data.append(raw + end)
+                size += len(raw) // wide + 1
+                if size >= BLOCK_IDS:
+                    yield flush()
         if ids:
             yield flush()
 
-    rows = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = materialise(encoded(docs, tokenizer, id_col, text_col), "encoded")  # the bounds of ranges read it a second time
+    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     rows.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -192,9 +206,9 @@ def digests(blocks: DataFrame) -> DataFrame:
 
 
 def read_document(blocks: DataFrame, doc_id: int) -> list[np.ndarray]:
-    """Random access: the ids of each row of one document."""
-    out = []
-    for row in blocks.where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("start").toLocalIterator():
+    """Random access: the ids of each row of one document. Only blocks whose range of ids holds it are read."""
+    out, wanted = [], F.lit(doc_id).cast("long")
+    for row in blocks.where((F.col("least_id") <= wanted) & (F.col("greatest_id") >= wanted) & F.array_contains("doc_ids", wanted)).orderBy("start").toLocalIterator():
         at = np.concatenate([[0], np.cumsum(row["lengths"])])
         out += [unpack(row["payload"], row["bits"], int(at[i]), n) for i, (d, n) in enumerate(zip(row["doc_ids"], row["lengths"])) if d == doc_id]
     return out

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from contactspark.llm.common import shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello, world!! it's 12 o'clock", "", None, "ÀÉ naïve, façade... l'été <|endoftext|> x<|endoftext|>", "ΣΑΣ İ é é ﬁ ① ٣", "a\x1cb\x85c d\te\x0bf", "wörd*** under_score __ 'tis 'S foo's. (x)", "語 日本 " * 50, "don't DON'T y'all'd've"]
+TEXTS = ["Hello, world!! it's 12 o'clock", "", None, "ÀÉ naïve, façade... l'été <|endoftext|> x<|endoftext|>", "ΣΑΣ İ é é ﬁ ① ٣", "a\x1cb\x85c d\te\x0bf", "wörd*** under_score __ 'tis 'S foo's. (x)", "語 日本 " * 50, "don't DON'T y'all'd've", "TÜRKİYE CUMHURİYETİ. Sonra", "İ. x", "İ, a"]
 
 
 def truth(rows):
@@ -31,12 +32,25 @@ def test_packing(bits):
 
 
 def test_encoder_is_the_tokenizer():
-    assert tokens.Encoder(PATH).encode(TEXTS) == tokens.Encoder(PATH, whole=True).encode(TEXTS)
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+        assert encoder.by_word == (name == "word_bpe_49k.json")
+        for text, ids in zip(TEXTS, encoder.encode(TEXTS)):
+            assert np.frombuffer(ids, encoder.kind).tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_random_letters():
+    r, encoder = random.Random(5), tokens.Encoder(PATH)
+    texts = ["".join(r.choices("aBIİıſŉǰ'sté.,-!(x) \n\t1Æɏ|<>&", k=r.randint(0, 30))) for _ in range(5000)]
+    assert encoder.encode(texts) == encoder._raw(texts)
 
 
 def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_IDS", 40)
-    rows = [(i * 3, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(-5, "first"), (None, "null id")]
+    rows = [(i * 3, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(-5, "first"), (None, "null id"), (2**53 + 1, "large id")]
     docs = spark.createDataFrame(rows[::-1], "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS tie")
     path = f"{shared_dir(spark)}/ids-test"
     tokens.write_ids(docs, path, PATH, partitions=7)
