@@ -26,38 +26,54 @@ def word_count(text: Column) -> Column:
 
 
 def fill(nodes: DataFrame, parent: list[str], node: str) -> DataFrame:
-    """Column ``budget``: the share of ``parent_budget`` that each node gets, capped by ``capacity``."""
+    """Column ``budget``: what each node gets of ``parent_budget``, by ``weight`` and capped by ``capacity``.
+
+    Siblings together get the whole parent budget, or all that they can take. Shares are cut down to whole tokens; those left
+    over go one by one to the nodes with the largest fractions that still have room, ties to the smaller name.
+    """
     among = Window.partitionBy(*parent)
     order = among.orderBy(F.col("ratio"), F.col(node))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = lambda c: c.cast("decimal(38,0)")
+    share = whole(F.col("level.left")) * F.col("weight")
     return (
-        nodes.withColumn("ratio", F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf"))))
-        .withColumn("full", F.coalesce(F.sum("capacity").over(before), F.lit(0)))
+        nodes.withColumn("weight", F.greatest(F.col("weight"), F.lit(0)))
+        .withColumn("ratio", F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf"))))
+        .withColumn("left", F.col("parent_budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0)))
         .withColumn("rest", F.sum("weight").over(among) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", F.when(F.col("rest") > 0, (F.col("parent_budget") - F.col("full")) / F.col("rest")))
-        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(among))
-        .withColumn("budget", F.when(F.col("weight") <= 0, F.lit(0)).when(F.col("level").isNull(), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.floor(F.col("level") * F.col("weight")))).cast("long"))
-        .drop("ratio", "full", "rest", "level")
+        .withColumn("open", (F.col("weight") > 0) & (whole(F.col("left")) * F.col("weight") <= whole(F.col("capacity")) * F.col("rest")))
+        .withColumn("level", F.first(F.when(F.col("open"), F.struct("left", "rest")), ignorenulls=True).over(everything))
+        .withColumn("share", F.when(F.col("level").isNull() | (share >= whole(F.col("capacity")) * F.col("level.rest")), F.col("capacity")).otherwise(F.floor(share / F.col("level.rest"))).cast("long"))
+        .withColumn("share", F.when(F.col("weight") > 0, F.col("share")).otherwise(F.lit(0)))
+        .withColumn("fraction", F.when((F.col("weight") > 0) & (F.col("share") < F.col("capacity")), share - whole(F.col("share")) * F.col("level.rest")).otherwise(F.lit(0)))
+        .withColumn("over", F.when(F.col("level").isNull(), F.lit(0)).otherwise(F.col("parent_budget") - F.sum("share").over(among)))
+        .withColumn("place", F.row_number().over(among.orderBy(F.desc("fraction"), F.col(node))))
+        .withColumn("budget", (F.col("share") + ((F.col("fraction") > 0) & (F.col("place") <= F.col("over"))).cast("long")).cast("long"))
+        .drop("ratio", "left", "rest", "open", "level", "share", "fraction", "over", "place")
     )
 
 
 def allocate(leaves: DataFrame, weights: DataFrame, budget: Column, levels: tuple[str, ...], max_epochs: int) -> DataFrame:
-    """``leaves`` (levels, tokens) with each leaf's ``budget``. ``weights`` has (path, weight), path joined by '/'; else 1."""
-    nodes = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
-    weights = weights.select("path", "weight")
-    parent_budget = nodes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens")).select(budget.cast("long").alias("parent_budget"))
-    above = None
+    """``leaves`` (levels, tokens) with each leaf's ``budget``. ``weights`` has (path, weight), path joined by '/'; else 1.
+
+    A node's capacity is that of the leaves below it that no weight of zero or less shuts off, so what a shut branch can't
+    take goes to its siblings. The leaves' budgets sum to ``budget``, or to all open leaves' capacity. Weights count to six
+    decimals.
+    """
+    keys = list(levels)
+    weights = weights.select("path", (F.col("weight").cast("decimal(18,6)") * 1_000_000).cast("long").alias("weight"))
+    nodes = leaves
+    for depth, level in enumerate(levels, 1):
+        here = F.coalesce(F.col(f"__w{depth}"), F.lit(1_000_000))
+        nodes = nodes.withColumn("path", F.concat_ws("/", *keys[:depth])).join(weights.withColumnRenamed("weight", f"__w{depth}"), "path", "left").drop("path").withColumn(f"__w{depth}", here)
+    alive = F.least(*[F.col(f"__w{d}") for d in range(1, len(keys) + 1)], F.lit(1_000_000)) > 0
+    nodes = nodes.withColumn("capacity", F.when(alive, F.col("tokens") * max_epochs).otherwise(F.lit(0)))
+    above = nodes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens")).select(F.greatest(budget.cast("long"), F.lit(0)).alias("budget"), F.lit(0).alias("root"))
     for depth, level in enumerate(levels, 1):
-        up, here = list(levels[: depth - 1]), list(levels[:depth])
-        at = nodes.groupBy(*here).agg(F.sum("capacity").alias("capacity"))
-        at = at.withColumn("path", F.concat_ws("/", *here)).join(weights, "path", "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long")).drop("path")
-        if above is None:
-            at = at.join(F.broadcast(parent_budget)).withColumn("root", F.lit(0))  # one row
-            above = fill(at, ["root"], level).drop("root", "parent_budget", "weight", "capacity")
-        else:
-            at = at.join(above.withColumnRenamed("budget", "parent_budget"), up)
-            above = fill(at, up, level).drop("parent_budget", "weight", "capacity")
-    return leaves.join(above, list(levels))
+        up, here = keys[: depth - 1] or ["root"], keys[:depth]
+        at = nodes.withColumn("root", F.lit(0)).groupBy(*dict.fromkeys([*up, *here])).agg(F.sum("capacity").alias("capacity"), F.first(f"__w{depth}").alias("weight"))
+        above = fill(at.join(above.withColumnRenamed("budget", "parent_budget"), up), up, level).select(*here, "budget")
+    return leaves.join(above, keys)
 
 
 def _key(seed: int, epoch: Column, identity: Column) -> Column:
@@ -128,15 +144,15 @@ def oracle() -> str:
     def level(name: str, here: list[str], up: list[str], parent: str) -> str:
         cols, by = ", ".join(here), ", ".join(up) or "1"
         return f"""
-{name}_n AS (SELECT {", ".join("n." + c for c in here)}, n.capacity, coalesce(w.weight, 1) AS weight, b.budget AS parent_budget
-  FROM (SELECT {cols}, CAST(sum(capacity) AS BIGINT) AS capacity FROM leaves GROUP BY {cols}) n
-  LEFT JOIN weights w ON w.path = concat_ws('/', {", ".join("n." + c for c in here)}) JOIN {parent} b ON {" AND ".join(f"b.{c} = n.{c}" for c in up) or "true"}),
-{name}_r AS (SELECT *, CASE WHEN weight > 0 THEN capacity / weight ELSE 'infinity'::DOUBLE END AS ratio FROM {name}_n),
-{name}_s AS (SELECT *, coalesce(sum(capacity) OVER o, 0)::BIGINT AS filled, (sum(weight) OVER (PARTITION BY {by}) - coalesce(sum(weight) OVER o, 0))::BIGINT AS rest
-  FROM {name}_r WINDOW o AS (PARTITION BY {by} ORDER BY ratio, {here[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-{name}_l AS (SELECT *, CASE WHEN rest > 0 THEN (parent_budget - filled) / rest END AS lev FROM {name}_s),
-{name} AS (SELECT {cols}, CASE WHEN weight <= 0 THEN 0 WHEN top IS NULL THEN capacity ELSE least(capacity, floor(top * weight)) END::BIGINT AS budget
-  FROM (SELECT *, max(CASE WHEN lev <= ratio THEN lev END) OVER (PARTITION BY {by}) AS top FROM {name}_l))"""
+{name}_n AS (SELECT {cols}, n.capacity, greatest(n.weight, 0) AS weight, b.budget AS parent_budget
+  FROM (SELECT {cols}, sum(capacity)::HUGEINT AS capacity, any_value(w{len(here)}) AS weight FROM open_leaves GROUP BY {cols}) n JOIN {parent} b {f"USING ({', '.join(up)})" if up else "ON true"}),
+{name}_s AS (SELECT *, parent_budget - coalesce(sum(capacity) OVER o, 0) AS remains, sum(weight) OVER (PARTITION BY {by}) - coalesce(sum(weight) OVER o, 0) AS rest
+  FROM {name}_n WINDOW o AS (PARTITION BY {by} ORDER BY CASE WHEN weight > 0 THEN capacity / weight ELSE 'infinity'::DOUBLE END, {here[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_l AS (SELECT {name}_n.*, k.remains, k.rest FROM {name}_n LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY capacity / weight, {here[-1]}) AS nth
+  FROM {name}_s WHERE weight > 0 AND remains * weight <= capacity * rest) k ON k.nth = 1 {"".join(f" AND k.{c} = {name}_n.{c}" for c in up)}),
+{name}_f AS (SELECT *, CASE WHEN weight <= 0 THEN 0 WHEN rest IS NULL OR remains * weight >= capacity * rest THEN capacity ELSE remains * weight // rest END AS share,
+  CASE WHEN weight <= 0 OR rest IS NULL OR remains * weight >= capacity * rest THEN 0 ELSE remains * weight % rest END AS fraction FROM {name}_l),
+{name} AS (SELECT {cols}, (share + CASE WHEN fraction > 0 AND rest IS NOT NULL AND row_number() OVER (PARTITION BY {by} ORDER BY fraction DESC, {here[-1]}) <= parent_budget - sum(share) OVER (PARTITION BY {by}) THEN 1 ELSE 0 END)::BIGINT AS budget FROM {name}_f)"""
 
     return f"""
 WITH weights AS (SELECT * FROM (VALUES {weights}) w(path, weight)),
@@ -144,6 +160,8 @@ docs AS (SELECT doc_id, coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NON
   CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) = '' THEN 'other' ELSE (['{"','".join(DOMAINS)}'])[CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3 + 1] END AS domain,
   coalesce(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {EPOCHS})::BIGINT AS capacity FROM docs GROUP BY ALL),
+open_leaves AS (SELECT l.* EXCLUDE (capacity), coalesce(x.weight, 1) AS w1, coalesce(y.weight, 1) AS w2, coalesce(z.weight, 1) AS w3, CASE WHEN least(w1, w2, w3) > 0 THEN capacity ELSE 0 END AS capacity FROM leaves l
+  LEFT JOIN weights x ON x.path = domain LEFT JOIN weights y ON y.path = domain || '/' || lang LEFT JOIN weights z ON z.path = domain || '/' || lang || '/' || source),
 root AS (SELECT (coalesce(sum(tokens), 0) * 6 // 10)::BIGINT AS budget FROM leaves),
 {level("one", ["domain"], [], "root")},
 {level("two", ["domain", "lang"], ["domain"], "one")},

@@ -1,4 +1,6 @@
+import random
 import zlib
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +60,60 @@ def test_prefix_by_buckets(spark, budget):
     chosen = [r for r in out.collect() if r.copies]
     tokens = sum(r.doc_id % 4 for r in chosen)
     assert min(budget, 1500) <= tokens < budget + 3
+
+
+def share(budget, nodes):
+    """{name: tokens}: shares by weight, the full ones fixed and the rest shared again, until none is over; largest fractions last."""
+    got, live = {n: Fraction(0) for n in nodes}, {n for n, (w, c) in nodes.items() if w > 0}
+    left = Fraction(min(budget, sum(nodes[n][1] for n in live)))
+    while live:
+        part = {n: left * nodes[n][0] / sum(nodes[m][0] for m in live) for n in live}
+        full = {n for n in live if part[n] >= nodes[n][1]}
+        got |= {n: Fraction(nodes[n][1]) for n in full} if full else part
+        left -= sum(nodes[n][1] for n in full)
+        live = live - full if full else set()
+    out = {n: int(x) for n, x in got.items()}
+    over = min(budget, sum(c for w, c in nodes.values() if w > 0)) - sum(out.values())
+    for n in sorted(got, key=lambda n: (out[n] - got[n], n))[:over]:
+        out[n] += 1
+    return out
+
+
+def down(budget, leaves, weights, path=()):
+    """Budgets of the leaves {(domain, lang, source): capacity} below ``path``, by recursion."""
+    if path in leaves:
+        return {path: budget}
+
+    def room(p):
+        if weights.get("/".join(p), 1) <= 0:
+            return 0
+        return leaves[p] if p in leaves else sum(room(c) for c in {k[: len(p) + 1] for k in leaves if k[: len(p)] == p})
+
+    below = {k[: len(path) + 1] for k in leaves if k[: len(path)] == path}
+    parts = share(budget, {p: (weights.get("/".join(p), 1), room(p)) for p in below})
+    return {k: v for p in below for k, v in down(parts[p], leaves, weights, p).items()}
+
+
+def test_budgets_of_random_trees(spark):
+    r = random.Random(3)
+    for case in range(5):
+        leaves = {(r.choice("ab"), r.choice("xyz"), r.choice("pqrs")): r.choice([0, 1, 7, 90, 400, 10**12]) for _ in range(r.randint(1, 9))}
+        paths = {"/".join(k[:d]) for k in leaves for d in (1, 2, 3)}
+        weights = {p: r.choice([0, 1, 2, 3, 7]) for p in sorted(paths) if r.random() < 0.6}
+        budget = r.choice([0, 1, 99, 100, 401, 3 * 10**12 + 1])
+        table = spark.createDataFrame([(*k, c) for k, c in leaves.items()], "domain string, lang string, source string, tokens long")
+        named = spark.createDataFrame(list(weights.items()), "path string, weight long")
+        got = {tuple(x[c] for c in mixing.LEVELS): x.budget for x in mixing.allocate(table, named, F.lit(budget), mixing.LEVELS, 1).collect()}
+        assert got == down(budget, leaves, weights)
+        live = sum(c for k, c in leaves.items() if all(weights.get("/".join(k[:d]), 1) > 0 for d in (1, 2, 3)))
+        assert sum(got.values()) == min(budget, live)
+
+
+def test_shut_branches_lose_nothing(spark):
+    rows = [(i, "web", "en", "a", "w " * 10) for i in range(40)] + [(100 + i, "web", "en", "b", "w " * 10) for i in range(40)] + [(200 + i, "books", "en", "c", "w " * 10) for i in range(40)]
+    plan, _ = mixed(spark, rows, 400, 1, [("web/en/a", 0)])
+    assert {k[2]: v.budget for k, v in plan.items()} == {"a": 0, "b": 200, "c": 200}
+    plan, _ = mixed(spark, rows, 100, 1, [("web/en", 0)])
+    assert {k[2]: v.budget for k, v in plan.items()} == {"a": 0, "b": 0, "c": 100}
+    plan, _ = mixed(spark, [(i, "d", "l", "pqr"[i % 3], "w " * 10) for i in range(60)], 100, 1)
+    assert sorted(v.budget for v in plan.values()) == [33, 33, 34]
