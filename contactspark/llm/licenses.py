@@ -91,31 +91,80 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ("all-rights-reserved-line", "All rights reserved."),
 ]
 
-# Lines (after lower case) that name a copyright holder; the same pattern holds for Java's and RE2's syntax.
-COPYRIGHT_LINE = r"(^|\n)[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*[0-9][^\n]*"
+# Usual title lines over these texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License", "Modified BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+}
+# SHA-256 of the canonical form (see ``canonical``) of long licences, as their authors publish them.
+LONG = [
+    ("Apache-2.0", "bd5e0c0142059acf575239da46242fa2d1532b45e70c5941b1437dbea5949e35"),
+    ("Artistic-1.0", "4834e699353522cfb463bd8b374752ecf02156bb3f5dfb53d0edb502a112a651"),
+    ("CC0-1.0", "51c4bf27767d074bdefc84db7420b4c55e27827dac6d8de3ef0d37b2042fb6fa"),
+    ("GFDL-1.3", "774999c74b3221565b6a61d133bab3a6b1e44d284c74d95e126ed45fe7c31283"),
+    ("GPL-1.0", "ac910954c3184907f3947de0193b0169b8c69656ff2de7f3330438f6ba4fb746"),
+    ("GPL-2.0", "2e8e378a3d24393c0f3fd1439ffbe84e750886c09715e622426a6a0e54fa1bee"),
+    ("GPL-3.0", "e5ad5888afa995c9de52e4017b0087735bdd20d2c12d540b6c8aac26c7482b06"),
+    ("LGPL-2.0", "4a1b1cb15d45262f049457ae26945909d0e5af93e2e3fb5de82c9f72ac6bebe2"),
+    ("LGPL-2.1", "f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98"),
+    ("LGPL-3.0", "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45"),
+    ("MPL-1.1", "356542917be9959d1853554027ed0edc9b2625ae62badbd183279510113cba79"),
+    ("MPL-2.0", "9ed0c230cf11312a5d6bdc0597928037db290a521ff79cadfd488e6606508716"),
+]
+
+# A line (or comment line) that names a copyright holder, with a following "All rights reserved." line. "Copyright" must be
+# followed by a holder or a year, so that sentences on copyright notices stay. The same patterns hold in Java and in RE2.
+_LINE = r"(^|\n)[ \t/*#;.%-]*"
+COPYRIGHT_LINES = [
+    _LINE + r"(Copyright|copyright|COPYRIGHT)[ \t:,]*(\([cC]\)|©|&copy;|[0-9]|by |<|\[|\{)[^\n]*(\n[ \t/*#;.%-]*[Aa]ll [Rr]ights [Rr]eserved\.?[ \t\r]*)?",
+    _LINE + r"(Copyright|copyright)[ \t:,]+\p{Lu}[^\n]*(\n[ \t/*#;.%-]*[Aa]ll [Rr]ights [Rr]eserved\.?[ \t\r]*)?",
+    _LINE + r"(©|\([cC]\)[ \t]*(Copyright[ \t]*)?[12][0-9][0-9][0-9])[^\n]*(\n[ \t/*#;.%-]*[Aa]ll [Rr]ights [Rr]eserved\.?[ \t\r]*)?",
+]
+# What follows "Copyright" in licences' own sentences; joined by a hyphen first, so such lines name no holder.
+NOT_HOLDERS = ("Holder", "Owner", "Notice", "License", "Law", "Act", "Statement")
 BULLET = r"(^|\n)[ \t/*#;-]*(\(?([0-9]+|[a-z])[.)]|[*-])[ \t]"
+WEB = r"https?://(www\.)?"
 NOT_WORD = "[^a-z0-9]+"
 
 
 def canonical(text: Column) -> Column:
     """Lower case; no copyright lines, list marks or punctuation; one spelling of equivalent words; single spaces."""
-    out = F.lower(text)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
-    out = F.regexp_replace(out, BULLET, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, " "), F.lit(" "))
+    out = text
+    for word in NOT_HOLDERS:
+        out = F.replace(out, F.lit(f"Copyright {word}"), F.lit(f"Copyright-{word}"))
+    for line in COPYRIGHT_LINES:
+        out = F.regexp_replace(out, line, "\n")
+    out = F.regexp_replace(F.lower(out), BULLET, "\n")
+    out = F.regexp_replace(out, WEB, " ")
+    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, "  "), F.lit(" "))  # two spaces: each word has its own on both sides
     for word, same in SPELLINGS:
-        out = F.replace(out, F.lit(f" {word} "), F.lit(f" {same} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {word.replace(' ', '  ')} "), F.lit(f" {same.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id): one row for each different canonical text; the smallest id stands for equal texts."""
-    known = spark.createDataFrame(texts if texts is not None else KNOWN, "license_id string, license_text string")
-    return known.where("license_text is not null").groupBy(digest(F.col("license_text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the texts known as such, with and without their titles."""
+    return KNOWN + [(name, f"{title}\n\n{text}") for name, text in KNOWN for title in TITLES.get(name, [])]
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license_id): one row for each different canonical text; the smallest id stands for equal texts.
+
+    ``known`` has (license_id, text); by default it is ``texts`` with the digests of LONG. Null texts take no part.
+    """
+    table = spark.createDataFrame(texts() if known is None else known, "license_id string, license_text string").where("license_text is not null")
+    found = table.select(digest(F.col("license_text")).alias("digest"), "license_id")
+    if known is None:
+        found = found.unionByName(spark.createDataFrame(LONG, "license_id string, digest string"))
+    return found.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,15 +182,21 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 def oracle() -> str:
     """The same scan in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    body = f"regexp_replace(lower(text), {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
-    body = f"regexp_replace({body}, {quote(BULLET)}, chr(10), 'g')"
-    body = f"' ' || regexp_replace({body}, '{NOT_WORD}', ' ', 'g') || ' '"
+    body = "text"
+    for word in NOT_HOLDERS:
+        body = f"replace({body}, 'Copyright {word}', 'Copyright-{word}')"
+    for line in COPYRIGHT_LINES:
+        body = f"regexp_replace({body}, {quote(line)}, chr(10), 'g')"
+    body = f"regexp_replace(lower({body}), {quote(BULLET)}, chr(10), 'g')"
+    body = f"regexp_replace({body}, {quote(WEB)}, ' ', 'g')"
+    body = f"' ' || regexp_replace({body}, '{NOT_WORD}', '  ', 'g') || ' '"
     for word, same in SPELLINGS:
-        body = f"replace({body}, ' {word} ', ' {same} ')"
-    body = f"trim({body})"
-    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+        body = f"replace({body}, ' {word.replace(' ', '  ')} ', ' {same.replace(' ', '  ')} ')"
+    body = f"trim(replace({body}, '  ', ' '))"
+    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in texts())
+    long = ", ".join(f"({quote(d)}, {quote(i)})" for i, d in LONG)
     return f"""
-WITH known AS (SELECT sha256({body}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) k(license_id, text) GROUP BY 1),
+WITH known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT sha256({body}) AS digest, license_id FROM (VALUES {values}) k(license_id, text) UNION ALL FROM (VALUES {long})) GROUP BY 1),
 hashed AS (SELECT doc_id, {body} AS body FROM documents)
 SELECT h.doc_id, h.digest, k.license_id
 FROM (SELECT doc_id, CASE WHEN length(body) > 0 THEN sha256(body) END AS digest FROM hashed) h LEFT JOIN known k ON h.digest = k.digest"""
