@@ -64,7 +64,7 @@ def splits_at_spaces(config: dict) -> bool:
     """Whether a tokenizer file drops white space before its model, word by word: read from the file's own parts."""
     within = lambda part, key: part.get(key, []) if part and part.get("type") == "Sequence" else [part]
     normal, before = within(config.get("normalizer"), "normalizers"), within(config.get("pre_tokenizer"), "pretokenizers")
-    if any(n is not None and n not in NORMALISERS for n in normal) or len(before) != 2 or config.get("truncation") or config.get("padding"):
+    if not all(n in normal for n in NORMALISERS) or len(normal) != len(NORMALISERS) or len(before) != 2 or config.get("truncation") or config.get("padding"):
         return False
     cut, to_bytes = before
     words = cut.get("type") == "Split" and cut.get("pattern") == {"Regex": SPLIT} and cut.get("behavior") == "Removed" and cut.get("invert") is True
@@ -74,14 +74,16 @@ def splits_at_spaces(config: dict) -> bool:
 class Encoder:
     """Ids of whole texts, by the tokenizer file at ``path``.
 
-    If the file's own normaliser and pre-tokenizer show that it drops white space and never looks across it, the words of a
-    Latin text are encoded once each by the library and remembered; every other text, and every text under another file, is
-    encoded as a whole. Both give the ids of ``Tokenizer.encode`` on the whole text.
+    If the file's own normaliser and pre-tokenizer show that it lowers the case, drops white space and never looks across it,
+    the words of a Latin text are encoded once each and remembered; every other text, and every text under another file, is
+    encoded as a whole. Both give the ids of ``Tokenizer.encode`` on the whole text. A word of letters goes right to the
+    file's model, in the letters that the file's pre-tokenizer writes for each; other words go through the whole tokenizer.
     """
 
     #: Texts of Latin letters, digits, ASCII punctuation and usual white space. Without U+0130, whose lower case is two letters.
     LATIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ɏ]*")
-    TAIL = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ])[!-/:-@\[-`{-~]+(?=[\t\n\r ])")  # punctuation between a word and white space
+    TAIL = re.compile(r"[!-/:-@\[-`{-~]+(?=[\t\n\r ])")  # punctuation before white space
+    LETTERS = re.compile(r"[^\W\d_]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -95,6 +97,12 @@ class Encoder:
         self.wide, self.code = (2, "H") if self.vocabulary <= 1 << 16 else (4, "I")
         self.kind = f"<u{self.wide}"
         self.words: dict[str, bytes] = {}
+        self.letters: dict[int, str] = {}
+        if self.by_word:
+            normal, before = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            for c in map(chr, range(0x61, 0x250)):
+                if self.LETTERS.fullmatch(c) and normal(c) == c and len(piece := before(c)) == 1:
+                    self.letters[ord(c)] = piece[0][0]
 
     def _bytes(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -105,19 +113,32 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> None:
+        tokenize, letters_only, pack_ids, known, letters = self.tokenizer.model.tokenize, self.LETTERS.fullmatch, self._bytes, self.words, self.letters
+        other = []
+        for w in words:
+            if not letters_only(w):
+                other.append(w)
+            elif w.isascii():  # letters that stand for themselves
+                known[w] = pack_ids([t.id for t in tokenize(w)])
+            elif all(ord(c) in letters for c in w):
+                known[w] = pack_ids([t.id for t in tokenize(w.translate(letters))])
+            else:
+                other.append(w)
+        known.update(zip(other, self._raw(other)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``kind``."""
         if not self.by_word:
             return self._raw([t or "" for t in texts])
         latin, tail = self.LATIN.fullmatch, self.TAIL.sub
         plain = [not t or latin(t) is not None and not any(a in t for a in self.added) for t in texts]
-        split = [tail(r" \g<0>", t).split() if p and t else [] for t, p in zip(texts, plain)]
+        split = [tail(r" \g<0>", t.lower()).split() if p and t else [] for t, p in zip(texts, plain)]
         seen = set().union(*split)
         new = seen.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words, new = {}, seen
-        new = list(new)
-        self.words.update(zip(new, self._raw(new)))
+        self._learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, s)) if p else self._raw([t])[0] for t, p, s in zip(texts, plain, split)]
 
