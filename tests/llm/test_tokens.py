@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from contactspark.llm import tokens
-from contactspark.llm.common import shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -48,11 +47,11 @@ def test_random_letters():
     assert encoder.encode(texts) == encoder._raw(texts)
 
 
-def test_round_trip(spark, monkeypatch):
+def test_round_trip(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tokens, "BLOCK_IDS", 40)
     rows = [(i * 3, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(-5, "first"), (None, "null id"), (2**53 + 1, "large id")]
     docs = spark.createDataFrame(rows[::-1], "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS tie")
-    path = f"{shared_dir(spark)}/ids-test"
+    path = f"{tmp_path}/ids"
     tokens.write_ids(docs, path, PATH, partitions=7)
     blocks = tokens.open_ids(spark, path)
     out = sorted((tuple(r) for r in tokens.digests(blocks).collect()), key=lambda r: r[1])
