@@ -133,15 +133,21 @@ class Search:
 
     def _step(self, ids: np.ndarray, vectors: np.ndarray, length: np.ndarray) -> bool:
         head, rest = self._turn(vectors, length)
+        largest = np.abs(vectors).max(initial=0.0)
         with np.errstate(over="ignore", invalid="ignore"):
             slack = 1e-6 * (1 + length.max() * self.length)
             live = np.flatnonzero(~(self.length * length.max() + slack < self.floor))
             for at in range(0, len(live), 256):
                 q = live[at : at + 256]
                 bound = self.head[q] @ head.T + self.rest[q][:, None] * rest + slack[q][:, None]
-                i, j = np.nonzero(~(bound < self.floor[q][:, None]) & (self.ids[q][:, None] != ids))
+                open_ = ~(bound < self.floor[q][:, None]) & (self.ids[q][:, None] != ids)
+                many = 8 * np.count_nonzero(open_) > open_.size and self.largest[q].max() * largest * vectors.shape[1] < 2.0**53
+                if many:  # one exact product of matrices costs less than the pairs one by one
+                    scores = self.queries[q] @ vectors.T
+                    open_ &= scores >= self.floor[q][:, None]
+                i, j = np.nonzero(open_)
                 if len(i):
-                    score = self._exact(q[i], ids, vectors, j)
+                    score = scores[i, j].astype(np.int64) if many else self._exact(q[i], ids, vectors, j)
                     good = score >= self.floor[q[i]]
                     self.found.append((q[i[good]], ids[j[good]], score[good]))
                     self.held += int(good.sum())
