@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +23,7 @@ from contactspark.llm.common import id_and_text, materialise
 
 #: Labelled rows that a model is fitted on at most, by the least hash of their id; half give the lexicon, half the weights.
 MAX_LABELLED = 16_000
-MAX_TERMS = 4_000
-FUZZY_TERMS = 200
-LEAST_TERM, PREFIXES = 4, (4, 5, 6)
+LEAST_TERM, PREFIXES, SURE = 4, (4, 5, 6), 5
 #: A term needs this many toxic texts, this log-odds of its rates and this log-likelihood ratio against equal rates.
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, math.log(2), 10.0
 WINDOW = 8
@@ -202,18 +200,18 @@ def mine(sample: DataFrame) -> list[tuple[str, int, int, float]]:
     """(term, toxic texts, other texts, log-odds) of terms whose rate in toxic texts is clearly over that in others, most
     frequent first; equal texts count once. Quoted uses don't rule a term out: rates are set against the class sizes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"]):
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[label == 1].update(candidate_terms(text))
                 counts[label == 1][""] += 1  # texts of the class
         terms = list(counts[True].keys() | counts[False].keys())
         if terms:
-            yield pd.DataFrame({"term": terms, "toxic": [counts[True][t] for t in terms], "other": [counts[False][t] for t in terms]})
+            yield pa.RecordBatch.from_pydict({"term": terms, "toxic": [counts[True][t] for t in terms], "other": [counts[False][t] for t in terms]})
 
     texts = sample.where("text is not null").groupBy(F.sha2("text", 256).alias("d")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    counted = texts.select("text", "label").mapInPandas(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = texts.select("text", "label").mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counted = materialise(counted, "toxicity-terms")
     size = counted.where("term = ''").first()
     if not size or not size["toxic"] or not size["other"]:
@@ -223,23 +221,23 @@ def mine(sample: DataFrame) -> list[tuple[str, int, int, float]]:
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((toxic + other) * p))).otherwise(0.0)
     odds = F.log((toxic + 0.5) / (size["toxic"] - toxic + 0.5) / ((other + 0.5) / (size["other"] - other + 0.5)))
     clear = (toxic >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (part(toxic, share) + part(other, 1 - share) >= LEAST_EVIDENCE)
-    kept = counted.where("term <> ''").where(clear).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
+    kept = counted.where("term <> ''").where(clear).orderBy(F.desc("toxic"), "term")
     return [(r["term"], r["toxic"], r["other"], log_odds(r["toxic"], r["other"], size["toxic"], size["other"])) for r in kept.collect()]
 
 
 def lexicon(counts: list[tuple[str, int, int, float]]) -> tuple[list[tuple[str, bool, int]], list[float]]:
-    """Terms for the automaton and their log-odds; a term that an accepted beginning covers as well is left out."""
+    """Terms for the automaton and their log-odds; a term that an accepted beginning covers as well is left out.
+
+    Every word of SURE letters may be misspelled, and every longer beginning; shorter ones are too near to other words.
+    """
     by = {t: (a, b) for t, a, b, _ in counts}
-    terms, weights, fuzzy = [], [], 0
+    terms, weights = [], []
     for term, toxic, _, odds in counts:
         stem, prefix = term.rstrip("*"), term.endswith("*")
         shorter = [stem[:n] + "*" for n in PREFIXES if n < len(stem)]
         if any(s in by and by[s][0] >= 2 * toxic for s in shorter):
             continue
-        edits = 0
-        if not prefix and len(stem) >= 5 and fuzzy < FUZZY_TERMS:
-            edits, fuzzy = 1 + (len(stem) >= 9), fuzzy + 1
-        terms.append((stem, prefix, edits))
+        terms.append((stem, prefix, 0 if len(stem) < SURE + prefix else 1 + (len(stem) >= 9)))
         weights.append(min(6.0, odds))
     return terms, weights
 
@@ -267,18 +265,24 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
     if not terms:
         return Model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, weights)
         for batch in batches:
-            yield pd.DataFrame({"f": [reader.features(t) for t in batch["text"]], "label": batch["label"]})
+            found = [reader.features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["f", "label"])
 
-    rows = sample.where("half = 1").select("text", "label").mapInPandas(run, "f array<double>, label int").collect()
-    if len({r["label"] for r in rows}) < 2:
+    rows = sample.where("half = 1").select("text", "label").mapInArrow(run, "f array<double>, label int").orderBy("label", "f").toArrow()
+    toxic = rows["label"].to_numpy() == 1
+    if len(np.unique(toxic)) < 2:
         return Model()
-    mean, scale, coefficients, intercept = logistic(np.array([r["f"] for r in rows]), np.array([float(r["label"] == 1) for r in rows]))
+    mean, scale, coefficients, intercept = logistic(rows["f"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1), toxic.astype(float))
     return Model(terms, weights, mean.tolist(), scale.tolist(), coefficients.tolist(), intercept)
 
 
+def _scores(model: Model, reader: Reader, texts: pa.Array) -> np.ndarray:
+    return model.score(np.array([reader.features(t) for t in texts.to_pylist()]).reshape(-1, 9))
+
+
 def score(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row, by its text alone.
 
@@ -286,26 +290,29 @@ def score(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, th
     equal scores; further columns are ignored; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.terms, model.weights)
         for batch in batches:
-            s = model.score(np.array([reader.features(t) for t in batch["text"]]).reshape(-1, 9))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, reader, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
-    scored = id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, score double")
+    scored = id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold; all columns are kept and nothing is shuffled."""
+    """``docs`` without the rows whose score reaches the threshold; all columns are kept as they are, nothing is shuffled.
+
+    Null and empty texts get the score of a text without hits; repeated rows stay or go alike; columns may have any name and
+    hold nulls; an empty table gives no rows.
+    """
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.terms, model.weights)
         for batch in batches:
-            s = model.score(np.array([reader.features(t) for t in batch[text_col]]).reshape(-1, 9))
-            yield batch[s < threshold]
+            yield batch.filter(pa.array(_scores(model, reader, batch.column(at)) < threshold, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def crc_remainder(doc_id: int, modulus: int) -> int:
