@@ -1,27 +1,32 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded by a small network; gated attention weighs the passages; the weighted
-sum of their codes gives the document's score. Only documents have labels, so attention learns which passages tell.
+A document is a bag of passages. A passage is encoded from its words - hashed words and word pairs, through a learned
+embedding - and from shares of its kinds of characters; gated attention weighs the passages; the weighted sum of their codes
+gives the document's score. Only documents have labels, so attention learns which passages tell.
 """
 
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactspark.llm.common import id_and_text
 from contactspark.llm.toxicity import labelled_sample, remainder
 
-#: Labelled documents, and evenly spaced passages of each, that a model is fitted on at most. Scoring reads every passage.
-MAX_LABELLED, MAX_FIT_PASSAGES = 6_000, 200
+#: Labelled documents, and bytes of their texts, that a model is fitted on at most: whole documents by the least hash of
+#: their id, as many as fit. Every passage of them counts, and scoring reads every passage of every text.
+MAX_LABELLED, MAX_FIT_BYTES = 6_000, 64 << 20
 PASSAGE_WORDS = 80
-CODE, GATE = 16, 8
+BUCKETS, EMBED, CODE, GATE = 4096, 8, 16, 8
+REPEAT = 6  # words in a run that counts as repeated within its document
 
 _KINDS = np.full(256, 11, np.uint8)
 _KINDS[:128] = 10
@@ -29,28 +34,53 @@ for _kind, _letters in enumerate((range(65, 91), range(97, 123), range(48, 58),
     for _letter in _letters:
         _KINDS[_letter] = _kind
 N_KINDS, N_FEATURES = 12, 17
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
+#: A document: figures (a row for each passage), buckets of all words and pairs, how many of these each passage has.
+Bag = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def passages(text: str | None) -> np.ndarray:
-    """A row of features for each passage of PASSAGE_WORDS words; a text without words is one passage of zeros."""
+
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "replace")) + 1
+
+
+def passages(text: str | None) -> Bag:
+    """The passages of PASSAGE_WORDS words; a text without words is one passage without any."""
     words = (text or "").split()
     if not words:
-        return np.zeros((1, N_FEATURES))
-    groups = [words[i : i + PASSAGE_WORDS] for i in range(0, len(words), PASSAGE_WORDS)]
+        return np.zeros((1, N_FEATURES)), np.zeros(0, np.int32), np.zeros(1, np.int64)
+    at = np.arange(0, len(words), PASSAGE_WORDS)
+    groups = [words[i : i + PASSAGE_WORDS] for i in at.tolist()]
     raw = [" ".join(g).encode("utf-8", "replace") for g in groups]
     size = np.array([len(r) for r in raw])
     kinds = _KINDS[np.frombuffer(b"".join(raw), np.uint8)]
     counts = np.bincount(np.repeat(np.arange(len(raw)) * N_KINDS, size) + kinds, minlength=len(raw) * N_KINDS).reshape(-1, N_KINDS)
     n = np.array([len(g) for g in groups])
-    lines = [x for x in (text or "").split("\n") if x]
+    single = np.array(list(map(_word_hash, words)), np.uint64) * _ODD
+    pair = (single ^ np.append(single[1:], 0).astype(np.uint64) >> np.uint64(7)) * _ODD
+    run = single.copy()
+    for i in range(1, min(REPEAT, len(words))):
+        run[:-i] = run[:-i] * _ODD + single[i:]
+    run = run[: max(0, len(words) - REPEAT + 1)]
+    _, kind, times = np.unique(run, return_inverse=True, return_counts=True)
+    again = np.zeros(len(words))
+    again[: len(run)] = times[kind] > 1
     out = np.empty((len(raw), N_FEATURES))
     out[:, :N_KINDS] = counts / np.maximum(size, 1)[:, None]
     out[:, 12] = [len(set(g)) for g in groups] / n
     out[:, 13] = [sum(map(operator.eq, g, g[1:])) for g in groups] / n
     out[:, 14] = np.log(size / n)
-    out[:, 15] = np.log1p(len(words)) / 10
-    out[:, 16] = 1 - len(set(lines)) / max(1, len(lines))
-    return out
+    out[:, 15] = n / PASSAGE_WORDS
+    out[:, 16] = np.add.reduceat(again, at) / n
+    buckets = np.stack([single, pair], axis=1).ravel() >> np.uint64(52)
+    return out, buckets.astype(np.int32), 2 * n
+
+
+def joined(bags: list[Bag]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(figures, buckets, sizes, first passage of each bag) of several documents."""
+    starts = np.cumsum([0] + [len(b[0]) for b in bags[:-1]])
+    return *(np.concatenate([b[i] for b in bags]) for i in range(3)), starts
 
 
 @dataclass
@@ -59,10 +89,13 @@ class Model:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def bags(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    def bags(self, x: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Logits of the bags that begin at ``starts``, and what the gradient needs."""
         w = self.weights
-        z = (x - self.mean) / self.scale
+        total = np.vstack([np.zeros((1, EMBED)), np.cumsum(w["embed"][buckets], axis=0)])
+        ends = np.cumsum(sizes)
+        words = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)[:, None]
+        z = np.hstack([(x - self.mean) / self.scale, words])
         h = np.tanh(z @ w["encode"] + w["encode_0"])
         tanh, gate = np.tanh(h @ w["attend"]), 1 / (1 + np.exp(-np.clip(h @ w["gate"], -30, 30)))
         a = (tanh * gate) @ w["weigh"]
@@ -72,14 +105,13 @@ class Model:
         code = np.add.reduceat(p[:, None] * h, starts, axis=0)
         return code @ w["score"] + w["score_0"], {"z": z, "h": h, "tanh": tanh, "gate": gate, "p": p, "code": code, "size": size}
 
-    def scores(self, bags: list[np.ndarray]) -> np.ndarray:
-        starts = np.cumsum([0] + [len(b) for b in bags[:-1]])
-        logit, _ = self.bags(np.concatenate(bags), starts)
+    def scores(self, bags: list[Bag]) -> np.ndarray:
+        logit, _ = self.bags(*joined(bags))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
-    def gradient(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, x: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
-        logit, s = self.bags(x, starts)
+        logit, s = self.bags(x, buckets, sizes, starts)
         d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
         dcode = np.repeat(d[:, None] * w["score"], s["size"], axis=0)
         dp = (dcode * s["h"]).sum(axis=1)
@@ -87,53 +119,63 @@ class Model:
         dtanh = da[:, None] * w["weigh"] * s["gate"] * (1 - s["tanh"] ** 2)
         dgate = da[:, None] * w["weigh"] * s["tanh"] * s["gate"] * (1 - s["gate"])
         dh = (s["p"][:, None] * dcode + dtanh @ w["attend"].T + dgate @ w["gate"].T) * (1 - s["h"] ** 2)
-        return {"score": s["code"].T @ d, "score_0": d.sum(), "weigh": (s["tanh"] * s["gate"]).T @ da, "attend": s["h"].T @ dtanh, "gate": s["h"].T @ dgate, "encode": s["z"].T @ dh, "encode_0": dh.sum(axis=0)}
+        dwords = (dh @ w["encode"].T)[:, N_FEATURES:] / np.maximum(sizes, 1)[:, None]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        embed = np.stack([np.bincount(buckets, dwords[owner, i], BUCKETS) for i in range(EMBED)], axis=1)
+        return {"score": s["code"].T @ d, "score_0": d.sum(), "weigh": (s["tanh"] * s["gate"]).T @ da, "attend": s["h"].T @ dtanh, "gate": s["h"].T @ dgate, "encode": s["z"].T @ dh, "encode_0": dh.sum(axis=0), "embed": embed}
 
 
 def new_model(seed: int = 3) -> Model:
     r = np.random.default_rng(seed)
-    shapes = {"encode": (N_FEATURES, CODE), "encode_0": (CODE,), "attend": (CODE, GATE), "gate": (CODE, GATE), "weigh": (GATE,), "score": (CODE,), "score_0": ()}
-    return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), {k: np.zeros(s) if k.endswith("_0") else r.normal(0, (2 / (s[0] + s[-1])) ** 0.5, s) for k, s in shapes.items()})
+    shapes = {"encode": (N_FEATURES + EMBED, CODE), "encode_0": (CODE,), "attend": (CODE, GATE), "gate": (CODE, GATE), "weigh": (GATE,), "score": (CODE,), "score_0": ()}
+    weights = {k: np.zeros(s) if k.endswith("_0") else r.normal(0, (2 / (s[0] + s[-1])) ** 0.5, s) for k, s in shapes.items()}
+    return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), weights | {"embed": r.normal(0, 0.3, (BUCKETS, EMBED))})
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Model:
+def train(bags: list[Bag], labels: np.ndarray, epochs: int = 15, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Model:
     """Adam on the cross-entropy of the bags' labels."""
     model, r = new_model(seed), np.random.default_rng(seed)
-    everything = np.concatenate(bags)
+    everything = np.concatenate([b[0] for b in bags])
     model.mean, model.scale = everything.mean(axis=0), everything.std(axis=0) + 1e-3
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     model.weights["score_0"] = np.array(np.log(share / (1 - share)))
     m = {k: np.zeros_like(v) for k, v in model.weights.items()}
     v = {k: np.zeros_like(x) for k, x in model.weights.items()}
-    step = 0
-    for epoch in range(epochs):
+    step, steps = 0, max(1, epochs * -(-len(bags) // batch))
+    while step < max(steps, 400):  # few documents are read more often
         order = r.permutation(len(bags))
         for at in range(0, len(order), batch):
-            some = [bags[i] for i in order[at : at + batch]]
-            g = model.gradient(np.concatenate(some), np.cumsum([0] + [len(b) for b in some[:-1]]), labels[order[at : at + batch]])
+            g = model.gradient(*joined([bags[i] for i in order[at : at + batch]]), labels[order[at : at + batch]])
             step += 1
             for k in g:
                 grad = g[k] + (0 if k.endswith("_0") else decay * model.weights[k])
                 m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.999 * v[k] + 0.001 * grad**2
-                model.weights[k] = model.weights[k] - rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                model.weights[k] = model.weights[k] - rate * max(0.02, 1 - step / max(steps, 400)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model from at most ``most`` labelled documents; None if their labels don't differ."""
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, most: int = MAX_LABELLED, most_bytes: int = MAX_FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """A model from at most ``most`` labelled documents of at most ``most_bytes`` in all; None if their labels don't differ.
+
+    Labels without id or value, held-out ids and labels of unknown documents take no part; of several labels of an id the
+    largest counts; null texts count as empty; repeated documents each count; further columns are ignored.
+    """
     sample = labelled_sample(docs, labels, "quality", modulus, held_out, most, id_col, text_col)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))  # over a bounded sample
+    sample = sample.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).over(order)).where(F.col("bytes") <= most_bytes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passages(t) for t in batch["text"]]
-            bags = [b if len(b) <= MAX_FIT_PASSAGES else b[np.linspace(0, len(b) - 1, MAX_FIT_PASSAGES).astype(int)] for b in bags]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bag": [b.ravel() for b in bags], "label": batch["label"]})
+            bags = [passages(t) for t in batch.column(1).to_pylist()]
+            lists = [pa.array([b[i].ravel() for b in bags], pa.list_(k)) for i, k in enumerate((pa.float32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["bytes", "label", "figures", "buckets", "sizes"])
 
-    rows = sample.mapInPandas(run, "doc_id long, bag array<double>, label int").collect()
-    rows.sort(key=lambda x: (x["doc_id"], x["bag"]))
-    if len({r["label"] for r in rows}) < 2:
+    rows = sample.select("bytes", "text", "label").mapInArrow(run, "bytes long, label int, figures array<float>, buckets array<int>, sizes array<long>").toArrow().sort_by("bytes")
+    y = rows["label"].to_numpy() == 1
+    if len(np.unique(y)) < 2:
         return None
-    return train([np.array(r["bag"]).reshape(-1, N_FEATURES) for r in rows], np.array([float(r["label"] == 1) for r in rows]))
+    bags = [(f.values.to_numpy().astype(np.float64).reshape(-1, N_FEATURES), b.values.to_numpy(), s.values.to_numpy()) for f, b, s in zip(rows["figures"], rows["buckets"], rows["sizes"])]
+    return train(bags, y.astype(float))
 
 
 def score(docs: DataFrame, model: Model | None, modulus: int = 3, held_out: int = 1, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,14 +184,16 @@ def score(docs: DataFrame, model: Model | None, modulus: int = 3, held_out: int
     Null and empty texts are one empty passage. Without a model every score is 0.5. A row without id is not held out.
     Repeated rows get equal scores; further columns are ignored; an empty table gives no rows.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
-                bags = [passages(t) for t in some["text"]]
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                bags = [passages(t) for t in some.column(1).to_pylist()]
                 s = np.full(len(bags), 0.5) if model is None else model.scores(bags)
-                yield pd.DataFrame({"doc_id": some["doc_id"], "score": s, "passages": [len(b) for b in bags]})
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(s, pa.float64()), pa.array([len(b[0]) for b in bags], pa.int32())], ["doc_id", "score", "passages"])
 
-    scored = id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, score double, passages int")
+    scored = id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, passages int")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
