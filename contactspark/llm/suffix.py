@@ -24,6 +24,7 @@ GRAM = 32  # bytes; windows are named by their least gram
 PLACE = np.uint64(31)  # bits for a place in a text; the first of equal grams counts
 SPLIT = 400  # different blocks of one name that go to one shard
 SHARD_BYTES = 1 << 20
+HOT_KINDS = 1000
 NO_ID = -(1 << 63)
 _RANDOM = np.random.default_rng(9_2024)
 _LETTERS = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,7 +69,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     depth = 7
     for i in range(depth):
         key = key << np.uint64(9) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
@@ -82,7 +83,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         at = order[place]
         group = rank[at]
         behind = rank[np.minimum(at + depth, n)] + 1
-        again = np.lexsort((behind, group))
+        again = np.argsort(group * (n + 1) + behind)
         order[place] = at[again]
         group, behind = group[again], behind[again]
         start = np.concatenate([[True], (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])])
@@ -110,11 +111,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     found = np.zeros(n, np.int64)
     a, b, live = places.copy(), before[places], np.arange(len(places))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()  # eight bytes from each place
     while len(live):
-        room = np.minimum(n - a, n - b)
-        same = (words[np.minimum(a, n)] == words[np.minimum(b, n)]).cumprod(axis=1).sum(axis=1)
-        same = np.minimum(same, room)
+        differ = words[a] ^ words[b]
+        low = (differ & (~differ + np.uint64(1))).astype(np.float64)  # the first bit that differs
+        same = np.where(differ == 0, 8, np.log2(np.where(low > 0, low, 1)).astype(np.int64) >> 3)
+        same = np.minimum(same, n - np.maximum(a, b))
         found[places[live]] += same
         on = same == 8
         a, b, live = a[on] + 8, b[on] + 8, live[on]
@@ -124,10 +126,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     return plcp[order]
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive numbers in an ascending array."""
-    cut = np.flatnonzero(np.diff(at) > 1)
-    return at[np.concatenate([[0], cut + 1])], at[np.append(cut, len(at) - 1)]
+def _runs(block: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first, last) of each run of consecutive offsets in a block."""
+    order = np.lexsort((offset, block))
+    block, offset = block[order], offset[order]
+    first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(block) else np.zeros(0, int)
+    last = np.append(first[1:], len(block)) - 1 if len(block) else first
+    return block[first], offset[first], offset[last]
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +183,12 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
     found = materialise(found.join(names, "name"), "shared-blocks")
     kinds = found.groupBy("name", "digest").agg(F.count("*").alias("times"), F.min(F.struct("doc", "mark", "start", "n")).alias("one"))
     kinds = materialise(kinds, "kinds")
-    whole = found.join(kinds.where("times > 1").select("name", "digest"), ["name", "digest"], "left_semi")
-    whole = whole.select("doc", "mark", F.col("start").alias("low"), (F.col("start") + F.col("n") + (length - 1)).alias("high"))
+    # blocks that hold more than a thousandth of all rows are at most a thousand kinds: they are sent to every task, so that
+    # their rows don't meet in one
+    often = kinds.where("times > 1").select("name", "digest", (F.col("times") > found.count() / HOT_KINDS).alias("hot"))
+    hot = F.broadcast(often.where("hot").select("name", "digest"))
+    whole = found.join(hot, ["name", "digest"], "left_semi").unionByName(found.join(hot, ["name", "digest"], "left_anti").join(often.where("not hot").select("name", "digest"), ["name", "digest"], "left_semi"))
+    whole = materialise(whole.select("doc", "mark", F.col("start").alias("low"), (F.col("start") + F.col("n") + (length - 1)).alias("high")), "whole")
 
     several = materialise(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     to_sort = materialise(kinds.join(several, "name").select("name", "digest", "kinds", "times", "one.*"), "to-sort")
@@ -206,9 +215,10 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
         block, offset, kind, repeated = _repeated_in(table, length)
         doc, mark, start, done, apart = (table[c].to_numpy() for c in ("doc", "mark", "start", "done", "split"))
         out: list[tuple] = []
-        for b in np.unique(block[repeated & ~done[block]]).tolist():
-            low, high = _runs(np.sort(offset[repeated & (block == b)]))
-            out += [(doc[b], mark[b], start[b] + x, start[b] + y + length, None, None, None) for x, y in zip(low, high)]
+        loose = repeated & ~done[block]
+        at, low, high = _runs(block[loose], offset[loose])
+        columns = (doc[at], mark[at], start[at] + low, start[at] + high + length)
+        out += [(*row, None, None, None) for row in zip(*(c.tolist() for c in columns))]
         some = apart[block]
         if some.any():
             block, offset, kind = block[some], offset[some], kind[some]
