@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactspark.llm.common import id_and_text, materialise
@@ -25,6 +25,7 @@ CHUNK = 4096  # members of a bucket that meet in one group at most
 BLOCK_BYTES = 1 << 19  # of sets that are fetched together for the last comparisons
 REMEMBERED = 400_000
 SEED = 20_240_501
+SALTS = 32  # tasks that the edges of one node are dealt over
 FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
@@ -98,22 +99,33 @@ def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id",
     return id_and_text(docs, id_col, text_col).mapInArrow(run, FEATURES)
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with m, the least of a and its neighbours b. A node of very many edges is dealt over SALTS tasks."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.withColumn("m", F.least("a", F.min("m").over(Window.partitionBy("a"))))  # SALTS rows for a node at most
+    return salted.join(least.repartition("a", "salt"), ["a", "salt"]).select("a", "b", "m")
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node is either the child of one other or the parent of some."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that is reachable, for every node of ``edges`` (a, b)."""
+    """(node, component) for every node of ``edges`` (a, b): the least node that is reachable.
+
+    Alternating large and small stars; each round is written once. Edges of earlier calls may come back as
+    (node, component), as they are stars already.
+    """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
+    while not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()  # large stars
-        edges = materialise(edges, "large")
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        edges = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()  # small stars
-        edges = materialise(edges, "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        mark = now
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        both = _with_least(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        edges = materialise(both.where("a <> b").distinct(), "stars")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -253,15 +265,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     pairs = members.select(F.explode(F.array("p", "q")).alias("pivot"), "rep").where("pivot <> rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    links = materialise(_confirm(pairs, sets, percent), "links")
+    part = components(_confirm(pairs, sets, percent))
     block, packed = _blocks(members, sets)
     known_rows = reps.select("rep", "signature").join(block, "rep")
     for nearest in (3, None):
-        part = components(links).withColumnRenamed("node", "rep")
-        open_rows = members.select("bucket", "band", "rep").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        joined = part.withColumnRenamed("node", "rep")
+        open_rows = members.select("bucket", "band", "rep").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         packs = _apart(open_rows.join(known_rows, "rep"), percent, nearest)
-        links = materialise(links.unionByName(_confirm_packed(packs, packed, percent)), "links")
-    part = components(links).withColumnRenamed("node", "rep")
+        stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        part = components(stars.unionByName(_confirm_packed(packs, packed, percent)))
+    part = part.withColumnRenamed("node", "rep")
     classes = reps.select("digest", "rep").join(part, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "component_id")
     alone = found.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -269,6 +282,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, all columns kept."""
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """``docs`` with one document of each group, all columns kept.
+
+    Rows without id, null texts and texts without words stay. Of rows that repeat an id and a text one stays, if it has words.
+    A row goes by its id: where an id stands for different texts, all of its rows go if one of them isn't the first of its
+    group. An empty table gives no rows.
+    """
+    found = materialise(near_duplicates(docs, words, percent, id_col, text_col), "near-duplicates")
+    same_id = lambda other: docs[id_col].cast("long") == other["__id"]
+    gone = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(gone, same_id(gone), "left_anti")
+    twice = found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    twice = materialise(twice, "repeated-ids")
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, same_id(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(twice, same_id(twice), "left_anti").unionByName(again)
