@@ -271,11 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
             found = [reader.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["f", "label"])
 
-    rows = sample.where("half = 1").select("text", "label").mapInArrow(run, "f array<double>, label int").orderBy("label", "f").toArrow()
+    rows = sample.where("half = 1").select("text", "label").mapInArrow(run, "f array<double>, label int").toArrow()
     toxic = rows["label"].to_numpy() == 1
     if len(np.unique(toxic)) < 2:
         return Model()
-    mean, scale, coefficients, intercept = logistic(rows["f"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1), toxic.astype(float))
+    table = np.column_stack([toxic, rows["f"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)])
+    table = table[np.lexsort(table.T)]  # sums in one order, whatever order the rows came in
+    mean, scale, coefficients, intercept = logistic(table[:, 1:], table[:, 0])
     return Model(terms, weights, mean.tolist(), scale.tolist(), coefficients.tolist(), intercept)
 
 
