@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactspark.operators.order import place
+
 SHORT = 2500  # bp; nearer pairs are ligation artefacts
 
 
@@ -84,19 +86,9 @@ def hash_order(seed: int, *cols: str) -> Column:
 
 
 def exact_share(rows: DataFrame, share: float, keys: list[str], seed: int = 0, partition: list[str] | None = None) -> DataFrame:
-    """Column ``chosen`` for exactly floor(share * n) rows (of each partition), in hash order: no sampling error.
-
-    The order is total, so it is found by range buckets of the hash: bucket totals first, then ranks inside a bucket.
-    """
+    """Column ``chosen`` for exactly floor(share * n) rows (of each partition), in hash order: no sampling error."""
     part = partition or []
-    rows = rows.withColumn("__h", hash_order(seed, *keys)).withColumn("__b", F.substring("__h", 1, 2))
-    buckets = rows.groupBy(*part, "__b").agg(F.count("*").alias("__n"))
-    along, everything = Window.partitionBy(*part).orderBy("__b"), Window.partitionBy(*part)
-    buckets = buckets.select(
-        *part,
-        "__b",
-        F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.floor(F.lit(share) * F.sum("__n").over(everything)).alias("__want"),
-    )
-    inside = F.row_number().over(Window.partitionBy(*part, "__b").orderBy("__h", *keys))
-    return rows.withColumn("__i", inside).join(buckets, [*part, "__b"]).withColumn("chosen", F.col("__before") + F.col("__i") <= F.col("__want")).drop("__h", "__b", "__i", "__before", "__want")
+    want = rows.groupBy(*part).agg(F.floor(F.lit(share) * F.count("*")).alias("__want"))
+    placed = place(rows, part, [hash_order(seed, *keys), *keys], "__place")
+    placed = placed.join(F.broadcast(want), part) if part else placed.withColumn("__want", F.lit(want.first()["__want"]))
+    return placed.withColumn("chosen", F.col("__place") < F.col("__want")).drop("__place", "__want")

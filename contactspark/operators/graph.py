@@ -2,71 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of embeddings that are sent to every task at once.
-BLOCK_BYTES = 32 << 20
+from contactspark.operators.grid import Rows, block_pairs
+from contactspark.operators.order import place, quantiles
+from contactspark.operators.tables import materialise
 
 
 def nearest(rows: DataFrame, k: int, id_col: str = "id", vector_col: str = "v", group_col: str | None = None, metric: str = "euclidean") -> DataFrame:
     """(id, nbr, distance): the k nearest rows of each, itself at distance 0 included; ties to the smaller id.
 
-    ``group_col``: k for each group of the neighbours. Rows meet blocks of at most BLOCK_BYTES that every task gets; each
-    task keeps the best k of its block only.
+    ``group_col``: k for each group of the neighbours. Blocks of rows meet block by block; of each pair of blocks the best k
+    are found by their matrix product first and by exact differences then, and the lists are merged.
     """
-    spark = rows.sparkSession
-    group = F.col(group_col).cast("string") if group_col else F.lit("")
-    table = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), group.alias("g"))
-    size = table.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // BLOCK_BYTES))
-    out = None
-    for b in range(blocks):
-        part = table.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        if not len(part):
-            continue
-        sent = spark.sparkContext.broadcast((part["id"].to_numpy(), np.array(part["v"].to_pylist()), np.array(part["g"].to_pylist())))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vectors, groups = sent.value
-            for batch in batches:
-                own, q = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist())
-                for at in range(0, len(own), 256):
-                    x, mine = q[at : at + 256], own[at : at + 256]
-                    if metric == "cosine":
-                        d = 1 - x @ vectors.T / np.maximum(np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(vectors, axis=1), 1e-300)
-                    else:
-                        d = np.stack([np.sqrt(((vectors - y) ** 2).sum(axis=1)) for y in x])
-                    d[mine[:, None] == ids] = 0.0
-                    found = []
-                    for g in np.unique(groups):
-                        cols = np.flatnonzero(groups == g)
-                        for r in range(len(x)):
-                            best = cols[np.lexsort((ids[cols], ids[cols] != mine[r], d[r, cols]))[:k]]
-                            found.append((np.full(len(best), mine[r]), ids[best], d[r, best], np.full(len(best), g)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["id", "nbr", "distance", "g"])
-
-        found = table.select("id", "v").mapInArrow(run, "id long, nbr long, distance double, g string")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "id long, nbr long, distance double, g string")
+    group = F.dense_rank().over(Window.orderBy("name")).cast("long").alias("g")
+    names = rows.select(F.col(group_col).cast("string").alias("name")).distinct().select("name", group) if group_col else None
+    table = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), *([F.col(group_col).cast("string").alias("name")] if group_col else [F.lit(0).cast("long").alias("g")]))
+    if group_col:
+        table = table.join(F.broadcast(names.withColumnRenamed("name", "__group")), F.col("name").eqNullSafe(F.col("__group"))).select("id", "v", "g")  # a row for each group
+
+    def meet(x: Rows, y: Rows) -> list[np.ndarray]:
+        own, q, _ = x
+        order = np.argsort(y[0], kind="stable")  # ties go to the smaller id
+        ids, vectors, groups = (part[order] for part in y)
+        found = []
+        for at in range(0, len(own), 256):
+            mine, z = own[at : at + 256], q[at : at + 256]
+            if metric == "cosine":
+                rough = 1 - z @ vectors.T / np.maximum(np.linalg.norm(z, axis=1)[:, None] * np.linalg.norm(vectors, axis=1), 1e-300)
+                slack = np.full(len(z), 1e-9)
+            else:
+                a, b = (z**2).sum(axis=1), (vectors**2).sum(axis=1)
+                rough = a[:, None] + b - 2 * z @ vectors.T
+                slack = 1e-9 * (a + b.max(initial=0.0)) + 1e-300
+            same = mine[:, None] == ids
+            rough[same] = -np.inf
+            for g in np.unique(groups):
+                cols = np.flatnonzero(groups == g)
+                part = rough[:, cols]
+                if len(cols) > k:
+                    part = part <= (np.partition(part, k - 1, axis=1)[:, k - 1] + slack)[:, None]
+                    i, j = np.nonzero(part)
+                else:
+                    i, j = np.divmod(np.arange(part.size), len(cols))
+                j = cols[j]
+                exact = rough[i, j] if metric == "cosine" else np.sqrt(((z[i] - vectors[j]) ** 2).sum(axis=1))
+                exact = np.where(same[i, j], 0.0, exact)
+                best = np.lexsort((j, ~same[i, j], exact, i))
+                i, j, exact = i[best], j[best], exact[best]
+                first = np.searchsorted(i, i)
+                keep = np.arange(len(i)) - first < k
+                found.append((mine[i[keep]], ids[j[keep]], exact[keep], np.full(int(keep.sum()), g)))
+        return [np.concatenate(c) for c in zip(*found)]
+
+    out = block_pairs(table, meet, "id long, nbr long, distance double, g long")
     best = Window.partitionBy("id", "g").orderBy("distance", (F.col("nbr") != F.col("id")).cast("int"), "nbr")
     ranked = out.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k)
-    return ranked.select("id", "nbr", "distance", *([F.col("g").alias("nbr_group")] if group_col else []))
+    if group_col:
+        ranked = ranked.join(F.broadcast(names.withColumnRenamed("name", "nbr_group")), "g")
+    return ranked.select("id", "nbr", "distance", *(["nbr_group"] if group_col else []))
 
 
 def kernel_weights(neighbours: DataFrame) -> DataFrame:
     """(id, nbr, rank, weight): exp(-distance / q25) over the neighbours' sum; q25 is the lower quartile of all distances but
     those to oneself."""
-    q = neighbours.where("id <> nbr").agg(F.percentile("distance", F.lit(0.25)).alias("q"))
-    w = F.exp(-F.col("distance") / F.col("q"))
+    q = quantiles(neighbours.where("id <> nbr"), "distance", [0.25])[0]
+    w = F.exp(-F.col("distance") / F.lit(q))
     among = Window.partitionBy("id")
     rank = F.row_number().over(among.orderBy("distance", (F.col("nbr") != F.col("id")).cast("int"), "nbr"))
-    return neighbours.join(F.broadcast(q)).select("id", "nbr", rank.alias("rank"), (w / F.sum(w).over(among)).alias("weight"))
+    return neighbours.select("id", "nbr", rank.alias("rank"), (w / F.sum(w).over(among)).alias("weight"))
 
 
 def balanced_weights(rows: DataFrame, k: int, batch_col: str, id_col: str = "id", vector_col: str = "v") -> DataFrame:
@@ -106,29 +112,42 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def negatives(positives: DataFrame, index: DataFrame, per: int, n_cells: int, max_gap: int, seed: int = 0, tries: int = 8, pair_ratio: float = 0.5) -> DataFrame:
-    """(cell_id, chrom, bin1, bin2, t_bin1, t_bin2): about ``per`` pixels near each positive that no positive touches.
+def negatives(positives: DataFrame, index: DataFrame, per: int, n_cells: int, max_gap: int, seed: int = 0, tries: int = 50, pair_ratio: float = 0.5) -> DataFrame:
+    """(cell_id, chrom, bin1, bin2, t_cell, t_bin1, t_bin2): ``per`` pixels near each positive that no positive touches.
 
     A share ``pair_ratio`` changes one of cell, bin1, bin2; the rest draws both bins anew. Gaps must be over 1 and under
-    ``max_gap``. Draws are hashes of the positive and the try, so they are the same on every run.
+    ``max_gap``. Draws are hashes of the positive and the try, so they are the same on every run; the first that pass count.
+    Few tries are drawn first and more only for positives that still lack; one whose ``per * tries`` draws are used up gets
+    fewer rows, or none, as its surroundings are full.
     """
     key = [F.lit(str(seed)), *[F.col(c).cast("string") for c in ("cell_id", "chrom", "bin1", "bin2", "t")]]
     draw = lambda name: _uniform(F.lit(name), *key)
-    trial = positives.select("cell_id", "chrom", "bin1", "bin2", F.explode(F.sequence(F.lit(0), F.lit(per * tries - 1))).alias("t")).join(F.broadcast(index.select("chrom", "n_bins")), "chrom")
     one, which = draw("mode") < pair_ratio, F.floor(draw("which") * 3)
     bin_of = lambda name: F.floor(draw(name) * F.col("n_bins"))
-    trial = trial.withColumns({"c": F.when(one & (which == 0), F.floor(draw("cell") * n_cells)).otherwise(F.col("cell_id")), "a": F.when(~one | (which == 1), bin_of("a")).otherwise(F.col("bin1")), "b": F.when(~one | (which == 2), bin_of("b")).otherwise(F.col("bin2"))})
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    trial = trial.select(F.col("bin1").alias("t_bin1"), F.col("bin2").alias("t_bin2"), F.col("cell_id").alias("t_cell"), "t", "chrom", F.col("c").alias("cell_id"), low.alias("bin1"), high.alias("bin2")).where((F.col("bin2") - F.col("bin1") > 1) & (F.col("bin2") - F.col("bin1") < max_gap))
-    kept = near_positive(trial, positives)
-    rank = F.row_number().over(Window.partitionBy("t_cell", "chrom", "t_bin1", "t_bin2").orderBy("t"))
+    target = ["t_cell", "chrom", "t_bin1", "t_bin2"]
+
+    def drawn(some: DataFrame, low: int, high: int) -> DataFrame:
+        trial = some.select("cell_id", "chrom", "bin1", "bin2", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("t")).join(F.broadcast(index.select("chrom", "n_bins")), "chrom")
+        trial = trial.withColumns({"c": F.when(one & (which == 0), F.floor(draw("cell") * n_cells)).otherwise(F.col("cell_id")), "a": F.when(~one | (which == 1), bin_of("a")).otherwise(F.col("bin1")), "b": F.when(~one | (which == 2), bin_of("b")).otherwise(F.col("bin2"))})
+        trial = trial.select(F.col("bin1").alias("t_bin1"), F.col("bin2").alias("t_bin2"), F.col("cell_id").alias("t_cell"), "t", "chrom", F.col("c").alias("cell_id"), F.least("a", "b").alias("bin1"), F.greatest("a", "b").alias("bin2"))
+        return near_positive(trial.where((F.col("bin2") - F.col("bin1") > 1) & (F.col("bin2") - F.col("bin1") < max_gap)), positives)
+
+    kept, lacking, low = None, positives, 0
+    for high in sorted({min(tries, 2) * per, min(tries, 8) * per, tries * per}):
+        found = drawn(lacking, low, high)
+        kept = materialise(found if kept is None else kept.unionByName(found), "negatives")
+        low = high
+        if high < tries * per:
+            full = kept.groupBy(*target).agg(F.count("*").alias("n")).where(F.col("n") >= per).select(F.col("t_cell").alias("cell_id"), "chrom", F.col("t_bin1").alias("bin1"), F.col("t_bin2").alias("bin2"))
+            lacking = materialise(positives.select("cell_id", "chrom", "bin1", "bin2").join(full, ["cell_id", "chrom", "bin1", "bin2"], "left_anti"), "lacking")
+    rank = F.row_number().over(Window.partitionBy(*target).orderBy("t"))
     return kept.withColumn("r", rank).where(F.col("r") <= per).select("cell_id", "chrom", "bin1", "bin2", "t_cell", "t_bin1", "t_bin2")
 
 
 def stencil(bins: DataFrame) -> DataFrame:
-    """Each (i, j) with its four neighbours."""
+    """Each (i, j) of each chromosome with itself and its four neighbours."""
     cross = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
-    return bins.select("i", "j", F.explode(cross).alias("o")).select("i", "j", (F.col("i") + F.col("o.x")).alias("ni"), (F.col("j") + F.col("o.y")).alias("nj"))
+    return bins.select("chrom", "i", "j", F.explode(cross).alias("o")).select("chrom", "i", "j", (F.col("i") + F.col("o.x")).alias("ni"), (F.col("j") + F.col("o.y")).alias("nj"))
 
 
 def masked_keys(triplets: DataFrame) -> DataFrame:
@@ -138,16 +157,25 @@ def masked_keys(triplets: DataFrame) -> DataFrame:
     return triplets.select(F.explode(keys).alias("k")).select(*[F.col("k")[i].alias(c) for i, c in enumerate(("cell_id", "bin1", "bin2"))]).distinct()
 
 
+def holds_pair(rows: DataFrame, triplets: DataFrame) -> DataFrame:
+    """``rows`` (cell_id, bin1, bin2, any of them -1 as a wildcard) with ``held``: whether a triplet fits."""
+    keys = ["cell_id", "bin1", "bin2"]
+    whole = triplets.select(*keys).distinct()
+    known = whole.unionByName(masked_keys(triplets)).withColumn("__held", F.lit(True))
+    return rows.join(known, keys, "left").withColumn("held", F.coalesce("__held", F.lit(False))).drop("__held")
+
+
 def mini_batches(rows: DataFrame, keys: list[str], size: int, seed: int) -> DataFrame:
     """Column ``batch``: seeded order within each chromosome, cut in batches of ``size``."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), *keys).cast("binary"))
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("chrom").orderBy(order, *keys)) - 1) / size))
+    return place(rows, ["chrom"], [order, *keys], "__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def row_mean_product(edges: DataFrame, features: DataFrame) -> DataFrame:
-    """(i, k, v): features (j, k, x) averaged over the weighted edges (i, j, w) of each row."""
-    total = edges.groupBy("i").agg(F.sum("w").alias("t"))
-    return edges.join(features, "j").groupBy("i", "k").agg(F.sum(F.col("w") * F.col("x")).alias("s")).join(total, "i").select("i", "k", (F.col("s") / F.col("t")).alias("v"))
+    """(chrom, i, k, v): features (chrom, j, k, x) averaged over the weighted edges (chrom, i, j, w) of each row."""
+    total = edges.groupBy("chrom", "i").agg(F.sum("w").alias("t"))
+    sums = edges.join(features, ["chrom", "j"]).groupBy("chrom", "i", "k").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
+    return sums.join(total, ["chrom", "i"]).select("chrom", "i", "k", (F.col("s") / F.col("t")).alias("v"))
 
 
 def embedding_drift(old: DataFrame, new: DataFrame) -> DataFrame:

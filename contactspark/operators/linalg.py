@@ -1,15 +1,24 @@
-"""Dense algebra of one map at a time: each (cell, chromosome) is a group of its own, n^2 numbers at most in a task."""
+"""Linear algebra: dense for one map at a time (a cell's chromosome is a group of its own), by joins and sums for all cells."""
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Callable
+import operator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactspark.operators.grid import Rows, block_pairs
+from contactspark.operators.order import quantiles
+from contactspark.operators.tables import materialise
+
 
 def dense(table: pd.DataFrame, n: int, value: str = "v") -> np.ndarray:
     m = np.zeros((n, n))
@@ -190,31 +199,61 @@ def random_walk(sym: DataFrame, keys: list[str], index: DataFrame, restart: floa
     return per_map(sym, keys, index, lambda m, _: walked(m, restart))
 
 
-def sparse_svd(rows: DataFrame, k: int, id_col: str = "id", feature: str = "feature", value: str = "v", centre: bool = False) -> DataFrame:
+def sparse_svd(rows: DataFrame, k: int, id_col: str = "id", feature: str = "feature", value: str = "v", centre: bool = False, extra: int = 20, rounds: int = 4) -> DataFrame:
     """(id, v array<double>): scores on the first k singular vectors of a sparse table (id, feature, value).
 
-    The Gram matrix of ids is summed by a self join on the feature; its size is the square of the number of ids, which must
-    fit one node (cells, not contacts). The largest absolute score of each component is positive.
+    Randomised subspace iteration: k + ``extra`` random directions, ``rounds`` further products with the table and its
+    transpose, all of them joins and sums; only matrices of that few columns reach the driver. With no more ids than
+    directions the result is exact, else close to it. ``centre`` takes each feature's mean off. The largest absolute score of each component is
+    positive. Ids whose rows are all null or zero have scores of 0; an empty table gives no rows.
     """
-    a = rows.select(F.col(id_col).alias("a"), feature, F.col(value).cast("double").alias("x"))
-    b = rows.select(F.col(id_col).alias("b"), feature, F.col(value).cast("double").alias("y"))
-    gram = a.join(b, feature).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([table["a"], table["b"]]))
-        i, j = np.searchsorted(ids, table["a"]), np.searchsorted(ids, table["b"])
-        g = np.zeros((len(ids), len(ids)))
-        g[i, j] = g[j, i] = table["g"]
+    width = k + extra
+    table = materialise(rows.where(F.col(value).isNotNull()).select(F.col(id_col).alias("id"), F.col(feature).alias("feature"), F.col(value).cast("double").alias("x")), "svd-table")
+    names = [f"w{t}" for t in range(width)]
+    drawn = [F.xxhash64("feature", F.lit(t)) / F.lit(float(1 << 63)) for t in range(width)]
+    y = table.groupBy("id").agg(*[F.sum(F.col("x") * d).alias(n) for d, n in zip(drawn, names)])
+
+    def square(df: DataFrame, columns: list[str]) -> np.ndarray:
+        pairs = [(a, b) for a in range(len(columns)) for b in range(a, len(columns))]
+        sums = df.agg(*[F.sum(F.col(columns[a]) * F.col(columns[b])) for a, b in pairs]).first()
+        out = np.zeros((len(columns), len(columns)))
+        for (a, b), s in zip(pairs, sums):
+            out[a, b] = out[b, a] = s or 0.0
+        return out
+
+    def times(df: DataFrame, key: str, columns: list[str], m: np.ndarray, to: list[str]) -> DataFrame:
+        products = [reduce(operator.add, [F.col(c) * float(m[i, t]) for i, c in enumerate(columns)]).alias(n) for t, n in enumerate(to)]
+        return df.select(key, *products)
+
+    def orthonormal(df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Columns of unit length at right angles; directions without weight are left out. Twice, for the rounding."""
+        df, columns = materialise(df, "svd-ids"), [c for c in df.columns if c != "id"]
         if centre:
-            h = np.eye(len(ids)) - 1 / len(ids)
-            g = h @ g @ h
-        values, vectors = np.linalg.eigh(g)
-        order = np.argsort(-values)[:k]
-        scores = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
-        scores *= np.sign(scores[np.argmax(np.abs(scores), axis=0), np.arange(scores.shape[1])])
-        return pd.DataFrame({"id": ids, "v": list(scores)})
-
-    return gram.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, v array<double>")
+            mean = df.agg(*[F.avg(c) for c in columns]).first()
+            df = df.select("id", *[(F.col(c) - (m or 0.0)).alias(c) for c, m in zip(columns, mean)])
+        for _ in range(2):
+            values, vectors = np.linalg.eigh(square(df, columns))
+            keep = np.flatnonzero(values > 1e-12 * max(values.max(initial=0.0), 1e-300))[::-1]
+            to = [f"w{t}" for t in range(len(keep))]
+            df, columns = materialise(times(df, "id", columns, vectors[:, keep] / np.sqrt(values[keep]), to), "svd-basis"), to
+        return df, columns
+
+    def across(df: DataFrame, key: str, other: str, columns: list[str]) -> DataFrame:
+        return table.join(df, key).groupBy(other).agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in columns])
+
+    basis, columns = orthonormal(y)
+    for _ in range(rounds):
+        if columns:
+            basis, columns = orthonormal(across(materialise(across(basis, "id", "feature", columns), "svd-features"), "feature", "id", columns))
+    if not columns:
+        return table.select("id").distinct().select("id", F.array_repeat(F.lit(0.0), k).alias("v"))
+    values, vectors = np.linalg.eigh(square(materialise(across(basis, "id", "feature", columns), "svd-features"), columns))
+    order = np.argsort(-values)[:k]
+    to = [f"s{t}" for t in range(len(order))]
+    scores = materialise(times(basis, "id", columns, vectors[:, order] * np.sqrt(np.maximum(values[order], 0)), to), "svd-scores")
+    top = scores.agg(*[F.max_by(c, F.struct(F.round(F.abs(F.col(c)), 9), -F.xxhash64("id"))) for c in to]).first()
+    signed = [F.col(c) * (-1.0 if (x or 0.0) < 0 else 1.0) for c, x in zip(to, top or [])]
+    return scores.select("id", F.array(*signed).alias("v"))
 
 
 def cell_features(pixels: DataFrame, k: int, least_cells: int = 5) -> DataFrame:
@@ -240,36 +279,60 @@ def binary_features(sym: DataFrame, index: DataFrame, percent: float, k: int, re
     return sparse_svd(binary.withColumn("feature", F.concat_ws("-", "chrom", "i", "j")), k, "cell_id", centre=True)
 
 
-def scaling(distances: DataFrame, k: int = 2) -> DataFrame:
-    """(id, v): classical multidimensional scaling of (id, nbr, distance), all pairs of a set that fits one node."""
+#: Rows that ``scaling`` is fitted on at most, by the least hash of their id; every row is placed by its distances to them.
+LANDMARKS = 1000
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(table["id"])
-        d = np.zeros((len(ids), len(ids)))
-        d[np.searchsorted(ids, table["id"]), np.searchsorted(ids, table["nbr"])] = table["distance"]
-        h = np.eye(len(ids)) - 1 / len(ids)
-        values, vectors = np.linalg.eigh(-h @ (d**2) @ h / 2)
-        order = np.argsort(-values)[:k]
-        x = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
-        x *= np.sign(x[np.argmax(np.abs(x), axis=0), np.arange(x.shape[1])])
-        return pd.DataFrame({"id": ids, "v": list(x)})
 
-    return distances.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, v array<double>")
+def scaling(rows: DataFrame, k: int = 2, landmarks: int = LANDMARKS) -> DataFrame:
+    """(id, v): multidimensional scaling of (id, v) by landmarks: classical scaling of at most ``landmarks`` rows, and for
+    every row the place that its distances to them give, which for a landmark is its own. An empty table gives no rows."""
+    table = rows.select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    some = table.orderBy(F.xxhash64("id"), "id").limit(landmarks).toArrow()
+    if not len(some):
+        return rows.sparkSession.createDataFrame([], "id long, v array<double>")
+    marks = np.array(some["v"].to_pylist())
+    d2 = ((marks**2).sum(axis=1)[:, None] + (marks**2).sum(axis=1) - 2 * marks @ marks.T).clip(min=0)
+    h = np.eye(len(marks)) - 1 / len(marks)
+    values, vectors = np.linalg.eigh(-h @ d2 @ h / 2)
+    order = np.argsort(-values)[:k]
+    root = np.sqrt(np.maximum(values[order], 0))
+    axes = vectors[:, order] / np.where(root > 1e-12, root, np.inf)
+    places = vectors[:, order] * root
+    axes = axes * np.sign(places[np.argmax(np.abs(places), axis=0), np.arange(places.shape[1])])
+    sent = rows.sparkSession.sparkContext.broadcast((marks, d2.mean(axis=0), axes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, mean, axes = sent.value
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist()).reshape(batch.num_rows, marks.shape[1])
+            d2 = (x**2).sum(axis=1)[:, None] + (marks**2).sum(axis=1) - 2 * x @ marks.T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(-(d2 - mean) @ axes / 2), pa.list_(pa.float64()))], ["id", "v"])
+
+    return table.mapInArrow(run, "id long, v array<double>")
 
 
 def density(points: DataFrame, x: str = "x", y: str = "y", factor: float = 1.0) -> DataFrame:
     """(id, density): Gaussian kernel density of 2-D points at themselves; bandwidth n^(-1/6) times ``factor``.
 
-    The points meet a broadcast copy, so their number must be that of cells, not of contacts.
+    Blocks of points meet block by block and give partial sums. Ids must differ; points with a null take no part.
     """
-    stats = points.agg(F.count("*").alias("n"), F.var_samp(x).alias("xx"), F.var_samp(y).alias("yy"), F.covar_samp(x, y).alias("xy"))
-    other = points.select(F.col(x).alias("x2"), F.col(y).alias("y2"))
-    h2 = F.pow(F.pow("n", F.lit(-1 / 6)) * factor, F.lit(2.0))
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    dx, dy = F.col(x) - F.col("x2"), F.col(y) - F.col("y2")
-    q = (dx * dx * F.col("yy") - 2 * dx * dy * F.col("xy") + dy * dy * F.col("xx")) / det
-    each = points.join(F.broadcast(other)).join(F.broadcast(stats))
-    return each.groupBy("id").agg((F.sum(F.exp(-q / (2 * h2))) / F.first(F.col("n") * 2 * math.pi * h2 * F.sqrt(det))).alias("density"))
+    points = points.select(F.col("id").cast("long").alias("id"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("v"), F.lit(0).cast("long").alias("g")).where(~F.exists("v", lambda c: c.isNull()))
+    a, b = F.col("v")[0], F.col("v")[1]
+    n, xx, yy, xy = points.agg(F.count("*"), F.var_samp(a), F.var_samp(b), F.covar_samp(a, b)).first()
+    h2 = (max(n, 1) ** (-1 / 6) * factor) ** 2
+    det = (xx or 0.0) * (yy or 0.0) - (xy or 0.0) ** 2
+    if not det > 0:
+        return points.select("id", F.lit(None).cast("double").alias("density"))
+
+    def meet(p: Rows, q: Rows) -> list[np.ndarray]:
+        total = np.zeros(len(p[0]))
+        for at in range(0, len(p[0]), 256):
+            d = p[1][at : at + 256, None, :] - q[1][None, :, :]
+            total[at : at + 256] = np.exp(-(d[..., 0] ** 2 * yy - 2 * d[..., 0] * d[..., 1] * xy + d[..., 1] ** 2 * xx) / det / (2 * h2)).sum(axis=1)
+        return [p[0], total]
+
+    sums = block_pairs(points, meet, "id long, s double")
+    return sums.groupBy("id").agg((F.sum("s") / (n * 2 * math.pi * h2 * math.sqrt(det))).alias("density"))
 
 
 def zinb(rows: DataFrame, x: str, mean: str, dispersion: str, dropout: str) -> DataFrame:
@@ -292,55 +355,78 @@ def zinb(rows: DataFrame, x: str, mean: str, dispersion: str, dropout: str) -> D
 
 
 def calibrate(scores: DataFrame, own: DataFrame, bulk: DataFrame, seed: int = 0, rounds: int = 50) -> DataFrame:
-    """(chrom, bin, members): shared boundaries of a population, by alternating assignment and placing.
+    """(chrom, bin, members, settled): shared boundaries of a population, by alternating assignment and placing.
 
     ``scores`` (cell_id, chrom, bin, score), ``own`` (cell_id, chrom, bin) and ``bulk`` (chrom, bin). It starts from the bulk's
-    boundaries and seeded further ones, 1.5 times as many in all; each boundary goes to the nearest shared one by score
-    distance; each shared one moves to the bin of least summed distance among its members' range. A chromosome is a task.
+    boundaries and further ones in a seeded order, 1.5 times as many in all. In each round every boundary of a cell goes to the
+    nearest shared one by score distance, and each shared one moves to the bin of least summed distance within the range of
+    its members. A cell's chromosome is a piece of work; the driver holds the shared bins of a chromosome only. ``settled`` is
+    false for a chromosome that still moved after ``rounds``. Bins of a cell must be 0, 1, 2 and so on.
     """
+    spark = scores.sparkSession
     packed = scores.groupBy("chrom", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "score"))), lambda t: t["score"]).alias("s"))
-    mine = own.groupBy("chrom", "cell_id").agg(F.array_sort(F.collect_list("bin")).alias("b"))
-    start = bulk.groupBy("chrom").agg(F.array_sort(F.collect_list("bin")).alias("shared"))
-    rows = packed.join(mine, ["chrom", "cell_id"]).join(F.broadcast(start), "chrom")
-
-    def distance(s: np.ndarray, cum: np.ndarray, a: int, b: int) -> float:
-        low, high = min(a, b), max(a, b)
-        return abs(cum[a] - cum[b] - (a - b) * s[low : high + 1].min())
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("cell_id")
-        cells = [(np.array(s), np.cumsum(s), [int(x) for x in b]) for s, b in zip(table["s"], table["b"])]
-        shared = {int(x) for x in table["shared"].iloc[0]}
-        rest = sorted({x for *_, b in cells for x in b} - shared)
-        np.random.default_rng(seed).shuffle(rest)
-        shared = sorted(shared | set(rest[: max(0, int(1.5 * len(shared)) - len(shared))]))
-        stable, members = 0, {}
-        for _ in range(rounds):
-            members = {}
-            for at, (s, cum, b) in enumerate(cells):
-                for x in b:
-                    k = int(np.searchsorted(shared, x))
-                    near = shared[max(0, k - 1) : k + 1]
-                    best = min(near, key=lambda y: (distance(s, cum, x, y), y))
-                    members.setdefault(best, []).append((at, x))
-            moved = []
-            for group in members.values():
-                places = range(min(x for _, x in group), max(x for _, x in group) + 1)
-                moved.append(min(places, key=lambda y: (sum(distance(*cells[at][:2], x, y) for at, x in group), y)))
-            new = sorted(set(moved))
-            stable = stable + 1 if new == shared else 0
-            shared = new
-            if stable == 2:
-                break
-        count = {k: len(v) for k, v in members.items()}
-        return pd.DataFrame({"chrom": table["chrom"].iloc[0], "bin": shared, "members": [count.get(x, 0) for x in shared]})
-
-    return rows.groupBy("chrom").applyInPandas(run, "chrom string, bin long, members long")
+    mine = own.groupBy("chrom", "cell_id").agg(F.array_sort(F.collect_set("bin")).alias("b"))
+    cells = materialise(packed.join(mine, ["chrom", "cell_id"]), "calibrate")
+    known = bulk.select("chrom", "bin").distinct()
+    size = known.groupBy("chrom").agg(F.floor(1.5 * F.count("*")).alias("want"), F.count("*").alias("have"))
+    rest = own.select("chrom", "bin").distinct().join(known, ["chrom", "bin"], "left_anti").join(F.broadcast(size), "chrom")
+    order = Window.partitionBy("chrom").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "chrom", "bin").cast("binary")), "bin")  # bins of the index
+    more = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("want") - F.col("have")).select("chrom", "bin")
+    shared: dict[str, list[int]] = {}
+    for r in known.unionByName(more).collect():
+        shared.setdefault(r["chrom"], []).append(r["bin"])
+    shared = {c: sorted(b) for c, b in shared.items()}
+    stable = dict.fromkeys(shared, 0)
+    members: dict[tuple[str, int], int] = {}
+
+    def assign(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shared = sent.value
+            for batch in batches:
+                out: list[tuple] = []
+                for chrom, s, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    if chrom not in shared:
+                        continue
+                    s, places = np.array(s), shared[chrom]
+                    cum = np.cumsum(s)
+                    for x in b:
+                        k = bisect.bisect_left(places, x)
+                        low, high = max(0, (places[k - 2] if k > 1 else 0)), min(len(s) - 1, places[k + 1] if k + 1 < len(places) else len(s) - 1)
+                        y = np.arange(low, high + 1)
+                        least = np.concatenate([np.minimum.accumulate(s[low : x + 1][::-1])[::-1], np.minimum.accumulate(s[x : high + 1])[1:]])
+                        d = np.abs(cum[x] - cum[low : high + 1] - (x - y) * least)
+                        best = min(places[max(0, k - 1) : k + 1], key=lambda p: (d[p - low], p))
+                        out += [(chrom, best, x, int(p), float(v)) for p, v in zip(y, d)]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["chrom", "shared", "x", "y", "d"])
+
+        return run
+
+    for _ in range(rounds):
+        if all(n == 2 for n in stable.values()):
+            break
+        moving = [c for c, n in stable.items() if n < 2]
+        sent = spark.sparkContext.broadcast({c: shared[c] for c in moving})
+        found = cells.where(F.col("chrom").isin(moving)).select("chrom", "s", "b").mapInArrow(assign(sent), "chrom string, shared long, x long, y long, d double")
+        by_place = found.groupBy("chrom", "shared", "y").agg(F.sum("d").alias("d"), F.min("x").alias("low"), F.max("x").alias("high"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("here"))
+        group = Window.partitionBy("chrom", "shared")
+        in_range = by_place.withColumns({"first": F.min("low").over(group), "last": F.max("high").over(group), "members": F.sum("here").over(group)}).where("y BETWEEN first AND last")
+        # every member reaches over the whole range, so sums at its places are complete
+        new = in_range.groupBy("chrom", "shared").agg(F.min_by("y", F.struct(F.round("d", 9), "y")).alias("to"), F.max("members").alias("members")).collect()
+        for c in moving:
+            moved = sorted({r["to"] for r in new if r["chrom"] == c})
+            stable[c] = stable[c] + 1 if moved == shared[c] else 0
+            shared[c] = moved
+            members = {k: v for k, v in members.items() if k[0] != c} | {(c, r["shared"]): r["members"] for r in new if r["chrom"] == c}
+    rows = [(c, b, members.get((c, b), 0), stable[c] == 2) for c in shared for b in shared[c]]
+    return spark.createDataFrame(rows, "chrom string, bin long, members long, settled boolean")
 
 
 def quantile_normal(table: DataFrame, value: str, n: int = 250) -> DataFrame:
-    """``value`` by interpolation between ``n`` quantiles of all values, in [0, 1]."""
-    knots = table.agg(F.percentile(value, F.array(*[F.lit(k / (n - 1)) for k in range(n)])).alias("k")).first()["k"]
+    """``value`` by interpolation between ``n`` quantiles of all values, in [0, 1]; equal knots count by their middle."""
+    knots = quantiles(table, value, [k / (n - 1) for k in range(n)])
+    if knots[0] is None:
+        return table.withColumn(value, F.lit(None).cast("double"))
 
     @F.pandas_udf("double")
     def place(v: pd.Series) -> pd.Series:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactspark.operators.maps import grid
 from contactspark.operators.norms import tie_rank
+from contactspark.operators.order import quantiles, running, tie_ranked
 
 
 def pearson(x: str, y: str) -> Column:
@@ -29,7 +30,7 @@ def align(a: DataFrame, b: DataFrame, index: DataFrame | None = None) -> DataFra
 
 def flat(aligned: DataFrame) -> DataFrame:
     """(chrom, pearson, spearman) over all aligned cells."""
-    ranked = aligned.withColumns({"rx": tie_rank("x", ["chrom"]), "ry": tie_rank("y", ["chrom"])})
+    ranked = tie_ranked(aligned, ["chrom"], {"rx": "x", "ry": "y"})
     return ranked.groupBy("chrom").agg(pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"))
 
 
@@ -59,8 +60,7 @@ def stratum_adjusted_stable(aligned: DataFrame) -> DataFrame:
 def auroc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """(auroc, positives, negatives) from tie-averaged ranks: counts for each score first, so only distinct scores are ordered."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by.withColumn("w", F.col("p") * (below + (F.col("n") - F.col("p")) / 2))
+    wins = running(by, [], ["s"], {"below": F.col("n") - F.col("p")}).withColumn("w", F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
     total = wins.agg(F.sum("w").alias("w"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
     return total.select((F.col("w") / (F.col("positives") * F.col("negatives"))).alias("auroc"), "positives", "negatives")
 
@@ -68,8 +68,7 @@ def auroc(rows: DataFrame, label: str, score: str) -> DataFrame:
 def aupr(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Average precision: precision at each distinct score times the recall it adds."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by.select("p", (F.sum("p").over(down) / F.sum("n").over(down)).alias("precision"))
+    steps = running(by, [], [-F.col("s").cast("double")], {"p_before": F.col("p"), "n_before": F.col("n")}).withColumn("precision", (F.col("p_before") + F.col("p")) / (F.col("n_before") + F.col("n")))
     return steps.agg((F.sum(F.col("p") * F.col("precision")) / F.sum("p")).alias("aupr"))
 
 
@@ -79,9 +78,8 @@ def accuracy(rows: DataFrame, label: str, score: str, threshold: float = 0.5) ->
 
 def continuous_fit(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """Pearson and Spearman, for labels that are not binary."""
-    by = lambda c: rows.groupBy(c).count().withColumn("__r", F.sum("count").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("count") - 1) / 2).select(c, F.col("__r").alias(f"__{c}"))
-    ranked = rows.join(by(truth), truth).join(by(score), score)
-    return ranked.agg(pearson(truth, score).alias("pearson"), pearson(f"__{truth}", f"__{score}").alias("spearman"))
+    ranked = tie_ranked(rows, [], {"__truth": truth, "__score": score})
+    return ranked.agg(pearson(truth, score).alias("pearson"), pearson("__truth", "__score").alias("spearman"))
 
 
 def rand_index(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -148,8 +146,8 @@ def rank_loss(rows: DataFrame, truth: str, score: str, block: str) -> DataFrame:
 def weight_transform(rows: DataFrame, weight: str, negatives: int) -> DataFrame:
     """log2(w + 1), capped at its 99 % quantile, scaled to a mean of ``negatives``."""
     logged = rows.withColumn(weight, F.log2(F.col(weight) + 1))
-    cap = logged.agg(F.percentile(weight, F.lit(0.99)).alias("__cap"))
-    capped = logged.join(F.broadcast(cap)).withColumn(weight, F.least(weight, "__cap")).drop("__cap")
+    cap = quantiles(logged, weight, [0.99])[0]
+    capped = logged.withColumn(weight, F.least(weight, F.lit(cap)))
     mean = capped.agg(F.avg(weight).alias("__m"))
     return capped.join(F.broadcast(mean)).withColumn(weight, F.col(weight) / F.col("__m") * negatives).drop("__m")
 
@@ -162,6 +160,7 @@ def regress_out(rows: DataFrame, value: str, covariate: str, keys: list[str]) ->
 
 def clip_scale(rows: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Clipped to two quantiles, then to [0, 1]."""
-    q = rows.agg(F.percentile(value, F.lit(low)).alias("__a"), F.percentile(value, F.lit(high)).alias("__b"))
-    clipped = F.greatest(F.least(value, "__b"), F.col("__a"))
-    return rows.join(F.broadcast(q)).withColumn(value, F.when(F.col("__b") > F.col("__a"), (clipped - F.col("__a")) / (F.col("__b") - F.col("__a"))).otherwise(F.lit(0.0))).drop("__a", "__b")
+    a, b = quantiles(rows, value, [low, high])
+    if a is None or a == b:
+        return rows.withColumn(value, F.when(F.col(value).isNotNull(), F.lit(0.0)))
+    return rows.withColumn(value, (F.greatest(F.least(value, F.lit(b)), F.lit(a)) - a) / (b - a))

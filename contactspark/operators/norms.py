@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactspark.operators.maps import expected
+from contactspark.operators.order import tie_ranked
 
 
 def coverage_sqrt(sym: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,13 +119,13 @@ def match_coverage(sym: DataFrame, batches: DataFrame, least: float = 0.8) -> Da
     all_rows = sym.groupBy("chrom", "i").agg(F.sum("v").alias("t"))
     all_rows = all_rows.withColumn("t", F.col("t") / F.sum("t").over(Window.partitionBy("chrom"))).where("t > 0")
     frame = all_rows.join(F.broadcast(cover.select("chrom", "batch").distinct()), "chrom").join(shares, ["chrom", "batch", "i"], "left").fillna(0.0, ["s"])
-    ranked = frame.withColumns({"rs": tie_rank("s", ["chrom", "batch"]), "rt": tie_rank("t", ["chrom", "batch"])})
+    ranked = tie_ranked(frame, ["chrom", "batch"], {"rs": "s", "rt": "t"})
     rho = ranked.groupBy("chrom", "batch").agg(F.when(F.stddev_pop("rs") * F.stddev_pop("rt") > 0, F.covar_pop("rs", "rt") / (F.stddev_pop("rs") * F.stddev_pop("rt"))).alias("correlation"))
     scale = F.when(F.col("correlation") < least, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(F.lit(0.0))).otherwise(F.lit(1.0))
     return frame.join(F.broadcast(rho), ["chrom", "batch"]).select("chrom", "batch", "i", "correlation", scale.alias("scale"))
 
 
 def tie_rank(value: str, partition: list[str]) -> Column:
-    """Ranks from 1; equal values share their mean rank."""
+    """Ranks from 1 within groups that fit a task; equal values share their mean rank. ``order.tie_ranked`` has no such limit."""
     among = Window.partitionBy(*partition)
     return F.rank().over(among.orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / F.lit(2.0)

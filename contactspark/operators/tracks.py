@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactspark.operators.maps import grid
+from contactspark.operators.order import place, tie_ranked
 
 
 def insulation(sym: DataFrame, keys: list[str], index: DataFrame, window: int) -> DataFrame:
@@ -84,16 +87,14 @@ def z_score(tracks: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def quantile_ranks(tracks: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Uniform quantile transform with as many quantiles as values: mean of the lowest and highest place of ties, in [0, 1]."""
-    among = Window.partitionBy(*keys)
-    low = F.rank().over(among.orderBy(value)) - 1
-    high = low + F.count("*").over(Window.partitionBy(*keys, value)) - 1
-    n = F.count("*").over(among)
-    return tracks.withColumn(value, F.when(n > 1, (low + high) / 2 / (n - 1)).otherwise(F.lit(0.0)))
+    count = tracks.groupBy(*keys).agg(F.count("*").alias("__n"))
+    ranked = tie_ranked(tracks, keys, {"__r": value}).join(F.broadcast(count), keys)  # a row for each group
+    return ranked.withColumn(value, F.when(F.col("__n") > 1, (F.col("__r") - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))).drop("__r", "__n")
 
 
 def rank_match(source: DataFrame, target: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``source`` with its values replaced by the target's values of the same rank (keys, bin, value)."""
-    ranked = lambda df: df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(value, "bin")))
+    ranked = lambda df: place(df, keys, [value, "bin"], "__r")
     return ranked(source).drop(value).join(ranked(target).select(*keys, "__r", value), [*keys, "__r"]).drop("__r")
 
 
@@ -140,9 +141,25 @@ def cpg_rate(sequence: Column) -> Column:
 
 
 def cpg_windows(genome: DataFrame, window: int, keep_tail: bool = False) -> DataFrame:
-    """(chrom, start, end, rate) of each window; the last, shorter one only on request."""
-    n = F.ceil(F.length("sequence") / window) if keep_tail else F.floor(F.length("sequence") / window)
-    cut = genome.withColumn("n", n.cast("long")).where("n > 0").select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("w"), "sequence")
-    part = F.substring(F.col("sequence"), (F.col("w") * window + 1).cast("int"), F.lit(window))
+    """(chrom, start, end, rate) of each window; the last, shorter one only on request.
+
+    ``genome`` holds whole sequences (chrom, sequence) or pieces of them (chrom, offset, sequence), as ``readers.fasta``
+    gives. Each piece is cut at the windows' borders once, from left to right, and windows are put together from their cuts,
+    so no sequence is copied or held whole.
+    """
+    pieces = genome if "offset" in genome.columns else genome.withColumn("offset", F.lit(0).cast("long"))
+    size = pieces.groupBy("chrom").agg(F.max(F.col("offset") + F.length("sequence")).alias("size"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chrom, offset, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                borders = [0, *range(window - offset % window, len(text), window), len(text)]
+                for at in range(0, len(borders) - 1, 4096):
+                    low, high = borders[at : at + 4096], borders[at + 1 : at + 4097]
+                    yield pa.RecordBatch.from_pydict({"chrom": [chrom] * len(high), "w": [(offset + a) // window for a in low[: len(high)]], "at": [offset + a for a in low[: len(high)]], "part": [text[a:b] for a, b in zip(low, high)]})
+
+    cuts = pieces.where(F.length("sequence") > 0).select("chrom", "offset", "sequence").mapInArrow(cut, "chrom string, w long, at long, part string")
+    joined = cuts.groupBy("chrom", "w").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("s"))
     start = F.col("w") * window
-    return cut.select("chrom", start.alias("start"), F.least(start + window, F.length("sequence")).alias("end"), cpg_rate(part).alias("rate"))
+    out = joined.join(F.broadcast(size), "chrom").select("chrom", start.alias("start"), F.least(start + window, "size").alias("end"), cpg_rate(F.col("s")).alias("rate"))
+    return out if keep_tail else out.where(F.col("end") - F.col("start") == window)

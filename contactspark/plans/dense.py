@@ -95,10 +95,10 @@ def _(spark, d):
 
 def _points(spark, d):
     e = F.col("embedding")
-    return X.table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y"))
+    return X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y"))
 
 
-@query("n24_density", """WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE vec_id < 300), s AS (SELECT count(*) AS n, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy, count(*) ** (-1.0::DOUBLE / 3) AS h2 FROM p)
+@query("n24_density", """WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT count(*) AS n, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy, count(*) ** (-1.0::DOUBLE / 3) AS h2 FROM p)
 SELECT a.id, round(sum(exp(-((a.x - b.x) ** 2 * yy - 2 * (a.x - b.x) * (a.y - b.y) * xy + (a.y - b.y) ** 2 * xx) / (xx * yy - xy * xy) / (2 * h2))) / max(n * 2 * pi() * h2 * sqrt(xx * yy - xy * xy)), 5) AS density FROM p a, p b, s GROUP BY a.id""")
 def _(spark, d):
     return L.density(_points(spark, d)).withColumn("density", F.round("density", 5))
@@ -112,15 +112,13 @@ def _(spark, d):
 
 @query("n21_scaling")
 def _(spark, d):
-    cells = X.table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return L.scaling(G.nearest(cells, 100), 2)
+    return L.scaling(X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 2)
 
 
 @query("n22_projection")
 def _(spark, d):
-    e = X.table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("feature", "v"))
-    mean = e.groupBy("feature").agg(F.avg("v").alias("m"))
-    return L.sparse_svd(e.join(F.broadcast(mean), "feature").withColumn("v", F.col("v") - F.col("m")), 3)
+    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("feature", "v"))
+    return L.sparse_svd(e, 3, centre=True)
 
 
 @query("n23_clusters")
@@ -153,6 +151,10 @@ def _(spark, d):
     return L.calibrate(scores, own, bulk)
 
 
-@query("w10_quantile_normal")
+_KNOTS = ", ".join(f"{k / 249!r}::DOUBLE" for k in range(250))
+
+
+@query("w10_quantile_normal", sql(f"""SELECT chrom, i, j, round((CASE WHEN up >= 249 THEN 1 ELSE (up + (v - k[up + 1]) / (k[up + 2] - k[up + 1])) / 249 END + CASE WHEN down <= 0 THEN 0 ELSE (down - (k[down + 1] - v) / (k[down + 1] - k[down])) / 249 END) / 2, 6) AS v
+FROM (SELECT chrom, i, j, v, k, len(list_filter(k, lambda x: x <= v)) - 1 AS up, len(list_filter(k, lambda x: x < v)) AS down FROM (SELECT chrom, i, j, CAST(v AS DOUBLE) AS v FROM bulk), (SELECT quantile_cont(CAST(v AS DOUBLE), [{_KNOTS}]) AS k FROM bulk))""", "bulk"))
 def _(spark, d):
     return r6(L.quantile_normal(X.bulk(spark, d), "v"), "v")

@@ -12,6 +12,7 @@ from contactspark.operators import maps as M
 from contactspark.operators import metrics as Q
 from contactspark.operators import norms as N
 from contactspark.operators import tracks as T
+from contactspark.operators.order import place
 from contactspark.plans import fixtures as X
 from contactspark.plans.features import _MIN, _scored, _scores
 from contactspark.plans.fixtures import r6, sql
@@ -60,7 +61,7 @@ def _(spark, d):
 
 @query("w11_position_rank", sql("SELECT chrom, i, j, row_number() OVER (PARTITION BY chrom ORDER BY v, i, j) - 1 AS r FROM bulk", "bulk"))
 def _(spark, d):
-    return X.bulk(spark, d).select("chrom", "i", "j", (F.row_number().over(Window.partitionBy("chrom").orderBy("v", "i", "j")) - 1).alias("r"))
+    return place(X.bulk(spark, d).select("chrom", "i", "j", "v"), ["chrom"], ["v", "i", "j"], "r").drop("v")
 
 
 @query("a16_expected_mean", sql("SELECT chrom, j - i AS d, round(avg(v), 6) AS expected FROM bulk GROUP BY ALL", "bulk"))
@@ -76,18 +77,18 @@ def _(spark, d):
     return half(0).join(half(1), ["chrom", "bin"]).groupBy("chrom").agg(F.round(F.abs(Q.pearson("s0", "s1")), 6).alias("pearson"))
 
 
-@query("n36_all_cell_weights", "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding[2:15] AS DOUBLE[]), CAST(b.embedding[2:15] AS DOUBLE[])) AS d FROM embeddings a, embeddings b WHERE a.vec_id < 60 AND b.vec_id < 60), q AS (SELECT id, quantile_cont(d, 0.25) AS q FROM p GROUP BY 1) SELECT id, nbr, round(exp(-d / q) / sum(exp(-d / q)) OVER (PARTITION BY id), 6) AS weight FROM p JOIN q USING (id)")
+@query("n36_all_cell_weights", "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding[2:15] AS DOUBLE[]), CAST(b.embedding[2:15] AS DOUBLE[])) AS d FROM embeddings a, embeddings b), q AS (SELECT id, quantile_cont(d, 0.25) AS q FROM p GROUP BY 1) SELECT id, nbr, round(exp(-d / q) / sum(exp(-d / q)) OVER (PARTITION BY id), 6) AS weight FROM p JOIN q USING (id)")
 def _(spark, d):
-    cells = X.table(spark, d, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("id"), F.slice("embedding", 2, 14).alias("v"))
-    near = G.nearest(cells, 60)
+    cells = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 2, 14).alias("v"))
+    near = G.nearest(cells, cells.count())
     q = near.groupBy("id").agg(F.percentile("distance", F.lit(0.25)).alias("q"))
     w = F.exp(-F.col("distance") / F.col("q"))
-    return near.join(F.broadcast(q), "id").select("id", "nbr", F.round(w / F.sum(w).over(Window.partitionBy("id")), 6).alias("weight"))
+    return near.join(q, "id").select("id", "nbr", F.round(w / F.sum(w).over(Window.partitionBy("id")), 6).alias("weight"))
 
 
-@query("k4_near_with_cut", "SELECT id, nbr, round(d, 6) AS distance FROM (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id <> a.vec_id, b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id < 100) WHERE k <= 8 AND d < 1")
+@query("k4_near_with_cut", "SELECT id, nbr, round(d, 6) AS distance FROM (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id <> a.vec_id, b.vec_id) AS k FROM embeddings a, embeddings b) WHERE k <= 8 AND d < 1")
 def _(spark, d):
-    cells = X.table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    cells = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return r6(G.nearest(cells, 8).where("distance < 1"), "distance")
 
 

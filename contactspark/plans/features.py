@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contactspark.operators import maps as M
 from contactspark.operators import norms as N
 from contactspark.operators import tracks as T
+from contactspark.operators.order import tie_ranked
 from contactspark.plans import fixtures as X
 from contactspark.plans.fixtures import r6, sql
 
@@ -162,7 +163,7 @@ def _(spark, d):
 
 @query("w12_tie_rank", sql("SELECT chrom, i, j, v, rank() OVER (PARTITION BY chrom ORDER BY v) + (count(*) OVER (PARTITION BY chrom, v) - 1) / 2 AS r FROM bulk", "bulk"))
 def _(spark, d):
-    return X.bulk(spark, d).withColumn("r", N.tie_rank("v", CHROM))
+    return tie_ranked(X.bulk(spark, d), CHROM, {"r": "v"})
 
 
 @query("w13_rank_match", _scored("SELECT a.chrom, a.bin, round(b.s, 6) AS score FROM (SELECT chrom, bin, row_number() OVER (PARTITION BY chrom ORDER BY score, bin) AS r FROM ins) a JOIN (SELECT chrom, s, row_number() OVER (PARTITION BY chrom ORDER BY s, i) AS r FROM (SELECT chrom, i, CAST(sum(v) AS DOUBLE) AS s FROM bulk GROUP BY ALL)) b USING (chrom, r)"))

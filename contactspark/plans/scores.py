@@ -140,10 +140,10 @@ def _(spark, d):
 
 
 def _cells(spark, d):
-    return X.table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("vec_id") % 3).alias("batch"))
+    return X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("vec_id") % 3).alias("batch"))
 
 
-_DIST = "SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM (SELECT * FROM embeddings WHERE vec_id < 200) a, (SELECT * FROM embeddings WHERE vec_id < 200) b"
+_DIST = "SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM embeddings a, embeddings b"
 
 
 @query("j9_nearest", f"SELECT id, nbr, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, nbr <> id, nbr) AS k FROM ({_DIST})) WHERE k <= 6")
@@ -180,15 +180,22 @@ _U = "('0x' || substring(md5('{}:' || concat_ws(':', '9', cell_id, chrom, bin1,
 
 @query("u8_negatives", sql(f"""SELECT cell_id, chrom, bin1, bin2, t_cell, t_bin1, t_bin2 FROM (SELECT *, row_number() OVER (PARTITION BY t_cell, chrom, t_bin1, t_bin2 ORDER BY t) AS r FROM (SELECT CAST(c AS BIGINT) AS cell_id, chrom, CAST(least(a, b) AS BIGINT) AS bin1, CAST(greatest(a, b) AS BIGINT) AS bin2, cell_id AS t_cell, bin1 AS t_bin1, bin2 AS t_bin2, t FROM (
 SELECT *, CASE WHEN one AND which = 0 THEN floor({_U.format('cell')} * 20) ELSE cell_id END AS c, CASE WHEN NOT one OR which = 1 THEN floor({_U.format('a')} * 40) ELSE bin1 END AS a, CASE WHEN NOT one OR which = 2 THEN floor({_U.format('b')} * 40) ELSE bin2 END AS b
-FROM (SELECT *, {_U.format('mode')} < 0.5 AS one, floor({_U.format('which')} * 3) AS which FROM pos, range(16) r(t)))) x WHERE bin2 - bin1 > 1 AND bin2 - bin1 < 12 AND NOT EXISTS (SELECT 1 FROM pos q WHERE q.cell_id = x.cell_id AND q.chrom = x.chrom AND abs(q.bin1 - x.bin1) <= 1 AND abs(q.bin2 - x.bin2) <= 1)) WHERE r <= 2""", "pixels").replace("\nSELECT cell_id, chrom, bin1, bin2, t_cell", ", pos AS (SELECT * FROM pixels WHERE bin2 - bin1 >= 2 AND cell_id < 5)\nSELECT cell_id, chrom, bin1, bin2, t_cell", 1))
+FROM (SELECT *, {_U.format('mode')} < 0.5 AS one, floor({_U.format('which')} * 3) AS which FROM pos, range(100) r(t)))) x WHERE bin2 - bin1 > 1 AND bin2 - bin1 < 12 AND NOT EXISTS (SELECT 1 FROM near q WHERE q.cell_id = x.cell_id AND q.chrom = x.chrom AND q.bin1 = x.bin1 AND q.bin2 = x.bin2)) WHERE r <= 2""", "pixels").replace("\nSELECT cell_id, chrom, bin1, bin2, t_cell", ", pos AS (SELECT * FROM pixels WHERE bin2 - bin1 >= 2), near AS (SELECT DISTINCT cell_id, chrom, bin1 + x AS bin1, bin2 + y AS bin2 FROM pos, range(-1, 2) a(x), range(-1, 2) b(y))\nSELECT cell_id, chrom, bin1, bin2, t_cell", 1))
 def _(spark, d):
-    positives = X.pixels(spark, d).where("bin2 - bin1 >= 2 and cell_id < 5")
-    return G.negatives(positives, X.index(spark), 2, 20, 12, 9)
+    return G.negatives(X.pixels(spark, d).where("bin2 - bin1 >= 2"), X.index(spark), 2, 20, 12, 9)
 
 
-@query("u9_stencil", sql("SELECT i, j, i + x AS ni, j + y AS nj FROM bulk, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(x, y) WHERE chrom = 'chr1'", "bulk"))
+@query("u9_stencil", sql("SELECT chrom, i, j, i + x AS ni, j + y AS nj FROM bulk, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(x, y)", "bulk"))
 def _(spark, d):
-    return G.stencil(X.bulk(spark, d).where("chrom = 'chr1'"))
+    return G.stencil(X.bulk(spark, d))
+
+
+@query("u4_membership", sql("SELECT o.cell_id, o.bin1, o.bin2, EXISTS (SELECT 1 FROM pixels p WHERE (o.cell_id = -1 OR p.cell_id = o.cell_id) AND (o.bin1 = -1 OR p.bin1 = o.bin1) AND (o.bin2 = -1 OR p.bin2 = o.bin2)) AS held FROM (SELECT c.cell_id, i.bin1, j.bin2 FROM range(-1, 20) c(cell_id), range(-1, 40, 4) i(bin1), range(-1, 40, 5) j(bin2) WHERE (c.cell_id = -1)::INT + (i.bin1 = -1)::INT + (j.bin2 = -1)::INT < 2) o", "pixels"))
+def _(spark, d):
+    """Whether pairs are in a set, one place of three left open or none."""
+    asked = spark.range(-1, 20).select(F.col("id").alias("cell_id"), F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(39), F.lit(4))).alias("bin1")).select("cell_id", "bin1", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(39), F.lit(5))).alias("bin2"))
+    asked = asked.where("int(cell_id = -1) + int(bin1 = -1) + int(bin2 = -1) < 2")
+    return G.holds_pair(asked, X.pixels(spark, d))
 
 
 @query("u4_masked_keys", sql("SELECT DISTINCT * FROM (SELECT -1 AS cell_id, bin1, bin2 FROM pixels UNION ALL SELECT cell_id, -1, bin2 FROM pixels UNION ALL SELECT cell_id, bin1, -1 FROM pixels)", "pixels"))
@@ -201,10 +208,10 @@ def _(spark, d):
     return G.mini_batches(X.pixels(spark, d), ["cell_id", "bin1", "bin2"], 256, 2).select("cell_id", "chrom", "bin1", "bin2", "batch")
 
 
-@query("j12_row_mean_product", sql("SELECT i, k, round(s / t, 6) AS v FROM (SELECT e.i, e.j % 4 AS k, sum(e.v * (e.j + 1)) AS s FROM bulk e WHERE chrom = 'chr1' GROUP BY 1, 2) JOIN (SELECT i, sum(v) AS t FROM bulk WHERE chrom = 'chr1' GROUP BY 1) USING (i)", "bulk"))
+@query("j12_row_mean_product", sql("SELECT chrom, i, k, round(s / t, 6) AS v FROM (SELECT e.chrom, e.i, e.j % 4 AS k, sum(e.v * (e.j + 1)) AS s FROM bulk e GROUP BY 1, 2, 3) JOIN (SELECT chrom, i, sum(v) AS t FROM bulk GROUP BY 1, 2) USING (chrom, i)", "bulk"))
 def _(spark, d):
-    edges = X.bulk(spark, d).where("chrom = 'chr1'").select("i", "j", F.col("v").alias("w"))
-    features = X.index(spark).where("chrom = 'chr1'").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("j")).select("j", (F.col("j") % 4).alias("k"), (F.col("j") + 1).alias("x"))
+    edges = X.bulk(spark, d).select("chrom", "i", "j", F.col("v").alias("w"))
+    features = X.index(spark).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("j")).select("chrom", "j", (F.col("j") % 4).alias("k"), (F.col("j") + 1).alias("x"))
     return r6(G.row_mean_product(edges, features), "v")
 
 

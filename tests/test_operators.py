@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -6,9 +7,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from contactspark.operators import contacts as C
+from contactspark.operators import graph as G
+from contactspark.operators import grid
 from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
 from contactspark.operators import neural as H
+from contactspark.operators import order
 from contactspark.operators import tracks as T
 from contactspark.sources import readers, writers
 from contactspark.streaming import pixels as P
@@ -104,11 +108,13 @@ def test_svd_scores(spark):
     assert np.allclose(np.abs([got[i] for i in range(9)]), np.abs(u[:, :3] * s[:3]))
 
 
-def test_scaling_keeps_distances(spark):
+@pytest.mark.parametrize("landmarks", [1000, 6])
+def test_scaling_keeps_distances(spark, landmarks):
     x = np.random.default_rng(2).normal(size=(12, 2))
-    rows = [(i, j, float(np.linalg.norm(x[i] - x[j]))) for i in range(12) for j in range(12)]
-    got = {r.id: np.array(r.v) for r in L.scaling(spark.createDataFrame(rows, "id long, nbr long, distance double")).collect()}
-    assert all(np.linalg.norm(got[i] - got[j]) == pytest.approx(d, abs=1e-6) for i, j, d in rows)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.id: np.array(r.v) for r in L.scaling(rows, 2, landmarks).collect()}
+    assert all(np.linalg.norm(got[i] - got[j]) == pytest.approx(np.linalg.norm(x[i] - x[j]), abs=1e-6) for i in range(12) for j in range(12))
+    assert L.scaling(rows.limit(0)).collect() == []
 
 
 def test_attention_gradient():
@@ -190,3 +196,70 @@ def test_queries_without_sql(name, spark, sf):
 def test_zinb_sums_to_one(spark):
     rows = spark.createDataFrame([(float(k),) for k in range(200)], "k double").selectExpr("k", "2.5D AS m", "1.7D AS t", "-0.4D AS p")
     assert sum(math.exp(r.log_likelihood) for r in L.zinb(rows, "k", "m", "t", "p").collect()) == pytest.approx(1, abs=1e-4)
+
+
+def test_running_sums_over_ties_and_nulls(spark):
+    r = random.Random(1)
+    data = [(r.choice(["a", "b", None]), r.choice([1, 2, 3, 3, 3]), i, r.randint(0, 9)) for i in range(300)]
+    rows = spark.createDataFrame(data, "k string, x long, id long, w long")
+    got = {x.id: (x.s, x.p) for x in order.running(rows, ["k"], ["x", "id"], {"s": F.col("w"), "p": F.lit(1)}).collect()}
+    for k, x, i, _ in data:
+        before = [w for k2, x2, i2, w in data if k2 == k and (x2, i2) < (x, i)]
+        assert got[i] == (sum(before), len(before))
+    ranks = {x.id: x.t for x in order.tie_ranked(rows, ["k"], {"t": "x"}).collect()}
+    for k, x, i, _ in data:
+        same = [x2 for k2, x2, *_ in data if k2 == k]
+        assert ranks[i] == sum(v < x for v in same) + (same.count(x) + 1) / 2
+    assert order.quantiles(rows, "w", [0.0, 0.1, 0.37, 1.0]) == pytest.approx(np.quantile([d[3] for d in data], [0.0, 0.1, 0.37, 1.0]))
+    assert order.quantiles(rows.limit(0), "w", [0.5]) == [None] and order.running(rows.limit(0), ["k"], ["x"], {"s": F.col("w")}).collect() == []
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_nearest_block_by_block(spark, monkeypatch, metric):
+    monkeypatch.setattr(grid, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    x = np.vstack([r.normal(size=(30, 4)), np.tile(r.normal(size=4), (6, 1))])
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(None, x[0].tolist(), 0), (99, None, 0)], "id long, v array<double>, b long")
+    length = np.linalg.norm(x, axis=1)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) if metric == "euclidean" else np.round(1 - x @ x.T / length[:, None] / length, 9)
+    np.fill_diagonal(dist, 0)
+    for group in (None, "b"):
+        got = {}
+        for row in G.nearest(rows, 3, group_col=group, metric=metric).collect():
+            got.setdefault((row.id, row.nbr_group if group else ""), []).append((round(row.distance, 6), row.nbr))
+        for i in range(len(x)):
+            for g in ("0", "1", "2") if group else ("",):
+                near = sorted((round(float(dist[i, j]), 6), j != i, j) for j in range(len(x)) if not group or str(j % 3) == g)[:3]
+                want, have = [(d, j) for d, _, j in near], sorted(got[(i, g)])
+                assert have == sorted(want) if metric == "euclidean" else [d for d, _ in have] == pytest.approx([d for d, _ in sorted(want)])
+
+
+def test_svd_with_more_rows_than_directions(spark):
+    r = np.random.default_rng(5)
+    m = r.normal(size=(60, 8)) @ np.diag([9, 7, 5, 3, 1, 1, 1, 1]) @ r.normal(size=(8, 30))
+    rows = spark.createDataFrame([(i, f"f{j}", float(m[i, j])) for i in range(60) for j in range(30)], "id long, feature string, v double")
+    c = m - m.mean(axis=0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    got = {x.id: x.v for x in L.sparse_svd(rows, 2, centre=True, extra=4).collect()}
+    assert np.allclose(np.abs([got[i] for i in range(60)]), np.abs(u[:, :2] * s[:2]), rtol=1e-4, atol=1e-3)  # an iteration, not exact
+
+
+def test_cpg_windows_of_pieces(spark):
+    r = random.Random(2)
+    text = "".join(r.choices("ACGTN", k=1234))
+    cuts = [0, 1, 77, 100, 512, 900, 1234]
+    pieces = spark.createDataFrame([("c", a, text[a:b]) for a, b in zip(cuts, cuts[1:])] + [("e", 0, "")], "chrom string, offset long, sequence string")
+    whole = spark.createDataFrame([("c", text), ("e", "")], "chrom string, sequence string")
+    for tail in (False, True):
+        want = sorted((x.start, x.end, x.rate) for x in T.cpg_windows(whole, 100, tail).collect())
+        assert sorted((x.start, x.end, x.rate) for x in T.cpg_windows(pieces, 100, tail).collect()) == want and len(want) == 12 + tail
+
+
+def test_negatives_use_all_tries(spark, index):
+    full = [(0, "a", i, j) for i in range(11) for j in range(i, 11) if (i, j) not in ((0, 5), (5, 9))]
+    positives = spark.createDataFrame(full[:8], "cell_id long, chrom string, bin1 long, bin2 long")
+    few, many = (G.negatives(positives, index, 3, 2, 9, 1, tries=t) for t in (2, 50))
+    count = lambda df: {tuple(r)[4:]: 0 for r in df.collect()}
+    assert many.count() == 3 * positives.count() >= few.count() and set(count(few)) <= set(count(many))
+    touched = {(c, i + x, j + y) for c, _, i, j in full[:8] for x in (-1, 0, 1) for y in (-1, 0, 1)}
+    assert not touched & {(r.cell_id, r.bin1, r.bin2) for r in many.collect()}
