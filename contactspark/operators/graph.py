@@ -120,18 +120,24 @@ def negatives(positives: DataFrame, index: DataFrame, per: int, n_cells: int, ma
     Few tries are drawn first and more only for positives that still lack; one whose ``per * tries`` draws are used up gets
     fewer rows, or none, as its surroundings are full.
     """
-    key = [F.lit(str(seed)), *[F.col(c).cast("string") for c in ("cell_id", "chrom", "bin1", "bin2", "t")]]
-    draw = lambda name: _uniform(F.lit(name), *key)
-    one, which = draw("mode") < pair_ratio, F.floor(draw("which") * 3)
-    bin_of = lambda name: F.floor(draw(name) * F.col("n_bins"))
     target = ["t_cell", "chrom", "t_bin1", "t_bin2"]
+    parts = ("mode", "which", "cell", "first", "second")
+    key = lambda t: F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("cell_id", "chrom", "bin1", "bin2")], t.cast("string")).cast("binary"))
+    number = lambda h, i: F.conv(F.substring(h, 1 + 6 * i, 6), 16, 10).cast("long") / F.lit(float(1 << 24))
 
     def drawn(some: DataFrame, low: int, high: int) -> DataFrame:
-        trial = some.select("cell_id", "chrom", "bin1", "bin2", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("t")).join(F.broadcast(index.select("chrom", "n_bins")), "chrom")
-        trial = trial.withColumns({"c": F.when(one & (which == 0), F.floor(draw("cell") * n_cells)).otherwise(F.col("cell_id")), "a": F.when(~one | (which == 1), bin_of("a")).otherwise(F.col("bin1")), "b": F.when(~one | (which == 2), bin_of("b")).otherwise(F.col("bin2"))})
-        trial = trial.select(F.col("bin1").alias("t_bin1"), F.col("bin2").alias("t_bin2"), F.col("cell_id").alias("t_cell"), "t", "chrom", F.col("c").alias("cell_id"), F.least("a", "b").alias("bin1"), F.greatest("a", "b").alias("bin2"))
+        # numbers are made inside the array, once for each try; filters would else repeat the hash wherever they name them
+        hashes = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda t: F.struct(t.alias("t"), key(t).alias("h")))
+        tries = F.transform(hashes, lambda x: F.struct(x["t"].alias("t"), *[number(x["h"], i).alias(p) for i, p in enumerate(parts)]))
+        trial = some.select("cell_id", "chrom", "bin1", "bin2", F.explode(tries).alias("d")).select("cell_id", "chrom", "bin1", "bin2", "d.*").join(F.broadcast(index.select("chrom", "n_bins")), "chrom")
+        one, which = F.col("mode") < pair_ratio, F.floor(F.col("which") * 3)
+        a = F.when(~one | (which == 1), F.floor(F.col("first") * F.col("n_bins"))).otherwise(F.col("bin1"))
+        b = F.when(~one | (which == 2), F.floor(F.col("second") * F.col("n_bins"))).otherwise(F.col("bin2"))
+        cell = F.when(one & (which == 0), F.floor(F.col("cell") * n_cells)).otherwise(F.col("cell_id"))
+        trial = trial.select(F.col("bin1").alias("t_bin1"), F.col("bin2").alias("t_bin2"), F.col("cell_id").alias("t_cell"), "t", "chrom", cell.alias("cell_id"), F.least(a, b).alias("bin1"), F.greatest(a, b).alias("bin2"))
         return near_positive(trial.where((F.col("bin2") - F.col("bin1") > 1) & (F.col("bin2") - F.col("bin1") < max_gap)), positives)
 
+    positives = materialise(positives.select("cell_id", "chrom", "bin1", "bin2"), "positives")
     kept, lacking, low = None, positives, 0
     for high in sorted({min(tries, 2) * per, min(tries, 8) * per, tries * per}):
         found = drawn(lacking, low, high)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
-import operator
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -213,44 +211,57 @@ def sparse_svd(rows: DataFrame, k: int, id_col: str = "id", feature: str = "feat
     drawn = [F.xxhash64("feature", F.lit(t)) / F.lit(float(1 << 63)) for t in range(width)]
     y = table.groupBy("id").agg(*[F.sum(F.col("x") * d).alias(n) for d, n in zip(drawn, names)])
 
-    def square(df: DataFrame, columns: list[str]) -> np.ndarray:
-        pairs = [(a, b) for a in range(len(columns)) for b in range(a, len(columns))]
-        sums = df.agg(*[F.sum(F.col(columns[a]) * F.col(columns[b])) for a, b in pairs]).first()
-        out = np.zeros((len(columns), len(columns)))
-        for (a, b), s in zip(pairs, sums):
-            out[a, b] = out[b, a] = s or 0.0
-        return out
-
-    def times(df: DataFrame, key: str, columns: list[str], m: np.ndarray, to: list[str]) -> DataFrame:
-        products = [reduce(operator.add, [F.col(c) * float(m[i, t]) for i, c in enumerate(columns)]).alias(n) for t, n in enumerate(to)]
-        return df.select(key, *products)
-
-    def orthonormal(df: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Columns of unit length at right angles; directions without weight are left out. Twice, for the rounding."""
-        df, columns = materialise(df, "svd-ids"), [c for c in df.columns if c != "id"]
-        if centre:
-            mean = df.agg(*[F.avg(c) for c in columns]).first()
-            df = df.select("id", *[(F.col(c) - (m or 0.0)).alias(c) for c, m in zip(columns, mean)])
-        for _ in range(2):
-            values, vectors = np.linalg.eigh(square(df, columns))
-            keep = np.flatnonzero(values > 1e-12 * max(values.max(initial=0.0), 1e-300))[::-1]
-            to = [f"w{t}" for t in range(len(keep))]
-            df, columns = materialise(times(df, "id", columns, vectors[:, keep] / np.sqrt(values[keep]), to), "svd-basis"), to
-        return df, columns
+    def numbers(batch: pa.RecordBatch, at: int) -> np.ndarray:
+        return np.column_stack([c.to_numpy() for c in batch.columns[at:]])
+
+    def square(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+        """(rows, means, products of the columns): one small matrix from each partition."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((m.T @ m for m in (np.column_stack([np.ones(b.num_rows), numbers(b, 0)]) for b in batches if b.num_rows)), np.zeros((len(columns) + 1,) * 2))
+            yield pa.RecordBatch.from_pydict({"m": pa.array([total.tobytes()], pa.binary())})
+
+        parts = [np.frombuffer(r["m"]).reshape(len(columns) + 1, -1) for r in df.select(*columns).mapInArrow(part, "m binary").collect()]
+        total = sum(parts, np.zeros((len(columns) + 1,) * 2))
+        return int(total[0, 0]), total[0, 1:] / max(total[0, 0], 1), total[1:, 1:]
+
+    def times(df: DataFrame, columns: list[str], mean: np.ndarray, m: np.ndarray) -> tuple[DataFrame, list[str]]:
+        to = [f"w{t}" for t in range(m.shape[1])]
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = (numbers(batch, 1) - mean) @ m
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, t]) for t in range(m.shape[1]))], ["id", *to])
+
+        kind = dict(df.dtypes)["id"]
+        return materialise(df.select("id", *columns).mapInArrow(part, ", ".join([f"id {kind}", *(f"{c} double" for c in to)])), "svd-basis"), to
+
+    def orthonormal(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+        """Columns of unit length at right angles; directions without weight are left out."""
+        df = materialise(df, "svd-ids")
+        n, mean, products = square(df, columns)
+        mean = mean if centre else np.zeros(len(columns))
+        values, vectors = np.linalg.eigh(products - n * np.outer(mean, mean))
+        keep = np.flatnonzero(values > 1e-12 * max(values.max(initial=0.0), 1e-300))[::-1]
+        return times(df, columns, mean, vectors[:, keep] / np.sqrt(values[keep])) if len(keep) else (df, [])
 
     def across(df: DataFrame, key: str, other: str, columns: list[str]) -> DataFrame:
         return table.join(df, key).groupBy(other).agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in columns])
 
-    basis, columns = orthonormal(y)
+    basis, columns = orthonormal(y, names)
     for _ in range(rounds):
-        if columns:
-            basis, columns = orthonormal(across(materialise(across(basis, "id", "feature", columns), "svd-features"), "feature", "id", columns))
+        if len(columns) < width:  # the directions hold all there is
+            break
+        features = materialise(across(basis, "id", "feature", columns), "svd-features")
+        basis, columns = orthonormal(across(features, "feature", "id", columns), columns)
+    if columns:
+        basis, columns = orthonormal(basis, columns)  # once more, for the rounding
     if not columns:
         return table.select("id").distinct().select("id", F.array_repeat(F.lit(0.0), k).alias("v"))
-    values, vectors = np.linalg.eigh(square(materialise(across(basis, "id", "feature", columns), "svd-features"), columns))
+    _, _, products = square(across(basis, "id", "feature", columns), columns)
+    values, vectors = np.linalg.eigh(products)
     order = np.argsort(-values)[:k]
-    to = [f"s{t}" for t in range(len(order))]
-    scores = materialise(times(basis, "id", columns, vectors[:, order] * np.sqrt(np.maximum(values[order], 0)), to), "svd-scores")
+    scores, to = times(basis, columns, np.zeros(len(columns)), vectors[:, order] * np.sqrt(np.maximum(values[order], 0)))
     top = scores.agg(*[F.max_by(c, F.struct(F.round(F.abs(F.col(c)), 9), -F.xxhash64("id"))) for c in to]).first()
     signed = [F.col(c) * (-1.0 if (x or 0.0) < 0 else 1.0) for c, x in zip(to, top or [])]
     return scores.select("id", F.array(*signed).alias("v"))

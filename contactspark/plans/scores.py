@@ -175,12 +175,12 @@ def _(spark, d):
     return G.near_positive(p.where("count >= 40"), p.where("count < 40")).select("cell_id", "chrom", "bin1", "bin2", "count")
 
 
-_U = "('0x' || substring(md5('{}:' || concat_ws(':', '9', cell_id, chrom, bin1, bin2, t)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_U = "('0x' || substring(h, {}, 6))::BIGINT / 16777216.0::DOUBLE"
 
 
 @query("u8_negatives", sql(f"""SELECT cell_id, chrom, bin1, bin2, t_cell, t_bin1, t_bin2 FROM (SELECT *, row_number() OVER (PARTITION BY t_cell, chrom, t_bin1, t_bin2 ORDER BY t) AS r FROM (SELECT CAST(c AS BIGINT) AS cell_id, chrom, CAST(least(a, b) AS BIGINT) AS bin1, CAST(greatest(a, b) AS BIGINT) AS bin2, cell_id AS t_cell, bin1 AS t_bin1, bin2 AS t_bin2, t FROM (
-SELECT *, CASE WHEN one AND which = 0 THEN floor({_U.format('cell')} * 20) ELSE cell_id END AS c, CASE WHEN NOT one OR which = 1 THEN floor({_U.format('a')} * 40) ELSE bin1 END AS a, CASE WHEN NOT one OR which = 2 THEN floor({_U.format('b')} * 40) ELSE bin2 END AS b
-FROM (SELECT *, {_U.format('mode')} < 0.5 AS one, floor({_U.format('which')} * 3) AS which FROM pos, range(100) r(t)))) x WHERE bin2 - bin1 > 1 AND bin2 - bin1 < 12 AND NOT EXISTS (SELECT 1 FROM near q WHERE q.cell_id = x.cell_id AND q.chrom = x.chrom AND q.bin1 = x.bin1 AND q.bin2 = x.bin2)) WHERE r <= 2""", "pixels").replace("\nSELECT cell_id, chrom, bin1, bin2, t_cell", ", pos AS (SELECT * FROM pixels WHERE bin2 - bin1 >= 2), near AS (SELECT DISTINCT cell_id, chrom, bin1 + x AS bin1, bin2 + y AS bin2 FROM pos, range(-1, 2) a(x), range(-1, 2) b(y))\nSELECT cell_id, chrom, bin1, bin2, t_cell", 1))
+SELECT *, CASE WHEN one AND which = 0 THEN floor({_U.format(13)} * 20) ELSE cell_id END AS c, CASE WHEN NOT one OR which = 1 THEN floor({_U.format(19)} * 40) ELSE bin1 END AS a, CASE WHEN NOT one OR which = 2 THEN floor({_U.format(25)} * 40) ELSE bin2 END AS b
+FROM (SELECT *, {_U.format(1)} < 0.5 AS one, floor({_U.format(7)} * 3) AS which FROM (SELECT *, md5(concat_ws(':', '9', cell_id, chrom, bin1, bin2, t)) AS h FROM pos, range(100) r(t))))) x WHERE bin2 - bin1 > 1 AND bin2 - bin1 < 12 AND NOT EXISTS (SELECT 1 FROM near q WHERE q.cell_id = x.cell_id AND q.chrom = x.chrom AND q.bin1 = x.bin1 AND q.bin2 = x.bin2)) WHERE r <= 2""", "pixels").replace("\nSELECT cell_id, chrom, bin1, bin2, t_cell", ", pos AS (SELECT * FROM pixels WHERE bin2 - bin1 >= 2), near AS (SELECT DISTINCT cell_id, chrom, bin1 + x AS bin1, bin2 + y AS bin2 FROM pos, range(-1, 2) a(x), range(-1, 2) b(y))\nSELECT cell_id, chrom, bin1, bin2, t_cell", 1))
 def _(spark, d):
     return G.negatives(X.pixels(spark, d).where("bin2 - bin1 >= 2"), X.index(spark), 2, 20, 12, 9)
 
