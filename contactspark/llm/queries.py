@@ -84,5 +84,34 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20""",
     "op3_license_scan": licenses.oracle(),
+    "op4_byte_shards": """
+WITH steps AS (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+bytes AS (SELECT doc_id, list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT)) AS b FROM documents),
+sized AS (SELECT doc_id, len(b)::BIGINT AS size, xor(list_reduce(b, lambda c, y: xor(c >> 8, steps[(xor(c, y) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM bytes, steps),
+placed AS (SELECT *, (sum(size) OVER o - size)::BIGINT AS start_byte, row_number() OVER o AS r, sum(size) OVER ()::BIGINT AS total FROM sized WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, ((2 * start_byte + size) * 16 // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot, NULL::INT AS grown_shard, start_byte FROM cut""",
+    "op7_near_duplicates": """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)""",
+    "op9_repeated_passages": """
+WITH hexed AS (SELECT doc_id, row_number() OVER () AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT id, h, unnest(range(0, len(h) // 2 - 199, 1000)) AS c FROM hexed WHERE len(h) >= 400),
+pieces AS (SELECT id, c, substring(h, 2 * c + 1, 2398) AS s FROM starts),
+places AS (SELECT id, c, s, unnest(range(least(1000, len(s) // 2 - 199))) AS q FROM pieces),
+marked AS (SELECT id, c + q AS p, md5(substring(s, 2 * q + 1, 400)) AS m FROM places),
+again AS (SELECT id, p FROM (SELECT *, count(*) OVER (PARTITION BY m) AS n FROM marked) WHERE n > 1),
+runs AS (SELECT id, p, sum(CASE WHEN p <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY p) AS g FROM (SELECT *, lag(p) OVER (PARTITION BY id ORDER BY p) AS before FROM again)),
+spans AS (SELECT id, min(p) AS low, max(p) + 200 AS high FROM runs GROUP BY id, g),
+gaps AS (SELECT id, coalesce(lag(high) OVER (PARTITION BY id ORDER BY low), 0) AS a, low AS b FROM spans UNION ALL SELECT id, max(high), NULL FROM spans GROUP BY id),
+kept AS (SELECT id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS k FROM gaps JOIN hexed USING (id) GROUP BY id),
+counts AS (SELECT id, sum(high - low) AS removed, count(*) AS spans FROM spans GROUP BY id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM hexed LEFT JOIN kept USING (id) LEFT JOIN counts USING (id)""",
     "op10_mixture": mixing.oracle(),
 }
