@@ -79,11 +79,18 @@ def _(spark, d):
     return r6(T.local_minima(scores, ["chrom"], 2), "score")
 
 
-@query("l2_boundaries_cells")
+_CELLS = """, nb AS (SELECT s.cell_id, s.chrom, s.i, s.j, s.v / sqrt(a.s) / sqrt(b.s) AS v FROM sym s JOIN (SELECT cell_id, chrom, i, sum(v) AS s FROM sym GROUP BY ALL) a USING (cell_id, chrom, i) JOIN (SELECT cell_id, chrom, i, sum(v) AS s FROM sym GROUP BY ALL) b ON b.cell_id = s.cell_id AND b.chrom = s.chrom AND b.i = s.j),
+boxes AS (SELECT n.cell_id, b.chrom, b.bin, sum(CASE WHEN i >= bin - 3 AND i < bin AND j > bin AND j < least(39, bin + 4) THEN v ELSE 0 END) AS x, sum(v) AS y FROM nb n JOIN bins b ON b.chrom = n.chrom AND i BETWEEN bin - 3 AND bin + 3 AND j BETWEEN bin - 3 AND bin + 3 GROUP BY ALL),
+ins AS (SELECT c.cell_id, c.chrom, CAST(b.bin AS BIGINT) AS bin, round(coalesce(x / nullif(y, 0), 1), 9) AS score FROM (SELECT DISTINCT cell_id, chrom FROM sym) c JOIN bins b USING (chrom) LEFT JOIN boxes USING (cell_id, chrom, bin))
+SELECT cell_id, chrom, bin, round(score, 6) AS score, coalesce(score < min(score) OVER (PARTITION BY cell_id, chrom ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AND score < min(score) OVER (PARTITION BY cell_id, chrom ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AND score > 0 AND score < 0.999, false) AS boundary FROM ins"""
+
+
+@query("l2_boundaries_cells", sql("@", "sym", "bins").replace("\n@", _CELLS, 1))
 def _(spark, d):
+    """The same for each cell; scores are compared to nine decimals, so that equal boxes summed in another order stay equal."""
     keys = ["cell_id", "chrom"]
     scores = T.insulation(N.coverage_sqrt(M.symmetric(X.pixels(spark, d)), keys), keys, X.index(spark), 3)
-    return r6(T.local_minima(scores, keys, 2), "score")
+    return r6(T.local_minima(scores.withColumn("score", F.round("score", 9)), keys, 2), "score")
 
 
 @query("x_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")

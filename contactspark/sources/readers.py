@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark import schema as S
 from contactspark.operators.maps import grid, symmetric
+from contactspark.operators.order import running
+from contactspark.operators.tables import materialise
 
 
 def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -50,14 +52,17 @@ def calibration(spark: SparkSession, path: str, index: DataFrame, resolution: in
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, sequence): lines of each file joined under their header; a header's first word names the sequence."""
+    """(chrom, offset, sequence): a piece for each line, in upper case; a header's first word names the sequence.
+
+    Running counts of headers and bases give each line its sequence and place, so neither a file nor a chromosome is held in
+    one task. A header without lines has one empty piece. Lines before the first header are left out.
+    """
     lines = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.trim("value").alias("line"))
-    along = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.startswith("line", F.lit(">")), F.col("n"))
-    named = lines.withColumn("at", F.last(head, ignorenulls=True).over(along))
-    names = named.where(F.startswith("line", F.lit(">"))).select("file", "at", F.split(F.substring("line", 2, 1 << 20), r"\s").getItem(0).alias("chrom"))
-    body = named.where(~F.startswith("line", F.lit(">"))).groupBy("file", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "").alias("sequence"))
-    return names.join(body, ["file", "at"], "left").select("chrom", F.upper(F.coalesce("sequence", F.lit(""))).alias("sequence"))
+    head = F.startswith("line", F.lit(">"))
+    counted = materialise(running(lines, ["file"], ["n"], {"heads": head.cast("long"), "before": F.when(head, 0).otherwise(F.length("line")).cast("long")}), "fasta")
+    names = counted.where(head).select("file", (F.col("heads") + 1).alias("heads"), F.split(F.substring("line", 2, 1 << 20), r"\s").getItem(0).alias("chrom"), F.col("before").alias("start"))
+    body = counted.where(~head & (F.col("line") != "")).select("file", "heads", "before", "line")
+    return names.join(body, ["file", "heads"], "left").select("chrom", F.coalesce(F.col("before") - F.col("start"), F.lit(0)).cast("long").alias("offset"), F.upper(F.coalesce("line", F.lit(""))).alias("sequence"))
 
 
 def bulk_map(bins: DataFrame, pixels: DataFrame, index: DataFrame, fallback: DataFrame, resolution: int) -> DataFrame:

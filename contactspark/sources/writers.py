@@ -16,9 +16,13 @@ def upsert(df: DataFrame, path: str, partition: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def imputed(df: DataFrame, path: str) -> None:
-    """(stage, cell_id, chrom, i, j, p) by stage and chromosome."""
-    df.select("stage", "chrom", "cell_id", "i", "j", F.col("p").cast("float").alias("p")).sortWithinPartitions("cell_id").write.mode("append").option("compression", "zstd").partitionBy("stage", "chrom").parquet(path)
+def imputed(df: DataFrame, path: str, part: str) -> None:
+    """(stage, cell_id, chrom, i, j, p) by stage, chromosome and ``part``, the name of this batch of cells.
+
+    Further parts are added beside the first; writing a part again replaces it, so a retry doubles nothing.
+    """
+    named = df.select("stage", "chrom", F.lit(part).alias("part"), "cell_id", "i", "j", F.col("p").cast("float").alias("p"))
+    named.sortWithinPartitions("cell_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("stage", "chrom", "part").parquet(path)
 
 
 def linked(first: DataFrame, second: DataFrame | None = None) -> DataFrame:

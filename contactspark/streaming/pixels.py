@@ -19,8 +19,21 @@ def pixel_stream(contacts: DataFrame, resolution: int) -> DataFrame:
     return intra_pixels(not_short(contacts), resolution)
 
 
-def start(contacts: DataFrame, resolution: int, name: str, checkpoint: str) -> StreamingQuery:
-    return pixel_stream(contacts, resolution).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(contacts: DataFrame, resolution: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the pixels that each micro-batch changes, with their sums so far, at ``path``/batch=N.
+
+    A batch that is run again replaces its own folder, so a restart counts nothing twice.
+    """
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return pixel_stream(contacts, resolution).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The pixels that a stream has written: of each its last sum."""
+    return spark.read.parquet(path).groupBy("cell_id", "chrom", "bin1", "bin2").agg(F.max_by("count", "batch").alias("count"))
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
