@@ -136,10 +136,13 @@ def canonical(text: Column) -> Column:
     out = text
     for word in NOT_HOLDERS:
         out = F.replace(out, F.lit(f"Copyright {word}"), F.lit(f"Copyright-{word}"))
+    cleared = out
     for line in COPYRIGHT_LINES:
-        out = F.regexp_replace(out, line, "\n")
+        cleared = F.regexp_replace(cleared, line, "\n")
+    named = F.lower(text).contains("copyright") | text.contains("©") | text.contains("(c)") | text.contains("(C)")
+    out = F.when(named, cleared).otherwise(text)  # most texts name no holder, and none of the patterns need run
     out = F.regexp_replace(F.lower(out), BULLET, "\n")
-    out = F.regexp_replace(out, WEB, " ")
+    out = F.when(out.contains("://"), F.regexp_replace(out, WEB, " ")).otherwise(out)
     out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, "  "), F.lit(" "))  # two spaces: each word has its own on both sides
     for word, same in SPELLINGS:
         out = F.replace(out, F.lit(f" {word.replace(' ', '  ')} "), F.lit(f" {same.replace(' ', '  ')} "))
