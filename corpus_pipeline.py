@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 shared folder and read again, so a lost executor costs the running stage at most.
 
 Null and empty texts are kept by every stage (they have no hits, no shingles, no items, no words; in the mixture they follow
-their neighbours in the seeded order) and end with the end id only. Rows without doc_id pass the first four stages. Further
+their neighbours in the seeded order, and a leaf without any token goes) and end with the end id only. Rows without doc_id pass the first four stages. Further
 columns stay up to the last stage, whatever their names. Of rows that repeat an id and a text one is kept. Empty tables give
 no rows.
 """
