@@ -92,3 +92,22 @@ def exact_share(rows: DataFrame, share: float, keys: list[str], seed: int = 0, p
     placed = place(rows, part, [hash_order(seed, *keys), *keys], "__place")
     placed = placed.join(F.broadcast(want), part) if part else placed.withColumn("__want", F.lit(want.first()["__want"]))
     return placed.withColumn("chosen", F.col("__place") < F.col("__want")).drop("__place", "__want")
+
+
+def node_ranges(n_cells: int, index: DataFrame) -> DataFrame:
+    """(node_type, start_id, end_id): 0 is padding, cells from 1, then the bins of each chromosome; ends are exclusive."""
+    first = index.select(F.col("chrom").alias("node_type"), (F.col("start_bin") + n_cells + 1).alias("start_id"), (F.col("end_bin") + n_cells + 1).alias("end_id"))
+    cells = index.sparkSession.createDataFrame([("cell", 1, n_cells + 1)], "node_type string, start_id long, end_id long")
+    return cells.unionByName(first)
+
+
+#: Sparsity over which a positive gets so many negatives; below all of them FALLBACK.
+POLICY, FALLBACK = ((0.3, 1), (0.2, 2), (0.15, 3), (0.1, 4)), 5
+
+
+def negatives_policy(occupancy: DataFrame, policy: tuple[tuple[float, int], ...] = POLICY, fallback: int = FALLBACK) -> DataFrame:
+    """(cell_id, negatives): how many negatives a positive of each cell gets, by the cell's share of filled pairs."""
+    n = F.lit(fallback)
+    for least, count in reversed(policy):
+        n = F.when(F.col("sparsity") > least, count).otherwise(n)
+    return occupancy.select("cell_id", n.alias("negatives"))

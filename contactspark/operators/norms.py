@@ -125,6 +125,31 @@ def match_coverage(sym: DataFrame, batches: DataFrame, least: float = 0.8) -> Da
     return frame.join(F.broadcast(rho), ["chrom", "batch"]).select("chrom", "batch", "i", "correlation", scale.alias("scale"))
 
 
+def bin_features(sym: DataFrame, index: DataFrame) -> DataFrame:
+    """(chrom, i, j, v): rows over their sums, then standardised over all cells of the dense maps, empty ones as 0."""
+    rows = sym.groupBy("chrom", "i").agg(F.sum("v").alias("s"))
+    scaled = sym.join(rows, ["chrom", "i"]).select("chrom", "i", "j", (F.col("v") / F.col("s")).alias("v"))
+    n = index.agg(F.sum(F.col("n_bins") * F.col("n_bins")).alias("n"))
+    moments = scaled.agg(F.sum("v").alias("x"), F.sum(F.col("v") * F.col("v")).alias("xx")).join(F.broadcast(n))  # a row each
+    moments = moments.select((F.col("x") / F.col("n")).alias("m"), F.sqrt(F.col("xx") / F.col("n") - F.pow(F.col("x") / F.col("n"), 2)).alias("s"))
+    return scaled.join(F.broadcast(moments)).select("chrom", "i", "j", ((F.col("v") - F.col("m")) / F.col("s")).alias("v"))
+
+
+def node_attributes(index: DataFrame) -> DataFrame:
+    """(chrom, bin, hot, place): one-hot chromosome in the index's order, and the bin's place in its chromosome from 0 to 1."""
+    order = index.agg(F.transform(F.array_sort(F.collect_list(F.struct("chrom_idx", "chrom"))), lambda x: x["chrom"]).alias("chroms"))
+    sized = index.join(F.broadcast(order)).select("chrom", "n_bins", F.transform("chroms", lambda c: (c == F.col("chrom")).cast("int")).alias("hot"))
+    return sized.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("bin"), "hot", "n_bins").select("chrom", "bin", "hot", (F.col("bin") / F.col("n_bins")).alias("place"))
+
+
+def cell_covariates(pixels: DataFrame, labels: DataFrame, batch: str = "batch") -> DataFrame:
+    """(cell_id, reads, hot): log of 1 + reads, and one-hot batch in the order of the batches' names."""
+    reads = pixels.groupBy("cell_id").agg(F.log1p(F.sum("count")).alias("reads"))
+    names = labels.select(F.col(batch).alias("b")).distinct().agg(F.array_sort(F.collect_list("b")).alias("names"))
+    hot = F.transform("names", lambda b: (b == F.col(batch)).cast("int")).alias("hot")
+    return reads.join(labels, "cell_id").join(F.broadcast(names)).select("cell_id", "reads", hot)
+
+
 def tie_rank(value: str, partition: list[str]) -> Column:
     """Ranks from 1 within groups that fit a task; equal values share their mean rank. ``order.tie_ranked`` has no such limit."""
     among = Window.partitionBy(*partition)

@@ -98,6 +98,15 @@ def rank_match(source: DataFrame, target: DataFrame, keys: list[str], value: str
     return ranked(source).drop(value).join(ranked(target).select(*keys, "__r", value), [*keys, "__r"]).drop("__r")
 
 
+def merge_close(boundaries: DataFrame, keys: list[str], reach: int = 4) -> DataFrame:
+    """Boundaries (keys, bin, n) without those that a neighbour within ``reach`` bins outweighs: more members win, the left one
+    at a tie."""
+    w = Window.partitionBy(*keys).orderBy("bin")
+    right = (F.lead("bin").over(w) - F.col("bin") <= reach) & (F.lead("n").over(w) > F.col("n"))
+    left = (F.col("bin") - F.lag("bin").over(w) <= reach) & (F.lag("n").over(w) >= F.col("n"))
+    return boundaries.withColumn("gone", F.coalesce(right, F.lit(False)) | F.coalesce(left, F.lit(False))).where("not gone").select(*keys, "bin")
+
+
 def orientation(track: DataFrame, calibration: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, high, low, sign): -1 where the calibration is lower over the top tenth of the track than over the bottom tenth."""
     joined = track.join(calibration, ["chrom", "bin"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contactspark.operators import graph as G
 from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
+from contactspark.operators import norms as N
 from contactspark.operators import tracks as T
 from contactspark.plans import fixtures as X
 from contactspark.plans.fixtures import r6, sql
@@ -73,24 +74,17 @@ def _(spark, d):
 
 @query("n17_bin_features", sql("SELECT chrom, i, j, round((v - m) / s, 6) AS v FROM (SELECT chrom, i, j, v / sum(v) OVER (PARTITION BY chrom, i) AS v FROM bulk), (SELECT sum(v) / 4800 AS m, sqrt(sum(v * v) / 4800 - (sum(v) / 4800) ** 2) AS s FROM (SELECT v / sum(v) OVER (PARTITION BY chrom, i) AS v FROM bulk))", "bulk"))
 def _(spark, d):
-    bulk = X.bulk(spark, d)
-    rows = bulk.groupBy("chrom", "i").agg(F.sum("v").alias("s"))
-    scaled = bulk.join(rows, ["chrom", "i"]).select("chrom", "i", "j", (F.col("v") / F.col("s")).alias("v"))
-    n = F.lit(4800)
-    moments = scaled.agg((F.sum("v") / n).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v")) / n - F.pow(F.sum("v") / n, 2)).alias("s"))
-    return scaled.join(F.broadcast(moments)).select("chrom", "i", "j", F.round((F.col("v") - F.col("m")) / F.col("s"), 6).alias("v"))
+    return r6(N.bin_features(X.bulk(spark, d), X.index(spark)), "v")
 
 
 @query("n18_node_attributes", sql("SELECT chrom, CAST(bin AS BIGINT) AS bin, CAST(chrom = 'chr1' AS INT) AS is1, CAST(chrom = 'chr2' AS INT) AS is2, CAST(chrom = 'chr3' AS INT) AS is3, round(bin / 40, 6) AS place FROM bins", "bins"))
 def _(spark, d):
-    hot = M.one_hot(F.col("chrom"), X.CHROMS)
-    return M.grid(X.index(spark)).withColumn("h", hot).select("chrom", "bin", *[F.col("h")[k].alias(f"is{k + 1}") for k in range(3)], F.round(F.col("bin") / 40, 6).alias("place"))
+    return r6(N.node_attributes(X.index(spark)), "place").select("chrom", "bin", *[F.col("hot")[k].alias(f"is{k + 1}") for k in range(3)], "place")
 
 
 @query("n19_cell_covariates", sql("SELECT cell_id, round(ln(1 + sum(count)), 6) AS reads, CAST(batch = 'batch0' AS INT) AS batch0, CAST(batch = 'batch1' AS INT) AS batch1 FROM pixels JOIN labels_cells USING (cell_id) GROUP BY cell_id, batch", "pixels", "labels_cells"))
 def _(spark, d):
-    reads = X.pixels(spark, d).groupBy("cell_id").agg(F.log1p(F.sum("count")).alias("reads"))
-    return reads.join(X.cell_labels(spark, d), "cell_id").select("cell_id", F.round("reads", 6).alias("reads"), *[(F.col("batch") == b).cast("int").alias(b) for b in ("batch0", "batch1")])
+    return r6(N.cell_covariates(X.pixels(spark, d), X.cell_labels(spark, d)), "reads").select("cell_id", "reads", F.col("hot")[0].alias("batch0"), F.col("hot")[1].alias("batch1"))
 
 
 def _points(spark, d):

@@ -35,28 +35,18 @@ CHROM, CELL = ["chrom"], ["cell_id", "chrom"]
 
 @query("a18_negatives_policy", sql("SELECT cell_id, CAST(CASE WHEN s > 0.3 THEN 1 WHEN s > 0.2 THEN 2 WHEN s > 0.15 THEN 3 WHEN s > 0.1 THEN 4 ELSE 5 END AS INT) AS negatives FROM (SELECT cell_id, count(*) / 600.0::DOUBLE AS s FROM (SELECT DISTINCT cell_id, chrom, bin1 // 2, bin2 // 2 FROM pixels) GROUP BY 1)", "pixels"))
 def _(spark, d):
-    s = F.col("sparsity")
-    policy = F.when(s > 0.3, 1).when(s > 0.2, 2).when(s > 0.15, 3).when(s > 0.1, 4).otherwise(5)
-    return M.occupancy(X.pixels(spark, d), X.index(spark), 2).select("cell_id", policy.alias("negatives"))
+    return C.negatives_policy(M.occupancy(X.pixels(spark, d), X.index(spark), 2))
 
 
 @query("w2_node_ranges", "SELECT * FROM (VALUES ('cell', 1, 21), ('chr1', 21, 61), ('chr2', 61, 101), ('chr3', 101, 141)) t(node_type, start_id, end_id)")
 def _(spark, d):
-    """Global node ids: 0 is padding, cells from 1, then the bins of each chromosome."""
-    cells = spark.range(1).select(F.lit(20).cast("long").alias("n"))
-    sizes = cells.select(F.lit(-1).alias("k"), F.lit("cell").alias("node_type"), "n").unionByName(X.index(spark).select(F.col("chrom_idx").alias("k"), F.col("chrom").alias("node_type"), F.col("n_bins").alias("n")))
-    end = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) + 1
-    return sizes.select("node_type", (end - F.col("n")).alias("start_id"), end.alias("end_id"))
+    return C.node_ranges(20, X.index(spark))
 
 
 @query("w5_merge_close_boundaries", _scored(f"""SELECT chrom, bin FROM (SELECT chrom, bin, n, lead(bin) OVER w - bin AS gap_r, lead(n) OVER w AS n_r, bin - lag(bin) OVER w AS gap_l, lag(n) OVER w AS n_l FROM (SELECT chrom, bin, bin * 7 % 5 AS n FROM ({_MIN}) WHERE boundary) WINDOW w AS (PARTITION BY chrom ORDER BY bin)) WHERE NOT (coalesce(gap_r <= 4 AND n_r > n, false) OR coalesce(gap_l <= 4 AND n_l >= n, false))"""))
 def _(spark, d):
     """Of boundaries closer than five bins the one with more members stays, the left one at a tie."""
-    rows = T.local_minima(_scores(spark, d), CHROM, 2).where("boundary").select("chrom", "bin", (F.col("bin") * 7 % 5).alias("n"))
-    w = Window.partitionBy("chrom").orderBy("bin")
-    right = (F.lead("bin").over(w) - F.col("bin") <= 4) & (F.lead("n").over(w) > F.col("n"))
-    left = (F.col("bin") - F.lag("bin").over(w) <= 4) & (F.lag("n").over(w) >= F.col("n"))
-    return rows.withColumn("gone", F.coalesce(right, F.lit(False)) | F.coalesce(left, F.lit(False))).where("not gone").select("chrom", "bin")
+    return T.merge_close(T.local_minima(_scores(spark, d), CHROM, 2).where("boundary").select("chrom", "bin", (F.col("bin") * 7 % 5).alias("n")), CHROM)
 
 
 @query("w11_position_rank", sql("SELECT chrom, i, j, row_number() OVER (PARTITION BY chrom ORDER BY v, i, j) - 1 AS r FROM bulk", "bulk"))
