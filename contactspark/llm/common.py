@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactspark.operators.tables import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own where that is unset, in local mode only, as in tests.
-
-    On a cluster a folder of the driver's machine would lose every executor's rows, so there the setting is required.
-    """
-    context = spark.sparkContext._jsc.sc()
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and context.getCheckpointDir().isDefined():
-        found = context.getCheckpointDir().get()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="contactspark-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    elif not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/contactspark/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["documents", "id_and_text", "materialise", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
