@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactspark.operators import graph as G
 from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
 from contactspark.operators import norms as N
