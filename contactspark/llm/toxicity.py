@@ -24,7 +24,8 @@ from contactspark.llm.common import id_and_text, materialise
 #: Labelled rows that a model is fitted on at most, by the least hash of their id; half give the lexicon, half the weights.
 MAX_LABELLED = 16_000
 LEAST_TERM, PREFIXES, SURE = 4, (4, 5, 6), 5
-#: A term needs this many toxic texts, this log-odds of its rates and this log-likelihood ratio against equal rates.
+#: A term needs this many toxic texts, this log-odds of its rates and this log-likelihood ratio against equal rates (or more,
+#: where very many terms are tried).
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, math.log(2), 10.0
 WINDOW = 8
 REMEMBERED = 200_000
@@ -220,7 +221,8 @@ def mine(sample: DataFrame) -> list[tuple[str, int, int, float]]:
     share = size["toxic"] / (size["toxic"] + size["other"])
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((toxic + other) * p))).otherwise(0.0)
     odds = F.log((toxic + 0.5) / (size["toxic"] - toxic + 0.5) / ((other + 0.5) / (size["other"] - other + 0.5)))
-    clear = (toxic >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (part(toxic, share) + part(other, 1 - share) >= LEAST_EVIDENCE)
+    evidence = max(LEAST_EVIDENCE, math.log(counted.count()) + 1)  # as many terms are tried, so many may look toxic by chance
+    clear = (toxic >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (part(toxic, share) + part(other, 1 - share) >= evidence)
     kept = counted.where("term <> ''").where(clear).orderBy(F.desc("toxic"), "term")
     return [(r["term"], r["toxic"], r["other"], log_odds(r["toxic"], r["other"], size["toxic"], size["other"])) for r in kept.collect()]
 
