@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import decontam, licenses, minhash, mixing, quality, sharding, suffix, tokens, topk, toxicity
+from contactspark.llm import decontam, fingerprint, licenses, merkle, minhash, mixing, quality, sharding, suffix, tokens, topk, toxicity, whitening
 from contactspark.llm.common import documents
 
 
@@ -62,6 +62,22 @@ def good_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(docs, docs.withColumn("__shown", F.when(tampered, lowered)))
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(rows.select(F.col("vec_id").alias("id"), whitening.whole_numbers("embedding").alias("x")), 8)
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_exact_top_k": best_products,
@@ -73,8 +89,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": good_text,
     "op9_repeated_passages": repeated_passages,
     "op10_mixture": mixed,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_whitening": whitened,
+    "op13_fingerprints": document_fingerprints,
 }
 
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": """
 WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -114,4 +135,25 @@ kept AS (SELECT id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, len(h) /
 counts AS (SELECT id, sum(high - low) AS removed, count(*) AS spans FROM spans GROUP BY id)
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM hexed LEFT JOIN kept USING (id) LEFT JOIN counts USING (id)""",
     "op10_mixture": mixing.oracle(),
+    "op11_merkle_manifest": """
+WITH RECURSIVE steps AS (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::UBIGINT)), lambda c, y: xor(c >> 8, steps[(xor(c, y) & 255)::INT + 1])), 4294967295::UBIGINT) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), steps),
+shown AS (SELECT d.*, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents d LEFT JOIN crcs USING (doc_id)),
+parts AS (SELECT doc_id, source, text, other, f(doc_id::VARCHAR) || f(source) || f(lang) || f(n_chars::VARCHAR) AS head FROM shown),
+leaves AS (SELECT doc_id, source, sha256(head || f(text)) AS leaf, sha256(head || f(other)) AS altered FROM parts),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+nodes AS (SELECT g, 0 AS level, p, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM placed
+  UNION ALL SELECT g, level + 1, p // 16, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 15) // 16 FROM nodes WHERE n > 1 GROUP BY g, level, p // 16),
+subroots AS (SELECT g, level AS top, h AS subroot, count(*) OVER () AS groups FROM nodes WHERE n = 1),
+above AS (SELECT 0 AS level, g AS p, subroot AS h, groups AS n FROM subroots
+  UNION ALL SELECT level + 1, p // 16, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 15) // 16 FROM above WHERE n > 1 GROUP BY level, p // 16),
+links AS (SELECT g, level + 1 AS level, p // 16 AS p, list(h ORDER BY p) AS kids FROM nodes WHERE n > 1 GROUP BY g, level, p // 16),
+tops AS (SELECT level + 1 AS level, p // 16 AS p, list(h ORDER BY p) AS kids FROM above WHERE n > 1 GROUP BY level, p // 16),
+ways AS (SELECT g, level, p, NULL::BIGINT AS spot, kids FROM links
+  UNION ALL SELECT g, top + o.level, -1, (g // (16 ** (o.level - 1))::BIGINT) % 16, o.kids FROM subroots JOIN tops o ON o.p = g // (16 ** o.level)::BIGINT),
+paths AS (SELECT g, p, p AS at, 0 AS level, altered AS h, '' AS beside FROM placed
+  UNION ALL SELECT g, p, up, level, sha256(array_to_string(kids[1:spot] || [h] || kids[spot + 2:], '')), beside || array_to_string(kids[1:spot] || kids[spot + 2:], '')
+    FROM (SELECT x.g, x.p, x.at // 16 AS up, k.level, x.h, x.beside, k.kids, coalesce(k.spot, x.at % 16) AS spot FROM paths x JOIN ways k ON k.g = x.g AND k.level = x.level + 1 AND k.p IN (-1, x.at // 16))),
+ends AS (SELECT g, p, arg_max(h, level) AS folded_root, sha256(arg_max(beside, level)) AS proof_sha256 FROM paths GROUP BY g, p)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM placed JOIN subroots USING (g) JOIN ends USING (g, p), (SELECT h AS root FROM above WHERE n = 1)""".replace("f(doc_id::VARCHAR)", _FIELD.format("doc_id::VARCHAR")).replace("f(n_chars::VARCHAR)", _FIELD.format("n_chars::VARCHAR")).replace("f(source)", _FIELD.format("source")).replace("f(lang)", _FIELD.format("lang")).replace("f(text)", _FIELD.format("text")).replace("f(other)", _FIELD.format("other")),
 }
