@@ -17,7 +17,7 @@ from hashlib import blake2b, shake_256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXACT, LANES = 16, 256
@@ -146,7 +146,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for after, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[-1][0]:
-                break  # one row after the bucket's own is enough
+                continue  # one row after the bucket's own is enough
             held.append((after, doc_id, text))
             size += len(text)
             if size >= CHUNK and len(held) > 1:
@@ -157,26 +157,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result(held, known)[0]
 
 
-def _bounds(docs: DataFrame, buckets: int) -> list[tuple[int, int, int]]:
-    """The first (id given, id, hash of the text) of each bucket, ascending: ids that are there, from their quantiles.
+#: A place in the order of rows: (id given, id, hash of the text).
+Place = tuple[int, int, int]
+#: Stands for the first row of an id, whatever its hash.
+FIRST = -(1 << 63)
 
-    An id, or the lack of one, that spans several quantiles is cut by the hash of its rows' texts.
+
+def _places(some: list[Place]) -> Column:
+    return F.array(*[F.struct(F.lit(g).alias("given"), F.lit(i).cast("long").alias("id"), F.lit(t).cast("long").alias("tie")) for g, i, t in some])
+
+
+def _bucket(bounds: list[Place], key: Column) -> Column:
+    """The number of the last of ``bounds``, ascending, that isn't above ``key``: first among every so many, then among those after it."""
+    step = max(1, int(len(bounds) ** 0.5))
+    below = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    start = F.greatest(below(_places(bounds[::step])) - 1, F.lit(0)) * step
+    return start + F.greatest(below(F.slice(_places(bounds), start + 1, F.lit(step))) - 1, F.lit(0))
+
+
+def _bounds(rows: DataFrame, buckets: int) -> list[Place]:
+    """The first place of each bucket, ascending: one for each bucket on the driver.
+
+    Rows (given, id, tie) are cut at quantiles of their ids; an id, or the lack of one, that spans several is cut by the hash of
+    its rows' texts. Quantiles come rounded, so the first places are looked up after.
     """
-    n, nulls, least = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("given") == 0)).first()
     if not n:
         return []
-    low = -(1 << 63)  # of no text's hash: stands for an id's first row, whatever its hash
     shares = [i / buckets for i in range(1, buckets)]
-    ids = docs.agg(F.percentile_approx("doc_id", shares, 100 * buckets).alias("q")).first()["q"] if shares and n > nulls else []
-    found = {(1, i, low) for i in ids or []} | {(1, least, low) if not nulls else (0, 0, low)}
-    many = {(1, i): ids.count(i) for i in set(ids or []) if ids.count(i) > 1} | ({(0, 0): buckets * nulls // n} if buckets * nulls > 2 * n else {})
-    if many:
-        cuts = max(many.values())
-        key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("given"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))
-        is_hot = F.col("doc_id").isin([i for g, i in many if g]) | (F.col("doc_id").isNull() if (0, 0) in many else F.lit(False))
-        hot = docs.where(is_hot).groupBy(key.alias("k")).agg(F.percentile_approx("tie", [i / cuts for i in range(1, cuts)], 100 * cuts).alias("q"))
-        found |= {(r["k"]["given"], r["k"]["id"], t) for r in hot.collect() for t in r["q"] or []}  # a row for each id that spans quantiles
-    return sorted(found)
+    found = rows.where("given = 1").agg(F.percentile_approx("id", shares, 100 * buckets).alias("q")).first()["q"] if shares and n > nulls else []
+    spans = {(1, i): found.count(i) for i in set(found or []) if found.count(i) > 1}
+    spans |= {(0, 0): buckets * nulls // n} if buckets * nulls > 2 * n else {}
+    cuts: set[Place] = {(1, i, FIRST) for i in found or []} | {(1, FIRST, FIRST)}
+    key = [F.col("given"), F.col("id")]
+    tie = F.lit(FIRST).cast("long")
+    if spans:
+        hot = F.struct(*key).isin([F.struct(F.lit(g), F.lit(i).cast("long")) for g, i in spans])
+        most = max(spans.values())
+        ties = F.percentile_approx("tie", [i / most for i in range(1, most)], 100 * most)
+        cuts |= {(r["given"], r["id"], t) for r in rows.where(hot).groupBy("given", "id").agg(ties.alias("q")).collect() for t in r["q"]}
+        tie = F.when(hot, F.col("tie")).otherwise(tie)
+    key = F.struct(*key, tie.alias("tie"))
+    firsts = rows.groupBy(_bucket(sorted(cuts), key).alias("bucket")).agg(F.min(key).alias("first")).collect()
+    return sorted(tuple(r["first"]) for r in firsts)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -191,20 +214,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     also go to the one before. Rows that repeat both id and text lie in one bucket.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(doc_id.isNotNull().cast("int").alias("given"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     bounds = _bounds(rows, buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if not bounds:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    step = max(1, int(len(bounds) ** 0.5))
-    literal = lambda some: F.array(*[F.struct(F.lit(g).alias("given"), F.lit(i).cast("long").alias("id"), F.lit(t).cast("long").alias("tie")) for g, i, t in some])
-    key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("given"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "tie")
-    rows = rows.withColumn("key", key).withColumn("coarse", F.size(F.filter(literal(bounds[::step]), lambda b: b <= F.col("key"))) - 1)
-    near = F.slice(literal(bounds), F.col("coarse") * step + 1, F.lit(step))
-    rows = rows.withColumn("bucket", F.col("coarse") * step + F.size(F.filter(near, lambda b: b <= F.col("key"))) - 1)
-    first = F.element_at(literal(bounds), F.col("bucket") + 1)
-    leads = (first["given"] == F.col("key.given")) & (first["id"] == F.col("key.id")) & ((first["tie"] == F.col("tie")) | (first["tie"] == F.lit(-(1 << 63))))
+    rows = rows.withColumn("bucket", _bucket(bounds, F.struct("given", "id", "tie")))
+    first = F.element_at(_places(bounds), F.col("bucket") + 1)
+    leads = (first["given"] == F.col("given")) & (first["id"] == F.col("id")) & ((first["tie"] == F.col("tie")) | (first["tie"] == F.lit(FIRST)))
     place = lambda bucket, after: F.struct(bucket.cast("int").alias("bucket"), F.lit(after).alias("after"))
     own, before = place(F.col("bucket"), False), place(F.pmod(F.col("bucket") - 1, F.lit(len(bounds))), True)
-    dealt = rows.select("doc_id", "tie", "text", F.explode(F.when(leads, F.array(own, before)).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select("to.bucket", "to.after", "doc_id", "tie", "text").repartitionById(len(bounds), "bucket")
-    return dealt.sortWithinPartitions("after", F.asc_nulls_first("doc_id"), "tie").select("after", "doc_id", "text").mapInArrow(_compare, SCHEMA)
+    dealt = rows.select("given", "id", "tie", "text", F.explode(F.when(leads, F.array(own, before)).otherwise(F.array(own))).alias("to"))
+    dealt = dealt.select("to.bucket", "to.after", "given", "id", "tie", "text").repartitionById(len(bounds), "bucket")
+    return dealt.sortWithinPartitions("after", "given", "id", "tie").select("after", F.when(F.col("given") == 1, F.col("id")).alias("doc_id"), "text").mapInArrow(_compare, SCHEMA)
