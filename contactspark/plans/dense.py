@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contactspark.operators import graph as G
+from contactspark.operators import layout as Y
 from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
 from contactspark.operators import norms as N
 from contactspark.operators import tracks as T
+from contactspark.operators import trees as W
 from contactspark.plans import fixtures as X
 from contactspark.plans.fixtures import r6, sql
 
@@ -108,10 +111,41 @@ def _(spark, d):
     return L.scaling(X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 2)
 
 
+def _vectors(spark, d):
+    return X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
 @query("n22_projection")
 def _(spark, d):
-    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("feature", "v"))
-    return L.sparse_svd(e, 3, centre=True)
+    return L.dense_components(_vectors(spark, d), 3)
+
+
+@query("n22_umap")
+def _(spark, d):
+    return Y.umap(_vectors(spark, d)).select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+@query("n22_tsne")
+def _(spark, d):
+    return Y.tsne(_vectors(spark, d)).select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+_DISTANCES = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nbr) AS r FROM (SELECT a.id, b.id AS nbr, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM v a JOIN v b ON a.id <> b.id))"""
+
+
+@query("n22_fuzzy_views", f"""WITH {_DISTANCES}, kept AS (SELECT id, d FROM near WHERE r < 15)
+SELECT id, CAST(count(*) AS BIGINT) AS n, round(min(d), 6) AS rho, round(log2(15), 4) AS total FROM kept GROUP BY id""")
+def _(spark, d):
+    # each row's own views of its 14 neighbours sum to log2(15): the views are taken back from the bandwidths that they were made with
+    near = G.nearest(_vectors(spark, d), 15)
+    views = Y.views(near, 15)
+    return views.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("rho"), F.round(F.sum("w"), 4).alias("total"))
+
+
+@query("n22_fuzzy_graph", f"""WITH {_DISTANCES}, kept AS (SELECT id, nbr FROM near WHERE r < 15) SELECT i, j FROM (SELECT id AS i, nbr AS j FROM kept UNION SELECT nbr, id FROM kept)""")
+def _(spark, d):
+    return Y.fuzzy_graph(G.nearest(_vectors(spark, d), 15), 15).where("w > 0 AND w <= 1 + 1e-12").select("i", "j")
 
 
 @query("n23_clusters")
@@ -132,6 +166,33 @@ def _(spark, d):
     return BisectingKMeans(k=10, seed=1).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
+_WARD = """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) > 0),
+alike AS (SELECT min(id) AS id, count(*) AS n, v FROM v GROUP BY v),
+doubles AS (SELECT 0 AS turn, a.id AS "left", v.id AS "right", row_number() OVER (PARTITION BY a.id ORDER BY v.id) + 1 AS size, 0.0::DOUBLE AS d FROM alike a JOIN v ON a.v = v.v AND a.id <> v.id),
+steps AS (SELECT 1 AS turn, id, n, v, NULL::BIGINT AS gone, 0.0::DOUBLE AS d FROM alike
+  UNION ALL SELECT * FROM (WITH live AS (SELECT turn, id, n, v FROM steps WHERE gone IS NULL),
+    pairs AS (SELECT a.id, b.id AS nbr, a.n::DOUBLE * b.n / (a.n + b.n) * list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM live a JOIN live b ON a.id <> b.id),
+    best AS (SELECT id, arg_min(nbr, (d, md5(concat(least(id, nbr), ':', greatest(id, nbr))))) AS nbr, min(d) AS d FROM pairs GROUP BY id),
+    mutual AS (SELECT a.id, a.nbr, a.d FROM best a JOIN best b ON b.id = a.nbr AND b.nbr = a.id)
+    SELECT x.turn + 1, x.id, CASE WHEN m.id IS NULL THEN x.n ELSE x.n + y.n END, CASE WHEN m.id IS NULL THEN x.v ELSE list_transform(list_zip(x.v, y.v), lambda p: (x.n * p[1] + y.n * p[2]) / (x.n + y.n)) END, CASE WHEN m.id > m.nbr THEN m.nbr END, coalesce(m.d, 0)
+    FROM live x LEFT JOIN mutual m ON m.id = x.id LEFT JOIN live y ON y.id = m.nbr WHERE (SELECT count(*) FROM live) > 1)),
+merges AS (SELECT * FROM doubles UNION ALL SELECT turn - 1, gone, id, n, d FROM steps WHERE gone IS NOT NULL)
+"""
+
+
+@query("n23_ward_tree", _WARD + 'SELECT "left" AS left_id, "right" AS right_id, CAST(size AS BIGINT) AS size, round(sqrt(2 * d), 6) AS height FROM merges')
+def _(spark, d):
+    return W.ward(_vectors(spark, d)).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "size", F.round("height", 6).alias("height"))
+
+
+@query("n23_ward_clusters", _WARD + """, kept AS (SELECT * FROM merges ORDER BY d DESC, turn DESC, "left" DESC, "right" DESC OFFSET 9),
+up AS (SELECT id, id AS cluster, 0 AS k FROM v UNION ALL SELECT up.id, kept."left", k + 1 FROM up JOIN kept ON kept."right" = up.cluster)
+SELECT id, arg_max(cluster, k) AS cluster FROM up GROUP BY id""")
+def _(spark, d):
+    rows = _vectors(spark, d)
+    return W.cut(W.ward(rows), rows.select("id"), 10)
+
+
 def _cell_scores(spark, d):
     return T.insulation(M.symmetric(X.pixels(spark, d)), CELL, X.index(spark), 3)
 
