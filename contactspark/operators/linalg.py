@@ -266,55 +266,56 @@ def sparse_svd(rows: DataFrame, k: int, id_col: str = "id", feature: str = "feat
     return scores.select("id", F.array(*signed).alias("v"))
 
 
-def dense_components(rows: DataFrame, k: int, centre: bool = True) -> DataFrame:
-    """(id, v array<double>): scores of (id, v) on the first ``k`` principal components, fewer if the rows span less.
+def principal_axes(rows: DataFrame, k: int, centre: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes as columns) of the first ``k`` principal components of (id, v), fewer if the rows span less.
 
-    For vectors of one length and few numbers: one pass sums their products (a square matrix from each task), one projects.
-    Rows with a null id, vector or component take no part; the largest absolute score of each component is positive. An empty
-    table gives no rows.
+    For vectors of one length and few numbers: one pass sums them, one the products of what is left without the mean, a square
+    matrix from each task. Rows must have no nulls; without rows both are empty.
     """
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
-    rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-
-    def vectors(batch: pa.RecordBatch, at: int) -> np.ndarray:
-        return batch.column(at).flatten().to_numpy().reshape(batch.num_rows, -1)
 
     def products(shift: np.ndarray | None) -> tuple[int, np.ndarray, np.ndarray]:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, sums, total = 0, 0.0, 0.0
             for batch in batches:
                 if batch.num_rows:
-                    x = vectors(batch, 0)
+                    x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
                     x = x if shift is None else x - shift
                     n, sums, total = n + len(x), sums + x.sum(axis=0), total + (x.T @ x if shift is not None else 0.0)
             if n:
                 yield pa.RecordBatch.from_pydict({"n": [n], "s": [np.asarray(sums).tobytes()], "t": [np.asarray(total).tobytes()]})
 
-        parts = rows.select("v").mapInArrow(part, "n long, s binary, t binary").collect()  # one from each task
-        n = sum(r["n"] for r in parts)
+        parts = rows.select(F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(part, "n long, s binary, t binary").collect()  # one from each task
         sums = sum((np.frombuffer(r["s"]) for r in parts), np.zeros(1))
-        return n, sums, sum((np.frombuffer(r["t"]) for r in parts), np.zeros(1))
+        return sum(r["n"] for r in parts), sums, sum((np.frombuffer(r["t"]) for r in parts), np.zeros(1))
 
     n, sums, _ = products(None)
     if not n:
-        return rows.select("id", "v")
+        return np.zeros(0), np.zeros((0, 0))
     mean = sums / n if centre else np.zeros(len(sums))
-    _, _, square = products(mean)
-    values, axes = np.linalg.eigh(square.reshape(len(mean), -1))
-    keep = [c for c in np.argsort(-values)[:k] if values[c] > 1e-12 * max(values.max(), 1e-300)]
-    axes = axes[:, keep]
+    values, axes = np.linalg.eigh(products(mean)[2].reshape(len(mean), -1))
+    return mean, axes[:, [c for c in np.argsort(-values)[:k] if values[c] > 1e-12 * max(values.max(), 1e-300)]]
+
+
+def dense_components(rows: DataFrame, k: int, centre: bool = True) -> DataFrame:
+    """(id, v array<double>): scores of (id, v) on the first ``k`` principal components, fewer if the rows span less.
+
+    Rows with a null id, vector or component take no part; the largest absolute score of each component is positive. An empty
+    table gives no rows.
+    """
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    mean, axes = principal_axes(rows, k, centre)
+    if not axes.shape[1]:
+        return rows.select("id", F.expr("CAST(array() AS array<double>)").alias("v"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = (vectors(batch, 1) - mean) @ axes
+                out = (batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) - mean) @ axes
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.tolist(), pa.list_(pa.float64()))], ["id", "v"])
 
-    kind = dict(rows.dtypes)["id"]
-    if not keep:
-        return rows.select("id", F.expr("CAST(array() AS array<double>)").alias("v"))
-    scores = materialise(rows.mapInArrow(project, f"id {kind}, v array<double>"), "components")
-    top = scores.agg(*[F.max_by(F.col("v")[c], F.struct(F.round(F.abs(F.col("v")[c]), 9), -F.xxhash64("id"))) for c in range(len(keep))]).first()
+    scores = materialise(rows.mapInArrow(project, f"id {dict(rows.dtypes)['id']}, v array<double>"), "components")
+    top = scores.agg(*[F.max_by(F.col("v")[c], F.struct(F.round(F.abs(F.col("v")[c]), 9), -F.xxhash64("id"))) for c in range(axes.shape[1])]).first()
     return scores.select("id", F.array(*[F.col("v")[c] * (-1.0 if (x or 0.0) < 0 else 1.0) for c, x in enumerate(top)]).alias("v"))
 
 

@@ -1,69 +1,136 @@
-"""A hyperedge scorer with self-attention, trained in numpy on a bounded draw and applied to every pair on the executors.
+"""Models that ``training`` fits on the executors: a tied auto-encoder, and a hyperedge scorer with self-attention.
 
 A hyperedge is (cell, bin1, bin2). Each node has a feature vector; a per-type layer gives its static code, attention among the
-three nodes (a node doesn't attend to itself) its dynamic code. The mean of the squared differences, weighed, is the score.
+three nodes (a node doesn't attend to itself) its dynamic code. The mean of the squared differences, weighed, and what is known
+beside the nodes (distance, coverage, what the cell's neighbours have there) give the score. Features are joined to the hyperedges:
+no table of features goes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hyperedges that a model is trained on at most.
-MAX_TRAIN = 50_000
+from contactspark.operators.training import Arrays, Weights, arrays
+
+
+@dataclass
+class TiedAutoEncoder:
+    """Layers of the given widths; the decoder's matrices are the encoder's, turned. Inner layers pass through tanh."""
+
+    widths: list[int]
+    linear: bool = False
+
+    def start(self, seed: int = 0, axes: np.ndarray | None = None) -> Weights:
+        """Seeded weights; ``axes`` (numbers x components), such as principal ones, become the first layer's."""
+        r = np.random.default_rng(seed)
+        out: Weights = {}
+        for k, (a, b) in enumerate(zip(self.widths, self.widths[1:])):
+            out |= {f"w{k}": r.normal(0, (2 / (a + b)) ** 0.5, (a, b)), f"b{k}": np.zeros(b), f"c{k}": np.zeros(a)}
+        if axes is not None:
+            out["w0"][:, : axes.shape[1]] = axes[:, : self.widths[1]]
+        return out
+
+    def _through(self, w: Weights, x: np.ndarray) -> list[np.ndarray]:
+        """What each layer gives, down to the code and up again."""
+        depth = len(self.widths) - 1
+        out = [x]
+        for k in range(depth):
+            z = out[-1] @ w[f"w{k}"] + w[f"b{k}"]
+            out.append(z if self.linear or k == depth - 1 else np.tanh(z))
+        for k in reversed(range(depth)):
+            z = out[-1] @ w[f"w{k}"].T + w[f"c{k}"]
+            out.append(z if self.linear or k == 0 else np.tanh(z))
+        return out
+
+    def code(self, w: Weights, x: np.ndarray) -> np.ndarray:
+        return self._through(w, x)[len(self.widths) - 1]
+
+    def losses(self, w: Weights, a: Arrays) -> list[tuple[float, Weights]]:
+        """Squared error of the rows' numbers (column ``v``), the mean over a row's numbers, summed over rows."""
+        x = a["v"].astype(float)
+        out, depth = self._through(w, x), len(self.widths) - 1
+        gap = out[-1] - x
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        d = 2 * gap / x.shape[1]
+        for step, k in enumerate(range(depth)):  # up again, the last layer first
+            if not self.linear and k:
+                d = d * (1 - out[-1 - step] ** 2)
+            below = out[-2 - step]
+            g[f"c{k}"] += d.sum(axis=0)
+            g[f"w{k}"] += d.T @ below
+            d = d @ w[f"w{k}"]
+        for k in reversed(range(depth)):
+            if not self.linear and k < depth - 1:
+                d = d * (1 - out[k + 1] ** 2)
+            g[f"b{k}"] += d.sum(axis=0)
+            g[f"w{k}"] += out[k].T @ d
+            d = d @ w[f"w{k}"].T
+        return [(float((gap**2).mean(axis=1).sum()), g)]
+
+    def encoded(self, rows: DataFrame, w: Weights) -> DataFrame:
+        """(id, v, error): the code of each (id, v) and its mean squared error."""
+        kind = dict(rows.dtypes)["id"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = arrays(batch)["v"].astype(float)
+                    out = self._through(w, x)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[len(self.widths) - 1].tolist(), pa.list_(pa.float64())), pa.array(((out[-1] - x) ** 2).mean(axis=1))], ["id", "v", "error"])
+
+        return rows.select("id", "v").mapInArrow(run, f"id {kind}, v array<double>, error double")
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
 class Scorer:
-    """``cells`` and ``bins`` are feature matrices; heads of width ``width``."""
+    """``cell``, ``bin`` and ``side``: how many numbers a cell's, a bin's and a hyperedge's own features have."""
 
-    cells: np.ndarray
-    bins: np.ndarray
+    cell: int
+    bin: int
+    side: int
     code: int = 16
     heads: int = 8
     width: int = 16
-    seed: int = 0
-    w: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        if not self.w:
-            r = np.random.default_rng(self.seed)
-            glorot = lambda *s: r.normal(0, (2 / (s[-2] + s[-1])) ** 0.5, s)
-            self.w = {"cell": glorot(self.cells.shape[1], self.code), "bin": glorot(self.bins.shape[1], self.code), "out": glorot(self.heads * self.width, self.code), "score": r.normal(0, 0.1, self.code), "far": np.zeros(2), "bias": np.zeros(())}
-            self.w |= {k: glorot(self.heads, self.code, self.width) for k in ("query", "key", "value")}
-
-    def forward(self, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        w = self.w
-        x = [self.cells[cell], self.bins[a], self.bins[b]]
+
+    def start(self, seed: int = 0) -> Weights:
+        r = np.random.default_rng(seed)
+        glorot = lambda *s: r.normal(0, (2 / (s[-2] + s[-1])) ** 0.5, s)
+        w = {"cell": glorot(self.cell, self.code), "bin": glorot(self.bin, self.code), "out": glorot(self.heads * self.width, self.code), "score": r.normal(0, 0.1, self.code), "side": np.zeros(self.side), "bias": np.zeros(())}
+        return w | {k: glorot(self.heads, self.code, self.width) for k in ("query", "key", "value")}
+
+    def forward(self, w: Weights, a: Arrays) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        x = [a["cell_v"], a["a_v"], a["b_v"]]
         s = np.stack([np.tanh(x[0] @ w["cell"]), np.tanh(x[1] @ w["bin"]), np.tanh(x[2] @ w["bin"])], axis=1)
         q, k, v = (np.einsum("nic,hcd->nhid", s, w[m]) for m in ("query", "key", "value"))
         e = np.einsum("nhid,nhjd->nhij", q, k) / np.sqrt(self.width)
         e[:, :, range(3), range(3)] = -np.inf
         p = np.exp(e - e.max(axis=-1, keepdims=True))
         p /= p.sum(axis=-1, keepdims=True)
-        o = np.einsum("nhij,nhjd->nihd", p, v).reshape(len(cell), 3, -1)
+        o = np.einsum("nhij,nhjd->nihd", p, v).reshape(len(s), 3, -1)
         dynamic = np.tanh(o @ w["out"])
         diff = dynamic - s
         pooled = (diff**2).mean(axis=1)
-        far = np.stack([np.log1p(np.abs(b - a)), np.abs(b - a) / 100], axis=1)
-        return pooled @ w["score"] + far @ w["far"] + w["bias"], {"x": x, "s": s, "q": q, "k": k, "v": v, "p": p, "o": o, "dynamic": dynamic, "diff": diff, "pooled": pooled, "far": far}
-
-    def gradient(self, cell: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy on logits, and its gradient."""
-        w = self.w
-        z, t = self.forward(cell, a, b)
-        prob = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss = float(np.mean(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - z * y))
-        dz = (prob - y) / len(y)
-        g = {"score": t["pooled"].T @ dz, "far": t["far"].T @ dz, "bias": dz.sum()}
+        return pooled @ w["score"] + a["side"] @ w["side"] + w["bias"], {"s": s, "q": q, "k": k, "v": v, "p": p, "o": o, "dynamic": dynamic, "diff": diff, "pooled": pooled}
+
+    def losses(self, w: Weights, a: Arrays) -> list[tuple[float, Weights]]:
+        """Cross-entropy of ``label`` on logits, and the squared error of the cells' features from their static codes."""
+        z, t = self.forward(w, a)
+        x, y = [a["cell_v"], a["a_v"], a["b_v"]], a["label"].astype(float)
+        loss = float(np.sum(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - z * y))
+        dz, n = sigmoid(z) - y, len(y)
+        g = {"score": t["pooled"].T @ dz, "side": a["side"].T @ dz, "bias": np.array(dz.sum())}
         ddiff = dz[:, None, None] * w["score"] * 2 * t["diff"] / 3
         dpre = ddiff * (1 - t["dynamic"] ** 2)
-        n = len(cell)
         g["out"] = np.einsum("nix,nic->xc", t["o"], dpre)
         do = (dpre @ w["out"].T).reshape(n, 3, self.heads, self.width)
         dv = np.einsum("nhij,nihd->nhjd", t["p"], do)
@@ -75,73 +142,51 @@ class Scorer:
             g[name] = np.einsum("nic,nhid->hcd", t["s"], d)
             ds = ds + np.einsum("nhid,hcd->nic", d, w[name])
         ds = ds * (1 - t["s"] ** 2)
-        g["cell"] = t["x"][0].T @ ds[:, 0]
-        g["bin"] = t["x"][1].T @ ds[:, 1] + t["x"][2].T @ ds[:, 2]
-        return loss, g
-
-    def train(self, edges: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 512, rate: float = 0.01, patience: int = 4) -> list[float]:
-        """Adam, stopped after ``patience`` epochs without a lower mean loss."""
-        r = np.random.default_rng(self.seed)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        v = {k: np.zeros_like(x) for k, x in self.w.items()}
-        step, history = 0, []
-        for _ in range(epochs):
-            order, total = r.permutation(len(y)), 0.0
-            for at in range(0, len(order), batch):
-                i = order[at : at + batch]
-                loss, g = self.gradient(*edges[i].T, y[i])
-                total += loss * len(i)
-                step += 1
-                for k in g:
-                    m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
-                    self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-            history.append(total / max(1, len(y)))
-            if len(history) > patience and min(history[-patience:]) >= min(history[:-patience]):
-                break
-        return history
-
-
-def feature_matrices(cells: DataFrame, bins: DataFrame, n_cells: int, n_bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dense matrices of (id, v) tables; their sizes are those of cells and bins, not of contacts. Missing rows are zero."""
-
-    def matrix(df: DataFrame, n: int) -> np.ndarray:
-        rows = df.collect()
-        out = np.zeros((n, max(len(r["v"]) for r in rows)))
-        for r in rows:
-            out[r["id"], : len(r["v"])] = r["v"]
-        scale = out.std(axis=0)
-        return (out - out.mean(axis=0)) / np.where(scale > 0, scale, 1)
-
-    return matrix(cells, n_cells), matrix(bins, n_bins)
-
-
-def fit(positives: DataFrame, negatives: DataFrame, cells: np.ndarray, bins: np.ndarray, most: int = MAX_TRAIN, **options) -> tuple[Scorer, list[float]]:
-    """Train on at most ``most`` hyperedges (cell_id, a, b) of global bins, drawn in hash order, half of each label."""
-    take = lambda df: np.array([tuple(r) for r in df.select("cell_id", "a", "b").orderBy(F.xxhash64("cell_id", "a", "b")).limit(most // 2).collect()], int).reshape(-1, 3)
-    p, n = take(positives), take(negatives)
-    model = Scorer(cells, bins)
-    history = model.train(np.concatenate([p, n]), np.concatenate([np.ones(len(p)), np.zeros(len(n))]), **options)
-    return model, history
-
-
-def impute(model: Scorer, pairs: DataFrame, activation: str = "sigmoid") -> DataFrame:
-    """(cell_id, a, b, p) of every pair, in batches on the executors; the model is broadcast (cells and bins, not contacts)."""
-    sent = pairs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            z, _ = sent.value.forward(*(batch[c].to_numpy(int) for c in ("cell_id", "a", "b")))
-            batch["p"] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if activation == "sigmoid" else np.logaddexp(0, z)
-            yield batch
-
-    return pairs.select("cell_id", "a", "b").mapInPandas(run, "cell_id long, a long, b long, p double")
-
-
-def encode(features: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(id, v): a linear code of each row's vector, for a (PCA-fitted) tied encoder."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g["cell"] = x[0].T @ ds[:, 0]
+        g["bin"] = x[1].T @ ds[:, 1] + x[2].T @ ds[:, 2]
+
+        s = t["s"][:, 0]
+        gap = s @ w["cell"].T - x[0]
+        back = 2 * gap / self.cell
+        recon = {k: np.zeros_like(v) for k, v in w.items()}
+        recon["cell"] = back.T @ s + x[0].T @ ((back @ w["cell"]) * (1 - s**2))
+        return [(loss, g), (float((gap**2).mean(axis=1).sum()), recon)]
+
+
+def standardised(rows: DataFrame) -> DataFrame:
+    """(id, v): each number of the vectors less its mean, over its deviation; constant ones are 0. Missing numbers count as 0."""
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    number = lambda i: F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)).cast("double")
+    found = rows.agg(*[f(number(i)) for i in range(width) for f in (F.avg, F.stddev_pop)]).first() if width else []
+    return rows.select("id", F.array(*[(number(i) - (found[2 * i] or 0.0)) / float(found[2 * i + 1] or 0.0) if (found[2 * i + 1] or 0.0) > 1e-12 else F.lit(0.0) for i in range(width)]).cast("array<double>").alias("v"))
+
+
+def featured(edges: DataFrame, cells: DataFrame, bins: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """``edges`` (cell_id, a, b, ...) with ``cell_v``, ``a_v``, ``b_v`` and ``side``.
+
+    ``cells`` and ``bins`` (id, v, coverage); rows without features are left out. ``side``: two terms of the distance, the
+    coverages of the three nodes, and of ``evidence`` (cell_id, a, b, v), such as the neighbours' maps, log1p; 0 if there is none.
+    """
+    out = edges
+    for key, table in (("cell", cells), ("a", bins), ("b", bins)):
+        on = "cell_id" if key == "cell" else key
+        out = out.join(table.select(F.col("id").alias(on), F.col("v").alias(f"{key}_v"), F.col("coverage").alias(f"{key}_c")), on)
+    known = F.lit(0.0)
+    if evidence is not None:
+        out = out.join(evidence.select("cell_id", "a", "b", F.col("v").alias("__known")), ["cell_id", "a", "b"], "left")
+        known = F.log1p(F.coalesce("__known", F.lit(0.0)))
+    gap = F.abs(F.col("b") - F.col("a")).cast("double")
+    side = F.array(F.log1p(gap), gap / 100, "cell_c", "a_c", "b_c", known)
+    return out.select(*edges.columns, "cell_v", "a_v", "b_v", side.alias("side"))
+
+
+def impute(model: Scorer, weights: Weights, pairs: DataFrame, activation: str = "sigmoid") -> DataFrame:
+    """``pairs`` (cell_id, a, b and what ``featured`` adds) as (cell_id, a, b, p), in batches on the executors; weights go along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "v": list(np.array(batch["v"].tolist()) @ weights)}) if len(batch) else batch
+            if batch.num_rows:
+                z, _ = model.forward(weights, arrays(batch.select(["cell_v", "a_v", "b_v", "side"])))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sigmoid(z) if activation == "sigmoid" else np.logaddexp(0, z))], ["cell_id", "a", "b", "p"])
 
-    return features.mapInPandas(run, "id long, v array<double>")
+    return pairs.select(*[F.col(c).cast("long").alias(c) for c in ("cell_id", "a", "b")], "cell_v", "a_v", "b_v", "side").mapInArrow(run, "cell_id long, a long, b long, p double")

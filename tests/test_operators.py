@@ -11,7 +11,6 @@ from contactspark.operators import graph as G
 from contactspark.operators import grid
 from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
-from contactspark.operators import neural as H
 from contactspark.operators import order
 from contactspark.operators import tracks as T
 from contactspark.sources import readers, writers
@@ -117,24 +116,6 @@ def test_scaling_keeps_distances(spark, landmarks):
     assert L.scaling(rows.limit(0)).collect() == []
 
 
-def test_attention_gradient():
-    r = np.random.default_rng(0)
-    model = H.Scorer(r.normal(size=(4, 3)), r.normal(size=(6, 5)), code=4, heads=2, width=3)
-    args = np.array([0, 1, 3]), np.array([0, 2, 4]), np.array([1, 5, 5]), np.array([1.0, 0.0, 1.0])
-    _, g = model.gradient(*args)
-    for name, w in model.w.items():
-        flat = np.atleast_1d(w).astype(float)
-        at = tuple(s - 1 for s in flat.shape)
-        values = []
-        for e in (1e-6, -1e-6):
-            new = flat.copy()
-            new[at] += e
-            model.w[name] = new.reshape(np.shape(w))
-            values.append(model.gradient(*args)[0])
-        model.w[name] = w
-        assert (values[0] - values[1]) / 2e-6 == pytest.approx(float(np.atleast_1d(g[name])[at]), abs=1e-6)
-
-
 def test_calibration_moves_to_the_common_place(spark):
     score = [0.5] * 20
     score[6] = score[13] = 0.1
@@ -192,10 +173,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 120
 
 
-@pytest.mark.parametrize("name", ["n4_compartment_bulk", "n28_calibrated_boundaries", "n23_clusters", "h3_held_out_auroc"])
+@pytest.mark.parametrize("name", ["n4_compartment_bulk", "n28_calibrated_boundaries", "n23_clusters", "h3_held_out_auroc", "h9_imputed_pairs"])
 def test_queries_without_sql(name, spark, sf):
     rows = entry.queries()[name](spark, sf).collect()
-    assert rows and (name != "h3_held_out_auroc" or rows[0]["auroc"] > 0.6)
+    assert rows and (name != "h3_held_out_auroc" or rows[0]["auroc"] > 0.95)
 
 
 def test_zinb_sums_to_one(spark):
