@@ -196,6 +196,44 @@ def random_walk(sym: DataFrame, keys: list[str], index: DataFrame, restart: floa
     return per_map(sym, keys, index, lambda m, _: walked(m, restart))
 
 
+def _numbers(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return np.column_stack([c.to_numpy() for c in batch.columns[at:]])
+
+
+def _square(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, products of the columns): one small matrix from each partition."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((m.T @ m for m in (np.column_stack([np.ones(b.num_rows), _numbers(b, 0)]) for b in batches if b.num_rows)), np.zeros((len(columns) + 1,) * 2))
+        yield pa.RecordBatch.from_pydict({"m": pa.array([total.tobytes()], pa.binary())})
+
+    parts = [np.frombuffer(r["m"]).reshape(len(columns) + 1, -1) for r in df.select(*columns).mapInArrow(part, "m binary").collect()]
+    total = sum(parts, np.zeros((len(columns) + 1,) * 2))
+    return int(total[0, 0]), total[0, 1:] / max(total[0, 0], 1), total[1:, 1:]
+
+
+def _times(df: DataFrame, columns: list[str], mean: np.ndarray, m: np.ndarray, key: str = "id") -> tuple[DataFrame, list[str]]:
+    """The rows' columns, less the means, times a small matrix."""
+    to = [f"w{t}" for t in range(m.shape[1])]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = (_numbers(batch, 1) - mean) @ m
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, t]) for t in range(m.shape[1]))], [key, *to])
+
+    return materialise(df.select(key, *columns).mapInArrow(part, ", ".join([f"{key} {dict(df.dtypes)[key]}", *(f"{c} double" for c in to)])), "svd-basis"), to
+
+
+def _orthonormal(df: DataFrame, columns: list[str], centre: bool, key: str = "id") -> tuple[DataFrame, list[str]]:
+    """Columns of unit length at right angles; directions without weight are left out."""
+    df = materialise(df, "svd-ids")
+    n, mean, products = _square(df, columns)
+    mean = mean if centre else np.zeros(len(columns))
+    values, vectors = np.linalg.eigh(products - n * np.outer(mean, mean))
+    keep = np.flatnonzero(values > 1e-12 * max(values.max(initial=0.0), 1e-300))[::-1]
+    return _times(df, columns, mean, vectors[:, keep] / np.sqrt(values[keep]), key) if len(keep) else (df, [])
+
+
 def sparse_svd(rows: DataFrame, k: int, id_col: str = "id", feature: str = "feature", value: str = "v", centre: bool = False, extra: int = 20, rounds: int = 4) -> DataFrame:
     """(id, v array<double>): scores on the first k singular vectors of a sparse table (id, feature, value).
 
@@ -210,57 +248,23 @@ def sparse_svd(rows: DataFrame, k: int, id_col: str = "id", feature: str = "feat
     drawn = [F.xxhash64("feature", F.lit(t)) / F.lit(float(1 << 63)) for t in range(width)]
     y = table.groupBy("id").agg(*[F.sum(F.col("x") * d).alias(n) for d, n in zip(drawn, names)])
 
-    def numbers(batch: pa.RecordBatch, at: int) -> np.ndarray:
-        return np.column_stack([c.to_numpy() for c in batch.columns[at:]])
-
-    def square(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-        """(rows, means, products of the columns): one small matrix from each partition."""
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = sum((m.T @ m for m in (np.column_stack([np.ones(b.num_rows), numbers(b, 0)]) for b in batches if b.num_rows)), np.zeros((len(columns) + 1,) * 2))
-            yield pa.RecordBatch.from_pydict({"m": pa.array([total.tobytes()], pa.binary())})
-
-        parts = [np.frombuffer(r["m"]).reshape(len(columns) + 1, -1) for r in df.select(*columns).mapInArrow(part, "m binary").collect()]
-        total = sum(parts, np.zeros((len(columns) + 1,) * 2))
-        return int(total[0, 0]), total[0, 1:] / max(total[0, 0], 1), total[1:, 1:]
-
-    def times(df: DataFrame, columns: list[str], mean: np.ndarray, m: np.ndarray) -> tuple[DataFrame, list[str]]:
-        to = [f"w{t}" for t in range(m.shape[1])]
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = (numbers(batch, 1) - mean) @ m
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, t]) for t in range(m.shape[1]))], ["id", *to])
-
-        kind = dict(df.dtypes)["id"]
-        return materialise(df.select("id", *columns).mapInArrow(part, ", ".join([f"id {kind}", *(f"{c} double" for c in to)])), "svd-basis"), to
-
-    def orthonormal(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
-        """Columns of unit length at right angles; directions without weight are left out."""
-        df = materialise(df, "svd-ids")
-        n, mean, products = square(df, columns)
-        mean = mean if centre else np.zeros(len(columns))
-        values, vectors = np.linalg.eigh(products - n * np.outer(mean, mean))
-        keep = np.flatnonzero(values > 1e-12 * max(values.max(initial=0.0), 1e-300))[::-1]
-        return times(df, columns, mean, vectors[:, keep] / np.sqrt(values[keep])) if len(keep) else (df, [])
-
     def across(df: DataFrame, key: str, other: str, columns: list[str]) -> DataFrame:
         return table.join(df, key).groupBy(other).agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in columns])
 
-    basis, columns = orthonormal(y, names)
+    basis, columns = _orthonormal(y, names, centre)
     for _ in range(rounds):
         if len(columns) < width:  # the directions hold all there is
             break
         features = materialise(across(basis, "id", "feature", columns), "svd-features")
-        basis, columns = orthonormal(across(features, "feature", "id", columns), columns)
+        basis, columns = _orthonormal(across(features, "feature", "id", columns), columns, centre)
     if columns:
-        basis, columns = orthonormal(basis, columns)  # once more, for the rounding
+        basis, columns = _orthonormal(basis, columns, centre)  # once more, for the rounding
     if not columns:
         return table.select("id").distinct().select("id", F.array_repeat(F.lit(0.0), k).alias("v"))
-    _, _, products = square(across(basis, "id", "feature", columns), columns)
+    _, _, products = _square(across(basis, "id", "feature", columns), columns)
     values, vectors = np.linalg.eigh(products)
     order = np.argsort(-values)[:k]
-    scores, to = times(basis, columns, np.zeros(len(columns)), vectors[:, order] * np.sqrt(np.maximum(values[order], 0)))
+    scores, to = _times(basis, columns, np.zeros(len(columns)), vectors[:, order] * np.sqrt(np.maximum(values[order], 0)))
     top = scores.agg(*[F.max_by(c, F.struct(F.round(F.abs(F.col(c)), 9), -F.xxhash64("id"))) for c in to]).first()
     signed = [F.col(c) * (-1.0 if (x or 0.0) < 0 else 1.0) for c, x in zip(to, top or [])]
     return scores.select("id", F.array(*signed).alias("v"))
@@ -319,18 +323,6 @@ def dense_components(rows: DataFrame, k: int, centre: bool = True) -> DataFrame:
     return scores.select("id", F.array(*[F.col("v")[c] * (-1.0 if (x or 0.0) < 0 else 1.0) for c, x in enumerate(top)]).alias("v"))
 
 
-def cell_features(pixels: DataFrame, k: int, least_cells: int = 5) -> DataFrame:
-    """(id, v) of each cell: SVD of its off-diagonal pixels seen in more than ``least_cells`` cells, clipped at mean + 10
-    deviations, rows of sum 1."""
-    off = pixels.where("bin1 <> bin2").withColumn("feature", F.concat_ws("-", "chrom", "bin1", "bin2"))
-    seen = off.groupBy("feature").agg(F.countDistinct("cell_id").alias("n")).where(F.col("n") > least_cells)
-    kept = off.join(seen, "feature", "left_semi")
-    top = kept.agg((F.avg("count") + 10 * F.stddev_pop("count")).alias("top"))
-    kept = kept.join(F.broadcast(top)).withColumn("v", F.least(F.col("count").cast("double"), "top"))
-    kept = kept.withColumn("v", F.col("v") / F.sum("v").over(Window.partitionBy("cell_id")))
-    return sparse_svd(kept, k, "cell_id")
-
-
 def binary_features(sym: DataFrame, index: DataFrame, percent: float, k: int, restart: float = 0.5) -> DataFrame:
     """(id, v): random walk of each map, its top ``percent`` of cells set to 1, principal components over all chromosomes."""
 

@@ -194,7 +194,3 @@ def neighbour_sum(pixels: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(cell_id, chrom, bin1, bin2, v): maps of the neighbours (cell, nbr, weight) of each cell, weighted and summed."""
     joined = neighbours.join(pixels.withColumnRenamed("cell_id", "nbr"), "nbr")
     return joined.groupBy(F.col("cell").alias("cell_id"), "chrom", "bin1", "bin2").agg(F.sum(F.col("weight") * F.col("count")).alias("v"))
-
-
-def one_hot(column: Column, values: list[str]) -> Column:
-    return F.array(*[(column == v).cast("int") for v in values])

@@ -108,7 +108,8 @@ def train(
     round trains on. ``shares``: what each loss weighs, 1 if not given. ``balance`` (loss, name, factor): that loss weighs as much
     as makes the norm of its gradient with respect to the named weights ``factor`` times that of the first loss, measured anew in
     each round. ``patience``: stop when the weighted loss hasn't fallen by the share ``least`` in so many rounds; the weights are
-    those of the best round. Rows should be a written table, as each round reads them again. No rows: the weights as they are.
+    those of the best round. Rows should be a written table, as each round reads them again; for local steps, dealt
+    so that each task has some of every kind. No rows: the weights as they are.
     """
     spark, size = rows.sparkSession, len(flat(weights))
     adam = Adam(size, rate)

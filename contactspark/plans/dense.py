@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contactspark.operators import factors as K
 from contactspark.operators import graph as G
 from contactspark.operators import layout as Y
 from contactspark.operators import linalg as L
@@ -71,7 +72,16 @@ def _(spark, d):
 
 @query("n15_cell_features")
 def _(spark, d):
-    return L.cell_features(X.pixels(spark, d), 4)
+    counts = X.pixels(spark, d).groupBy("cell_id").agg(F.count_if(F.col("bin1") != F.col("bin2")).alias("n"))
+    mean = counts.agg(F.avg("n")).first()[0] or 0.0
+    return K.cell_features(X.pixels(spark, d), 4, counts.select("cell_id", (F.col("n") >= 0.9 * mean).alias("good")))
+
+
+@query("h11_coassay_codes")
+def _(spark, d):
+    p = X.pixels(spark, d)
+    x = p.select(F.col("cell_id").alias("id"), F.concat_ws("-", "chrom", "bin1", "bin2").alias("feature"), F.log1p("count").alias("v"))
+    return K.CrossCovariance(x, K.standard_signals(X.signals(spark, d)), 4).codes
 
 
 @query("n17_bin_features", sql("SELECT chrom, i, j, round((v - m) / s, 6) AS v FROM (SELECT chrom, i, j, v / sum(v) OVER (PARTITION BY chrom, i) AS v FROM bulk), (SELECT sum(v) / 4800 AS m, sqrt(sum(v * v) / 4800 - (sum(v) / 4800) ** 2) AS s FROM (SELECT v / sum(v) OVER (PARTITION BY chrom, i) AS v FROM bulk))", "bulk"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactspark.operators import contacts as C
+from contactspark.operators import factors as K
 from contactspark.operators import graph as G
 from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
@@ -45,7 +46,7 @@ class Trained:
         seen = materialise(_global(train, self.index), "train")
         both = seen.select("cell_id", "chrom", "a", "b", "count").unionByName(seen.select("cell_id", "chrom", F.col("b").alias("a"), F.col("a").alias("b"), "count"))
         rows = both.groupBy(F.col("a").alias("id"), F.concat_ws("-", "chrom", "b").alias("feature")).agg(F.sum("count").alias("v"))
-        scores = materialise(L.cell_features(train, 12), "cell-scores")
+        scores = materialise(K.cell_features(train, 8), "cell-scores")
         self.cells = _coverage(scores, seen.groupBy(F.col("cell_id").alias("id")).agg(F.sum("count").alias("n")))
         place = self.index.select("start_bin", "n_bins", F.explode(F.sequence("start_bin", F.col("end_bin") - 1)).alias("id"))
         bins = place.join(L.sparse_svd(rows, 16), "id", "left").select("id", F.concat(*[F.array(F.coalesce(F.get("v", F.lit(c)), F.lit(0.0))) for c in range(16)], F.array((F.col("id") - F.col("start_bin")) / F.col("n_bins"))).alias("v"))
@@ -64,7 +65,8 @@ class Trained:
         self.weights, self.history = self.model.start(), []
         first, second = ROUNDS
         for stage, rounds in enumerate(ROUNDS):
-            rows = materialise(H.featured(edges, self.cells, self.bins, self.evidence if stage else None), "hyperedges")
+            rows = H.featured(edges, self.cells, self.bins, self.evidence if stage else None)
+            rows = materialise(rows.repartition("cell_id", "a", "b"), "hyperedges")  # each task with some of every kind
 
             def pick(a: T.Arrays, turn: int, r: np.random.Generator, before: int = first * stage) -> np.ndarray:
                 ratio = 0.5 * min(1.0, (turn + before) / (first + second / 2))  # near negatives come in step by step

@@ -43,20 +43,15 @@ def test_random_walk_pairs(spark, sf):
 
 
 def test_cell_features(spark, sf):
+    from test_factors import plain_features, same_up_to_signs
+
     _, pixels = cells(spark, sf)
-    off = {k: v for k, v in pixels.items() if k[2] != k[3]}
-    seen = {}
-    for c, *place in off:
-        seen.setdefault(tuple(place), set()).add(c)
-    kept = {k: v for k, v in off.items() if len(seen[k[1:]]) > 5}
-    top = np.mean(list(kept.values())) + 10 * np.std(list(kept.values()))
-    ids, places = sorted({k[0] for k in kept}), sorted({k[1:] for k in kept})
-    m = np.zeros((len(ids), len(places)))
-    for k, v in kept.items():
-        m[ids.index(k[0]), places.index(k[1:])] = min(v, top)
+    ids = sorted({k[0] for k in pixels})
+    off = np.array([sum(1 for k in pixels if k[0] == c and k[2] != k[3]) for c in ids])
     got = {r.id: r.v for r in entry.queries()["n15_cell_features"](spark, sf).collect()}
     assert sorted(got) == ids
-    same_scores([got[i] for i in ids], m / m.sum(axis=1, keepdims=True), 4)
+    named = {(c, (chrom, a), (chrom, b)): v for (c, chrom, a, b), v in pixels.items()}
+    same_up_to_signs(np.array([got[i] for i in ids]), plain_features(named, ids, 4, off >= 0.9 * off.mean()), 1e-3)
 
 
 def test_projection(spark, sf):
