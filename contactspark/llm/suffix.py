@@ -5,7 +5,8 @@ many times over, so suffixes are first dealt to shards by content: each window o
 of its short grams, neighbouring windows named by the same place form a block, and a name that occurs once can't repeat. Blocks equal to
 another block repeat as a whole. The others meet by name in shards; each shard builds a suffix array by Larsson-Sadakane
 refinement and common prefixes by Kasai's rule, both in numpy. A name with very many different blocks is split over several
-shards, whose sorted windows are then merged by binary search.
+shards, whose sorted lists of distinct windows, each once, are then merged by binary search: a window that N blocks have is in
+N / ``SPLIT`` lists at most. Names and windows are compared by hashes of 64 and 128 bits, not byte by byte.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ PLACE = np.uint64(31)  # bits for a place in a text; the first of equal grams co
 SPLIT = 400  # different blocks of one name that go to one shard
 SHARD_BYTES = 1 << 20
 HOT_KINDS = 1000
-NO_ID = -(1 << 63)
 _RANDOM = np.random.default_rng(9_2024)
 _LETTERS = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,6 +162,16 @@ def _repeated_in(shard: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray,
     return block[places], offset[places], kinds, count[kinds] > 1
 
 
+def _distinct(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first half, second half, number of lists) of each distinct digest in lists that have a digest once each, ascending."""
+    rows = np.concatenate([x[:, :2] for x in lists])
+    high, low = np.ascontiguousarray(rows[:, 0]).view(np.uint64), rows[:, 1]
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+    return high[first], low[first], np.diff(np.append(first, len(high)))
+
+
 def spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc, mark, low, high): byte ranges of ``docs`` (doc, mark, text) that repeated strings cover; ranges may overlap."""
 
@@ -211,7 +221,10 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
     sorting = docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "wants").mapInArrow(fetch, "shard long, split boolean, done boolean, doc long, mark long, start long, data binary")
 
     def sort_shard(table: pa.Table) -> pa.Table:
-        """Ranges that repeat within the shard; of split names also every distinct window, packed by range of its digest."""
+        """Ranges that repeat within the shard; of split names also each distinct window once, packed by range of its digest.
+
+        A window goes with its place if the shard has it there alone and nothing else tells yet that it repeats.
+        """
         block, offset, kind, repeated = _repeated_in(table, length)
         doc, mark, start, done, apart = (table[c].to_numpy() for c in ("doc", "mark", "start", "done", "split"))
         out: list[tuple] = []
@@ -219,14 +232,14 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
         at, low, high = _runs(block[loose], offset[loose])
         columns = (doc[at], mark[at], start[at] + low, start[at] + high + length)
         out += [(*row, None, None, None) for row in zip(*(c.tolist() for c in columns))]
-        some = apart[block]
-        if some.any():
-            block, offset, kind = block[some], offset[some], kind[some]
-            texts = [v.as_buffer() for v in table["data"].combine_chunks()]
-            digests = np.array([[d >> 64, d & (1 << 64) - 1] for d in (xxhash.xxh3_128_intdigest(memoryview(texts[b])[o : o + length]) for b, o in zip(block.tolist(), offset.tolist()))], np.uint64)
+        if len(apart) and apart[0]:  # a shard of a split name has no other names
+            first = np.flatnonzero(np.diff(kind, prepend=-1))  # classes follow each other in the order of suffixes
+            block, offset, known = block[first], offset[first], (repeated | done[block])[first]
+            texts = [memoryview(v.as_buffer()) for v in table["data"].combine_chunks()]
+            digests = np.array([[d >> 64, d & (1 << 64) - 1] for d in (xxhash.xxh3_128_intdigest(texts[b][o : o + length]) for b, o in zip(block.tolist(), offset.tolist()))], np.uint64).reshape(-1, 2)
             order = np.lexsort((digests[:, 1], digests[:, 0]))
             to = (digests[order, 0] % np.uint64(ranges)).astype(np.int64)
-            packed = np.stack([digests[order, 0].view(np.int64), digests[order, 1].view(np.int64), doc[block[order]], mark[block[order]], start[block[order]] + offset[order], done[block[order]].astype(np.int64)], axis=1)
+            packed = np.stack([digests[order, 0].view(np.int64), digests[order, 1].view(np.int64), doc[block[order]], mark[block[order]], start[block[order]] + offset[order], known[order].astype(np.int64)], axis=1)
             for r in np.unique(to).tolist():
                 out.append((None, None, None, None, r, int(table["shard"][0].as_py()), packed[to == r].tobytes()))
         kinds = [pa.int64()] * 6 + [pa.binary()]
@@ -235,24 +248,22 @@ def spans(docs: DataFrame, length: int = 200) -> DataFrame:
     sorted_shards = materialise(sorting.groupBy("shard").applyInArrow(sort_shard, "doc long, mark long, low long, high long, range long, shard long, windows binary"), "sorted-shards")
 
     def merge(table: pa.Table) -> pa.Table:
-        """Windows of one shard that another shard has as well: each sorted list is searched in the others' merged list."""
+        """Windows of one shard that another shard has as well: each sorted list is looked up in the distinct windows of all."""
         lists = [np.frombuffer(v.as_buffer(), np.int64).reshape(-1, 6) for v in table["windows"].combine_chunks()]
-        rows = np.concatenate(lists)
-        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        high, low = rows[:, 0].view(np.uint64) if rows[:, 0].flags.c_contiguous else rows[:, 0].copy().view(np.uint64), rows[:, 1].copy()
-        order = np.lexsort((owner, low, high))
-        keys = high[order]
-        hit = np.zeros(len(rows), bool)
-        for i in range(len(lists)):
-            mine = np.flatnonzero(owner == i)
-            a, b = np.searchsorted(keys, high[mine], "left"), np.searchsorted(keys, high[mine], "right")
-            for m, x, y in zip(mine[b - a > 1], a[b - a > 1], b[b - a > 1]):
-                others = order[x:y]
-                hit[m] = bool(((owner[others] != i) & (low[others] == low[m])).any())
-        keep = rows[hit & (rows[:, 5] == 0)][:, 2:5]
+        distinct = _distinct(lists)
+        keep = np.concatenate([rows[among(rows, distinct) & (rows[:, 5] == 0)][:, 2:5] for rows in lists])
         to = (keep[:, 0] ^ keep[:, 1]) % ranges
         return pa.table({"bucket": pa.array(np.unique(to)), "hits": pa.array([keep[to == t].tobytes() for t in np.unique(to).tolist()], pa.binary())})
 
+    def among(rows: np.ndarray, distinct: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether more than one list has each row's window."""
+        high, low, lists = distinct
+        mine = np.ascontiguousarray(rows[:, 0]).view(np.uint64)
+        at = np.searchsorted(high, mine)
+        while (other := np.flatnonzero(low[at] != rows[:, 1])).size:  # equal halves of different digests
+            at[other] += 1
+        return lists[at] > 1
+
     def join_hits(table: pa.Table) -> pa.Table:
         """The single windows of the same documents as ranges."""
         keep = np.concatenate([np.frombuffer(v.as_buffer(), np.int64).reshape(-1, 3) for v in table["hits"].combine_chunks()])
@@ -276,8 +287,9 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    cuts = spans(rows, length).groupBy("doc", "mark").agg(F.collect_set(F.struct("low", "high")).alias("cuts"))
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))  # equal texts have equal cuts, so a null id may share 0's
+    cuts = spans(rows.select("doc", "mark", "text"), length).groupBy("doc", "mark").agg(F.collect_set(F.struct("low", "high")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,10 +299,10 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
                 low, high = _merge(np.array([c["low"] for c in cuts]), np.array([c["high"] for c in cuts])) if cuts else (np.zeros(0, int), np.zeros(0, int))
                 low, high = low.tolist(), high.tolist()
                 kept = b"".join(data[a:b] for a, b in zip([0, *high], [*low, len(data)]))
-                out.append((None if doc == NO_ID else doc, len(data), len(data) - len(kept), len(low), [{"low": a, "high": b} for a, b in zip(low, high)], kept))
+                out.append((doc, len(data), len(data) - len(kept), len(low), [{"low": a, "high": b} for a, b in zip(low, high)], kept))
             kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<low: long, high: long>>, kept binary"
-    return rows.join(cuts, ["doc", "mark"], "left").select("doc", "text", "cuts").mapInArrow(run, schema)
+    return rows.join(cuts, ["doc", "mark"], "left").select("doc_id", "text", "cuts").mapInArrow(run, schema)
 

@@ -47,5 +47,25 @@ def test_like_brute_force(spark, monkeypatch, split):
     assert run(spark, corpus()) == brute.repeated(corpus())
 
 
+@pytest.mark.parametrize("split", [400, 7, 1])
+def test_one_passage_in_many_documents(spark, monkeypatch, split):
+    """Every document has the passage between texts of its own: as many different blocks of one name, and some of them twice."""
+    monkeypatch.setattr(suffix, "SPLIT", split)
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefgh", k=7))
+    passage = "".join(r.choices("ijklmnop", k=260))
+    rows = [(i, " ".join(word() for _ in range(30)) + passage + " ".join(word() for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(3)] + [(-(2**63), passage), (None, passage + "!"), (0, "!" + passage)]
+    got = run(spark, rows)
+    assert got == brute.repeated(rows)
+    assert {n for d, n, *_ in got if d == -(2**63)} == {260}
+
+
+def test_lists_are_looked_up_in_all(monkeypatch):
+    lists = [np.array([[1, 5, 0, 0, 0, 0], [2, 1, 0, 0, 0, 0]]), np.array([[1, 6, 0, 0, 0, 0], [2, 1, 0, 0, 0, 0], [-1, 0, 0, 0, 0, 0]])]
+    high, low, count = suffix._distinct(lists)
+    assert high.tolist() == [1, 1, 2, 2**64 - 1] and low.tolist() == [5, 6, 1, 0] and count.tolist() == [1, 1, 2, 1]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
