@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contactspark.operators import blocks as B
 from contactspark.operators import factors as K
 from contactspark.operators import graph as G
 from contactspark.operators import layout as Y
@@ -37,6 +38,15 @@ def _(spark, d):
     return L.row_correlation(X.bulk(spark, d), CHROM, X.index(spark)).select("chrom", "i", "j", F.round("v", 5).alias("v")).where("abs(v) > 1e-4")
 
 
+ORACLE["n3_row_correlation_blocks"] = ORACLE["n3_row_correlation"]
+
+
+@query("n3_row_correlation_blocks")
+def _(spark, d):
+    out = B.cells(B.row_correlation(X.bulk(spark, d), CHROM, X.index(spark), 16), CHROM, 16)
+    return out.select("chrom", "i", "j", F.round("v", 5).alias("v")).where("abs(v) > 1e-4")
+
+
 @query("n4_compartment_bulk")
 def _(spark, d):
     arms = M.split_arms(X.cytoband(spark)).withColumn("split", F.floor(F.col("split") / X.RES))
@@ -53,6 +63,12 @@ def _(spark, d):
     return r6(L.balanced(X.bulk(spark, d), CHROM, X.index(spark)), "v")
 
 
+@query("n5_balanced_rows", sql("SELECT chrom, i, 1.0::DOUBLE AS total FROM bulk GROUP BY chrom, i HAVING sum(v) > 0", "bulk"))
+def _(spark, d):
+    """Every filled row of a balanced map sums to 1."""
+    return L.balanced(X.bulk(spark, d), CHROM, X.index(spark)).groupBy("chrom", "i").agg(F.round(F.sum("v"), 5).alias("total"))
+
+
 @query("n8_random_walk")
 def _(spark, d):
     return r6(L.random_walk(M.symmetric(X.pixels(spark, d)), CELL, X.index(spark)), "v")
@@ -125,6 +141,17 @@ def _vectors(spark, d):
     return X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
+@query("n21_distances", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id, b.id AS nbr, round(list_distance(a.v, b.v), 4) AS distance FROM v a JOIN v b ON b.id % 50 = 0 AND a.id < b.id""")
+def _(spark, d):
+    """Scaling in as many dimensions as the vectors keeps distances: from each row to every fiftieth one."""
+    rows = _vectors(spark, d)
+    size = rows.agg(F.max(F.size("v")), F.count("*")).first()
+    placed = L.scaling(rows, size[0], max(size[1], 1)).select("id", "v")
+    some = placed.where("id % 50 = 0").select(F.col("id").alias("nbr"), F.col("v").alias("w"))
+    gap = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    return placed.join(some, F.col("id") < F.col("nbr")).select("id", "nbr", F.round(F.sqrt(gap), 4).alias("distance"))
+
+
 @query("n22_projection")
 def _(spark, d):
     return L.dense_components(_vectors(spark, d), 3)
