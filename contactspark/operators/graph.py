@@ -6,16 +6,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactspark.operators.grid import Rows, block_pairs
+from contactspark.operators import grid
+from contactspark.operators.grid import Rows
 from contactspark.operators.order import place, quantiles
 from contactspark.operators.tables import materialise
 
 
+#: Blocks of rows up to which all pairs meet.
+FEW_BLOCKS = 4
+
+
 def nearest(rows: DataFrame, k: int, id_col: str = "id", vector_col: str = "v", group_col: str | None = None, metric: str = "euclidean") -> DataFrame:
     """(id, nbr, distance): the k nearest rows of each, itself at distance 0 included; ties to the smaller id.
 
     ``group_col``: k for each group of the neighbours. Blocks of rows meet block by block; of each pair of blocks the best k
-    are found by their matrix product first and by exact differences then, and the lists are merged.
+    are found by their matrix product first and by exact differences then, and the lists are merged. Of larger tables without
+    groups each block first meets those beside it, then only those that can hold a nearer row, by distances to a few pivots.
     """
     group = F.dense_rank().over(Window.orderBy("name")).cast("long").alias("g")
     names = rows.select(F.col(group_col).cast("string").alias("name")).distinct().select("name", group) if group_col else None
@@ -57,7 +63,17 @@ def nearest(rows: DataFrame, k: int, id_col: str = "id", vector_col: str = "v",
                 found.append((mine[i[keep]], ids[j[keep]], exact[keep], np.full(int(keep.sum()), g)))
         return [np.concatenate(c) for c in zip(*found)]
 
-    out = block_pairs(table, meet, "id long, nbr long, distance double, g long")
+    schema = "id long, nbr long, distance double, g long"
+    if group_col or metric == "cosine" or table.count() <= FEW_BLOCKS * grid.BLOCK:
+        out = grid.block_pairs(table, meet, schema)
+    else:
+        # rows near by first; a block's reach is then the largest distance to a k-th neighbour that its rows have so far
+        rings = grid.Rings(table)
+        first = materialise(grid.meet_pairs(rings.blocks, rings.beside(), meet, schema), "near-first")
+        enough = F.when(F.count("*") >= k, F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1))).otherwise(F.lit(float("inf")))
+        reach = first.groupBy("id").agg(enough.alias("d")).join(rings.homes, "id").groupBy("block").agg(F.max("d").alias("d"))
+        pairs = rings.within({r["block"]: r["d"] for r in reach.collect()})  # a number for each block
+        out = first.unionByName(grid.meet_pairs(rings.blocks, pairs, meet, schema))
     best = Window.partitionBy("id", "g").orderBy("distance", (F.col("nbr") != F.col("id")).cast("int"), "nbr")
     ranked = out.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k)
     if group_col:
