@@ -101,8 +101,8 @@ class Matcher:
             for low, high in self._merged(sorted(found), 2 * budget):
                 base = max(0, low - budget)
                 window = text[base : high + len(item) + budget]
-                exact = window.find(item)
-                distance, end = (0, exact + len(item)) if exact >= 0 else best_end(forward, len(item), window)
+                exact = window.find(item) if budget else self._word(text, item, base, high + len(item)) - base
+                distance, end = (0, exact + len(item)) if exact >= 0 else best_end(forward, len(item), window) if budget else (1, -1)
                 if distance < best:
                     best, best_to = distance, base + end
                 if best == 0:
@@ -113,6 +113,21 @@ class Matcher:
                 out.append((item_id, best, best_to - length, best_to, len(item)))
         return out
 
+    @staticmethod
+    def _word(text: str, item: str, low: int, high: int) -> int:
+        """Where ``item`` stands in ``text[low:high]`` from border to border of words; below ``low`` if nowhere.
+
+        A border is an end of the text or a space. Where the item itself begins or ends outside ASCII, as in scripts without
+        spaces, none is asked for.
+        """
+        at = text.find(item, low, high)
+        while at >= 0:
+            end = at + len(item)
+            if (at == 0 or text[at - 1] == " " or item[0] > "\x7f") and (end == len(text) or text[end] == " " or item[-1] > "\x7f"):
+                return at
+            at = text.find(item, at + 1, high)
+        return low - 1
+
     @staticmethod
     def _merged(diagonals: list[int], gap: int) -> Iterator[tuple[int, int]]:
         low = high = diagonals[0]
@@ -155,9 +170,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_bytes
     """(doc_id, item_id, distance, start, end, item_length): every item that a document holds within its error budget.
 
     Places are bytes of the normalised text. The items reach the tasks in blocks of at most ``block_bytes``, one pass over
-    the documents for each block, so what is sent has a fixed bound however large the benchmark is. Null or empty texts hold
-    nothing; items that are null, without id, or without a letter or digit take no part; an item whose budget is 0, as of
-    every short one, is searched as it stands; repeated documents each get their rows, repeated items each theirs; of several
+    the documents for each block; with more than one block a pass is written before the next is sent and its block freed, so what
+    the tasks hold has a fixed bound however large the benchmark is. Null or empty texts hold nothing; items that are null,
+    without id, or without a letter or digit take no part; an item whose budget is 0, as of every short one, is searched as it
+    stands, from border to border of words; repeated documents each get their rows, repeated items each theirs; of several
     places with the least distance the first found is given.
     """
 
@@ -170,10 +186,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_bytes
 
         return id_and_text(docs, id_col, text_col).where(F.length("text") > 0).mapInArrow(run, SCHEMA)
 
-    out = None
+    out, waiting = None, None
     for name, block in _blocks(id_and_text(benchmark, item_col, item_text_col), block_bytes):
-        out = matches(name, block) if out is None else out.unionByName(matches(name, block))
-    return out
+        if waiting:
+            out = _and(out, materialise(matches(*waiting), "leaks"))
+            waiting[1].unpersist()
+        waiting = name, block
+    return _and(out, matches(*waiting))
+
+
+def _and(some: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if some is None else some.unionByName(more)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -183,13 +206,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, blo
     null or empty text stay, and so does every row if there are no items; repeated rows stay or go alike; columns may have
     any name and hold nulls; an empty table gives no rows.
     """
-    schema, text_at, out = docs.schema, docs.columns.index(text_col), docs
-    for n, (name, block) in enumerate(_blocks(id_and_text(benchmark, item_col, item_text_col), block_bytes)):
+    schema, text_at, out, last = docs.schema, docs.columns.index(text_col), docs, None
+    for name, block in _blocks(id_and_text(benchmark, item_col, item_text_col), block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], name: str = name, block: Broadcast = block) -> Iterator[pa.RecordBatch]:
             find = _matcher(name, block, rate).find
             for batch in batches:
                 yield batch.filter(pa.array([not find(normalise(text)) for text in batch.column(text_at).to_pylist()], pa.bool_()))
 
-        out = (materialise(out, "decontaminated") if n else out).mapInArrow(run, schema)
+        if last:
+            out = materialise(out, "decontaminated")
+            last.unpersist()
+        out, last = out.mapInArrow(run, schema), block
     return out

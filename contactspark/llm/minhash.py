@@ -26,7 +26,7 @@ BLOCK_BYTES = 1 << 19  # of sets that are fetched together for the last comparis
 REMEMBERED = 400_000
 SEED = 20_240_501
 SALTS = 32  # tasks that the edges of one node are dealt over
-FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
+FEATURES = "doc_id long, mark long, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
 class Shingler:
@@ -72,7 +72,7 @@ def signature(shingles: np.ndarray, odd: np.ndarray, values: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, band hashes, 16-bit signature values) of every row."""
+    """(doc_id, mark of the text, n_shingles, digest of the set, band hashes, 16-bit signature values) of every row."""
     bands = bands_for(percent)
     values = bands * ROWS
     odd = np.random.default_rng(SEED + 1).integers(1, 1 << 63, (values + 1) // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,9 +94,9 @@ def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id",
                     sig = signature(s, odd, values)
                     keys.append([xxhash.xxh64_intdigest(sig[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(bands)])
                     marks.append((sig >> np.uint64(20)).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "mark", "n_shingles", "digest", "bands", "signature"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, FEATURES)
+    return id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")).mapInArrow(run, FEATURES)
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -242,6 +242,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     kept holds for that document. A row without id has no link, a null component and is kept. Rows that repeat an id are
     judged each by its own text. Further columns are ignored; an empty table gives no rows.
     """
+    return _judged(docs, words, percent, id_col, text_col).drop("mark")
+
+
+def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the mark (a hash) of each row's text."""
     found = materialise(features(docs, words, percent, id_col, text_col), "features")
     known = found.where("digest is not null and doc_id is not null")
     reps = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "reps")
@@ -276,8 +281,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         part = components(stars.unionByName(_confirm_packed(packs, packed, percent)))
     part = part.withColumnRenamed("node", "rep")
     classes = reps.select("digest", "rep").join(part, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    linked = known.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = found.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = known.select("doc_id", "mark", "n_shingles", "digest").join(classes, "digest").select("doc_id", "mark", "n_shingles", "component_id")
+    alone = found.where("digest is null or doc_id is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -285,16 +290,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
     """``docs`` with one document of each group, all columns kept.
 
     Rows without id, null texts and texts without words stay. Of rows that repeat an id and a text one stays, if it has words.
-    A row goes by its id: where an id stands for different texts, all of its rows go if one of them isn't the first of its
-    group. An empty table gives no rows.
+    Rows that repeat an id with different texts are judged each by its own. An empty table gives no rows.
     """
-    found = materialise(near_duplicates(docs, words, percent, id_col, text_col), "near-duplicates")
-    same_id = lambda other: docs[id_col].cast("long") == other["__id"]
-    gone = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, same_id(gone), "left_anti")
-    twice = found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    found = materialise(_judged(docs, words, percent, id_col, text_col), "near-duplicates")
+    same = lambda other: (docs[id_col].cast("long") == other["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == other["__mark"])
+    row = [F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")]
+    gone = found.where("not kept").select(*row).distinct()
+    left = docs.join(gone, same(gone), "left_anti")
+    twice = found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*row).agg(F.count("*").alias("__n")).where("__n > 1").select("__id", "__mark")
     twice = materialise(twice, "repeated-ids")
     if twice.isEmpty():
         return left
-    again = left.join(twice, same_id(twice), "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(twice, same_id(twice), "left_anti").unionByName(again)
+    again = left.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(twice, same(twice), "left_anti").unionByName(again)

@@ -8,6 +8,8 @@ token prefix of one more epoch in an order seeded by the epoch. The prefix is fo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,13 +118,15 @@ def plan(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS,
 def mix(docs: DataFrame, leaf_plan: DataFrame, levels: tuple[str, ...] = LEVELS, seed: int = 7, id_col: str = "doc_id", copies: str = "copies") -> DataFrame:
     """``docs`` with ``copies``: in how many epochs of the mixture each row stands (0: in none). All columns are kept.
 
-    The plan's columns are renamed before the join, so documents may have columns of any name; one named as ``copies`` is
-    replaced.
+    The plan's columns get names that nothing else has before the join, so documents may have columns of any name; one named as
+    ``copies`` is replaced.
     """
-    leaf = leaf_plan.select(*[F.col(c).alias(f"__leaf_{c}") for c in levels], F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut"))
-    on = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) == F.col(f"__leaf_{c}") for c in levels]
-    extra = F.when(_key(seed, F.col("__epochs"), _identity(id_col)) <= F.col("__cut"), 1).otherwise(0)
-    return docs.join(_small(materialise(leaf, "mix-plan")), on, "left").withColumn(copies, (F.coalesce("__epochs", F.lit(0)) + extra).cast("int")).drop(*[f"__leaf_{c}" for c in levels], "__epochs", "__cut")
+    tag = uuid.uuid4().hex
+    epochs, cut = f"epochs_{tag}", f"cut_{tag}"
+    leaf = leaf_plan.select(*[F.col(c).alias(f"{c}_{tag}") for c in levels], F.col("epochs").alias(epochs), F.col("cut_key").alias(cut))
+    on = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) == F.col(f"{c}_{tag}") for c in levels]
+    extra = F.when(_key(seed, F.col(epochs), _identity(id_col)) <= F.col(cut), 1).otherwise(0)
+    return docs.join(_small(materialise(leaf, "mix-plan")), on, "left").withColumn(copies, (F.coalesce(epochs, F.lit(0)) + extra).cast("int")).drop(*[f"{c}_{tag}" for c in levels], epochs, cut)
 
 
 # The parameters of the registered query.

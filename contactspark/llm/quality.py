@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactspark.llm.common import id_and_text
@@ -158,19 +158,29 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     """A model from at most ``most`` labelled documents of at most ``most_bytes`` in all; None if their labels don't differ.
 
     Labels without id or value, held-out ids and labels of unknown documents take no part; of several labels of an id the
-    largest counts; null texts count as empty; repeated documents each count; further columns are ignored.
+    largest counts; null texts count as empty; rows that repeat id and text count once; further columns are ignored. Documents
+    are taken in a seeded order by their lengths alone; one that doesn't fit into what is left of the bytes is skipped.
     """
     sample = labelled_sample(docs, labels, "quality", modulus, held_out, most, id_col, text_col)
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))  # over a bounded sample
-    sample = sample.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).over(order)).where(F.col("bytes") <= most_bytes)
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    sizes = sample.groupBy("doc_id", mark.alias("mark")).agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    kept, left = [], most_bytes
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(most).collect():  # at most ``most`` rows without texts
+        if r["size"] <= left:
+            kept.append((r["doc_id"], r["mark"], len(kept)))
+            left -= r["size"]
+    if not kept:
+        return None
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long, mark long, at long"))
+    sample = sample.withColumn("mark", mark).join(chosen, ["doc_id", "mark"]).dropDuplicates(["at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [passages(t) for t in batch.column(1).to_pylist()]
             lists = [pa.array([b[i].ravel() for b in bags], pa.list_(k)) for i, k in enumerate((pa.float32(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["bytes", "label", "figures", "buckets", "sizes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["at", "label", "figures", "buckets", "sizes"])
 
-    rows = sample.select("bytes", "text", "label").mapInArrow(run, "bytes long, label int, figures array<float>, buckets array<int>, sizes array<long>").toArrow().sort_by("bytes")
+    rows = sample.select("at", "text", "label").mapInArrow(run, "at long, label int, figures array<float>, buckets array<int>, sizes array<long>").toArrow().sort_by("at")
     y = rows["label"].to_numpy() == 1
     if len(np.unique(y)) < 2:
         return None

@@ -66,3 +66,21 @@ def test_other_columns_come_back_as_they_are(spark):
     for block in (5, 8_000_000):
         left = decontam.decontaminate(docs, bench, block_bytes=block)
         assert left.schema == docs.schema and sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.text != "has an item here")
+
+
+def test_short_items_are_whole_words(spark):
+    matcher = decontam.Matcher([(1, "the"), (2, decontam.normalise("東京"))], 0.06)
+    found = lambda t: [h[0] for h in matcher.find(decontam.normalise(t))]
+    assert found("Weather report, other theory") == [] and found("weather: THE report") == [1] and found("the") == [1]
+    assert found("wether the") == [1] and found("lathe the") == [1] and found("私は東京に住む") == [2]
+    docs = spark.createDataFrame([(1, "weather report"), (2, "in the end")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the"), (8, "!")], "item_id long, text string")
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [1]
+
+
+def test_blocks_one_after_another(spark):
+    docs = spark.createDataFrame([(i, f"some words before passage number {i} of the exam and after") for i in range(9)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"passage number {i} of the exam") for i in range(7)], "item_id long, text string")
+    whole = sorted(tuple(r) for r in decontam.leaks(docs, items).collect())
+    assert sorted(tuple(r) for r in decontam.leaks(docs, items, block_bytes=40).collect()) == whole and len(whole) > 7
+    assert [r.doc_id for r in decontam.decontaminate(docs, items, block_bytes=40).collect()] == [r.doc_id for r in decontam.decontaminate(docs, items).collect()]

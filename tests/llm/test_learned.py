@@ -202,3 +202,16 @@ def test_features_like_plain_loops():
     for _ in range(200):
         text = " ".join(r.choices(words, k=r.randint(0, 40)))
         assert np.allclose(reader.features(text), plain_features(text, terms, weights)), text
+
+
+def test_a_text_beyond_the_bytes_is_skipped(spark):
+    from contactspark.llm import quality
+
+    rows = [(i, ("good words stand here in order " if i % 2 else "x1 !! zz ") * 3) for i in range(120)] + [(500 + i, "long " * 4000) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2, 0) for d, _ in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, most_bytes=15_000)
+    assert model is not None
+    out = quality.score(docs, model).where("doc_id < 500").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in out) >= 115
+    assert quality.fit(docs, labels, most_bytes=10) is None

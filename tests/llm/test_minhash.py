@@ -51,3 +51,9 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(100, 100)], "a long, b long")
     out = {r.node: r.component for r in minhash.components(edges).collect()}
     assert out == {i: 0 if i <= 20 else 21 for i in range(41)}
+
+
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text of six"), (5, "quite another text of six"), (6, "Quite another text of six")]
+    kept = minhash.drop_near_duplicates(docs(spark, rows), 3, 85)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e f"), (5, "quite another text of six")]

@@ -85,3 +85,9 @@ def test_stages_like_plain_versions(spark, folder):
         start += len(ids)
     assert sorted(tuple(r) for r in stage["token-ids"](spark, mixed, at).collect()) == ids_of
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, at).collect()) == ids_of
+
+
+def test_mixture_keeps_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id AS Domain", "1 AS __domain", "2 AS __copies", "3 AS copies")
+    out = corpus_pipeline.mixture(spark, docs, sf)
+    assert out.columns == docs.columns and 0 < out.where("Domain = doc_id").count() == out.count() < docs.count()

@@ -117,3 +117,10 @@ def test_shut_branches_lose_nothing(spark):
     assert {k[2]: v.budget for k, v in plan.items()} == {"a": 0, "b": 0, "c": 100}
     plan, _ = mixed(spark, [(i, "d", "l", "pqr"[i % 3], "w " * 10) for i in range(60)], 100, 1)
     assert sorted(v.budget for v in plan.values()) == [33, 33, 34]
+
+
+def test_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i, "en", f"s{i % 3}", "web", "some words here", i, i, i) for i in range(30)], "doc_id long, lang string, source string, domain string, text string, __epochs long, __cut long, __leaf_lang long")
+    plan = mixing.plan(rows, spark.createDataFrame([], "path string, weight long"), budget=F.expr("all_tokens div 2"), max_epochs=1)
+    out = mixing.mix(rows, plan)
+    assert out.columns == [*rows.columns, "copies"] and out.where("copies > 0").count() == 15 and out.where("__cut = doc_id AND __epochs = doc_id").count() == 30
