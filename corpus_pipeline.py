@@ -11,6 +11,8 @@ no rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +48,13 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A token-prefix of one seeded epoch of each domain, language and source, nine tenths of all tokens in sum."""
-    named = mixing.with_domain(docs.withColumnRenamed("domain", "__domain"))
+    own = next((c for c in docs.columns if c.lower() == "domain"), None)  # a column of that name is kept aside
+    aside, copies = f"domain_{uuid.uuid4().hex}", f"copies_{uuid.uuid4().hex}"
+    named = mixing.with_domain(docs.withColumnRenamed(own, aside) if own else docs)
     weights = spark.createDataFrame(MIX_WEIGHTS, "path string, weight long")
     plan = mixing.plan(named, weights, budget=F.expr(MIX_BUDGET), max_epochs=1, seed=MIX_SEED)
-    kept = mixing.mix(named, plan, seed=MIX_SEED, copies="__copies").where("__copies > 0").drop("domain").withColumnRenamed("__domain", "domain")
-    return kept.select(*docs.columns)
+    kept = mixing.mix(named, plan, seed=MIX_SEED, copies=copies).where(F.col(copies) > 0).drop("domain")
+    return (kept.withColumnRenamed(aside, own) if own else kept).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
