@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from contactspark.operators import explorer as E
+from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
 from contactspark.operators import norms as N
 from contactspark.operators import tracks as T
+from contactspark.operators.tables import shared_dir
 from contactspark.plans import fixtures as X
 from contactspark.plans.features import SCORES
 from contactspark.plans.fixtures import r6, sql
@@ -64,6 +69,55 @@ def _(spark, d):
     return r6(both.where("cell_id = 3 and chrom = 'chr2'").select("stage", "i", "j", "p"), "p")
 
 
+def _written(spark, rows, index, append=None):
+    """Rows written as a table of cell maps in the shared folder; its path."""
+    path = f"{shared_dir(spark).rstrip('/')}/contactspark/cellmaps-{uuid.uuid4().hex}"
+    W.cell_maps(rows, index, X.RES, path)
+    if append is not None:
+        W.cell_maps(append, index, X.RES, path, append=True)
+    return path
+
+
+@query("s19_imputed_export", sql("SELECT cell_id, chrom, i AS bin1, j AS bin2, round(CAST(p AS FLOAT), 3) AS count FROM imputed WHERE cell_id IN (3, 17)", "sym").replace("\nSELECT", _IMP, 1))
+def _(spark, d):
+    """Imputed maps written in two goes and two cells read back."""
+    rows = _imputed(spark, d).select("cell_id", "chrom", F.col("i").alias("bin1"), F.col("j").alias("bin2"), F.col("p").alias("count"))
+    path = _written(spark, rows.where("cell_id < 10"), X.index(spark), rows.where("cell_id >= 10"))
+    return W.read_cell_maps(spark, path, [3, 17]).withColumn("count", F.round("count", 3))
+
+
+@query("s19_walked_export", sql("SELECT cell_id, chrom, CAST(count(*) AS BIGINT) AS pixels FROM (SELECT DISTINCT cell_id, chrom, bin1, bin2 FROM pixels) GROUP BY ALL", "pixels"))
+def _(spark, d):
+    """Walked maps written and read back; of each cell's map how many of its own pixels came back, as a walk reaches all of them."""
+    walked = L.random_walk(M.symmetric(X.pixels(spark, d)), ["cell_id", "chrom"], X.index(spark)).where("i <= j")
+    diagonal = X.pixels(spark, d).where("bin1 = bin2").select("cell_id", "chrom", F.col("bin1").alias("i"), F.col("bin2").alias("j"), F.lit(1.0).alias("v"))
+    rows = walked.unionByName(diagonal).select("cell_id", "chrom", F.col("i").alias("bin1"), F.col("j").alias("bin2"), F.col("v").alias("count"))
+    back = W.read_cell_maps(spark, _written(spark, rows, X.index(spark)))
+    return back.join(X.pixels(spark, d).select("cell_id", "chrom", "bin1", "bin2"), ["cell_id", "chrom", "bin1", "bin2"]).groupBy("cell_id", "chrom").agg(F.count("*").alias("pixels"))
+
+
+@query("s20_merged_export", sql("SELECT CAST(0 AS BIGINT) AS cell_id, chrom, bin1, bin2, round(CAST(sum(count) / 4.0::DOUBLE AS FLOAT), 3) AS count FROM pixels WHERE cell_id IN (1, 4, 9, 16) GROUP BY chrom, bin1, bin2", "pixels"))
+def _(spark, d):
+    """The mean map of a selection written and read back."""
+    path = _written(spark, W.merged(M.select_cells(X.pixels(spark, d), [1, 4, 9, 16])), X.index(spark))
+    return W.read_cell_maps(spark, path).withColumn("count", F.round("count", 3))
+
+
+_CELLS = "cells AS (SELECT vec_id AS cell_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, 'type' || CAST(vec_id % 4 AS VARCHAR) AS label, reads AS value FROM embeddings JOIN (SELECT cell_id AS vec_id, CAST(sum(count) AS DOUBLE) AS reads FROM pixels GROUP BY 1) USING (vec_id))"
+
+
+@query("l5_selection", sql(f"""@SELECT 'cell' AS part, NULL::VARCHAR AS chrom, cell_id AS a, NULL::BIGINT AS b, NULL::VARCHAR AS name, 1.0::DOUBLE AS value FROM picked
+UNION ALL SELECT 'label', NULL, NULL, NULL, label, count(*) FROM cells JOIN picked USING (cell_id) GROUP BY label
+UNION ALL SELECT 'histogram', NULL, CAST(least(floor((value - lo) / ((hi - lo) / 20)), 19) AS BIGINT), NULL, NULL, count(*) FROM cells JOIN picked USING (cell_id), (SELECT min(value) AS lo, max(value) AS hi FROM cells) GROUP BY 3
+UNION ALL SELECT 'map', chrom, bin1, bin2, NULL, round(sum(count) / 6.0::DOUBLE, 6) FROM pixels JOIN picked USING (cell_id) GROUP BY chrom, bin1, bin2""", "pixels").replace("\n@", f",\n{_CELLS},\npicked AS (SELECT c.cell_id FROM cells c, (SELECT x AS cx, y AS cy FROM cells WHERE cell_id = 3) ORDER BY (x - cx) ** 2 + (y - cy) ** 2, cell_id LIMIT 6)\n", 1))
+def _(spark, d):
+    """A picked cell grown to its six nearest: their labels, a histogram of their reads on the edges of all, their mean map."""
+    p, e = X.pixels(spark, d), F.col("embedding")
+    reads = p.groupBy("cell_id").agg(F.sum("count").cast("double").alias("value"))
+    places = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), F.concat(F.lit("type"), F.col("vec_id") % 4).alias("label"))
+    return r6(E.selection(places.join(reads, "cell_id"), p, [3], 6), "value")
+
+
 @query("s12_signal_matrix", sql("SELECT cell_id, c.chrom, CAST(c.bin AS BIGINT) AS bin, c.signal, round(coalesce(z, 0), 6) AS value FROM (SELECT l.cell_id, b.chrom, b.bin, s.signal FROM labels_cells l, bins b, (SELECT DISTINCT signal FROM signals) s) c LEFT JOIN (SELECT *, (value - avg(value) OVER (PARTITION BY signal)) / stddev_pop(value) OVER (PARTITION BY signal) AS z FROM signals) z USING (cell_id, chrom, bin, signal)", "labels_cells", "bins", "signals"))
 def _(spark, d):
     signals = X.signals(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contactspark.operators import graph as G
 from contactspark.operators import metrics as Q
+from contactspark.operators.bloom import held
 from contactspark.plans import fixtures as X
 from contactspark.plans.fixtures import r6, sql
 
@@ -198,6 +199,14 @@ def _(spark, d):
     return G.holds_pair(asked, X.pixels(spark, d))
 
 
+@query("u4_bloom_membership", sql("SELECT cell_id, bin1, bin2, EXISTS (SELECT 1 FROM pixels p WHERE p.cell_id = o.cell_id AND p.bin1 = o.bin1 AND p.bin2 = o.bin2) AS held FROM (SELECT DISTINCT cell_id, bin1, CASE WHEN bin1 % 2 = 0 THEN bin2 ELSE 39 - bin2 END AS bin2 FROM pixels) o", "pixels"))
+def _(spark, d):
+    """Exact membership behind a Bloom filter: half of the pairs asked for are mirrored in the chromosome."""
+    p = X.pixels(spark, d)
+    asked = p.select("cell_id", "bin1", F.when(F.col("bin1") % 2 == 0, F.col("bin2")).otherwise(39 - F.col("bin2")).alias("bin2")).distinct()
+    return held(asked, p, ["cell_id", "bin1", "bin2"])
+
+
 @query("u4_masked_keys", sql("SELECT DISTINCT * FROM (SELECT -1 AS cell_id, bin1, bin2 FROM pixels UNION ALL SELECT cell_id, -1, bin2 FROM pixels UNION ALL SELECT cell_id, bin1, -1 FROM pixels)", "pixels"))
 def _(spark, d):
     return G.masked_keys(X.pixels(spark, d))

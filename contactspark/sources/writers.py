@@ -50,6 +50,47 @@ def write_cool_tables(pixels_df: DataFrame, index: DataFrame, resolution: int, p
     rows.repartitionByRange("cell_id", "bin1_id").sortWithinPartitions("cell_id", "bin1_id", "bin2_id").write.mode("overwrite").parquet(f"{path}/pixels")
 
 
+def cell_maps(pixels_df: DataFrame, index: DataFrame, resolution: int, path: str, append: bool = False, parts: int | None = None) -> None:
+    """Pixels (cell_id, chrom, bin1, bin2, count), raw, walked or imputed, as a ``cellmaps`` table with its bins.
+
+    Cells are dealt by ranges to ``parts``, or as many as their size asks for, so that a cell is in few; ``append`` adds cells to those that are there. A merged map is a
+    table of one cell, see ``merged``.
+    """
+    from contactspark.sources import cellmaps
+
+    spark = pixels_df.sparkSession
+    spark.dataSource.register(cellmaps.CellMaps)
+    bins, rows = cool_tables(pixels_df, index, resolution)
+    order = ["cell_id", "bin1_id", "bin2_id"]
+    dealt = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions("cell_id", "bin1_id", "bin2_id")
+    dealt.write.format("cellmaps").mode("append" if append else "overwrite").save(path)
+    places = [[r["chrom"], r["start"], r["end"]] for r in bins.orderBy("bin_id").toLocalIterator()]  # of the index, not of contacts
+    cellmaps.write_manifest(path, cellmaps.manifest(path) | {"bins": places})
+
+
+def read_cell_maps(spark: SparkSession, path: str, cells: list[int] | None = None) -> DataFrame:
+    """(cell_id, chrom, bin1, bin2, count) of a ``cellmaps`` table, of all cells or some; bins count within their chromosome."""
+    from contactspark.sources import cellmaps
+
+    spark.dataSource.register(cellmaps.CellMaps)
+    bins = cellmaps.manifest(path)["bins"]
+    first: dict[str, int] = {}
+    for at, (chrom, *_) in enumerate(bins):
+        first.setdefault(chrom, at)
+    starts = sorted((v, k) for k, v in first.items())
+    index = spark.createDataFrame([(c, a, b) for (a, c), b in zip(starts, [*(s for s, _ in starts[1:]), len(bins)])], "chrom string, __from long, __to long")
+    reader = spark.read.format("cellmaps")
+    rows = (reader.option("cells", ",".join(map(str, cells))) if cells else reader).load(path)
+    on = (F.col("bin1_id") >= F.col("__from")) & (F.col("bin1_id") < F.col("__to"))
+    joined = rows.join(F.broadcast(index), on)  # a row for each chromosome
+    return joined.select("cell_id", "chrom", (F.col("bin1_id") - F.col("__from")).alias("bin1"), (F.col("bin2_id") - F.col("__from")).alias("bin2"), "count")
+
+
+def merged(maps: DataFrame) -> DataFrame:
+    """A merged map (chrom, bin1, bin2, v) as the pixels of cell 0."""
+    return maps.select(F.lit(0).cast("long").alias("cell_id"), "chrom", "bin1", "bin2", F.col("v").alias("count"))
+
+
 def tracks(df: DataFrame, path: str) -> None:
     """(track, cell_id, chrom, start, end, value); the bulk's cell_id is null."""
     df.write.mode("overwrite").partitionBy("track", "chrom").parquet(path)
