@@ -110,8 +110,8 @@ def balanced_weights(rows: DataFrame, k: int, batch_col: str, id_col: str = "id"
     return cut.select("id", "nbr", (w / F.sum(w).over(Window.partitionBy("id"))).alias("weight"))
 
 
-def near_positive(candidates: DataFrame, positives: DataFrame, reach: int = 1, n_bins: int | None = None) -> DataFrame:
-    """Candidates (cell_id, chrom, bin1, bin2) without a positive in the ``reach`` neighbourhood, as an anti join on offsets.
+def surroundings(positives: DataFrame, reach: int = 1, n_bins: int | None = None) -> DataFrame:
+    """(cell_id, chrom, bin1, bin2) of the ``reach`` neighbourhood of positives, once each.
 
     With ``n_bins`` the neighbourhood ends before the last bin, as a slice with an exclusive upper end does.
     """
@@ -119,8 +119,12 @@ def near_positive(candidates: DataFrame, positives: DataFrame, reach: int = 1, n
     around = positives.select("cell_id", "chrom", "bin1", "bin2", F.explode(step).alias("x")).select("*", F.explode(step).alias("y"))
     if n_bins is not None:
         around = around.where((F.col("bin1") < n_bins - 1) & (F.col("bin2") < n_bins - 1))
-    around = around.select("cell_id", "chrom", (F.col("bin1") + F.col("x")).alias("bin1"), (F.col("bin2") + F.col("y")).alias("bin2")).distinct()
-    return candidates.join(around, ["cell_id", "chrom", "bin1", "bin2"], "left_anti")
+    return around.select("cell_id", "chrom", (F.col("bin1") + F.col("x")).alias("bin1"), (F.col("bin2") + F.col("y")).alias("bin2")).distinct()
+
+
+def near_positive(candidates: DataFrame, positives: DataFrame, reach: int = 1, n_bins: int | None = None) -> DataFrame:
+    """Candidates (cell_id, chrom, bin1, bin2) without a positive in the ``reach`` neighbourhood, as an anti join on offsets."""
+    return candidates.join(surroundings(positives, reach, n_bins), ["cell_id", "chrom", "bin1", "bin2"], "left_anti")
 
 
 def _uniform(*parts: Column) -> Column:
@@ -151,11 +155,12 @@ def negatives(positives: DataFrame, index: DataFrame, per: int, n_cells: int, ma
         b = F.when(~one | (which == 2), F.floor(F.col("second") * F.col("n_bins"))).otherwise(F.col("bin2"))
         cell = F.when(one & (which == 0), F.floor(F.col("cell") * n_cells)).otherwise(F.col("cell_id"))
         trial = trial.select(F.col("bin1").alias("t_bin1"), F.col("bin2").alias("t_bin2"), F.col("cell_id").alias("t_cell"), "t", "chrom", cell.alias("cell_id"), F.least(a, b).alias("bin1"), F.greatest(a, b).alias("bin2"))
-        return near_positive(trial.where((F.col("bin2") - F.col("bin1") > 1) & (F.col("bin2") - F.col("bin1") < max_gap)), positives)
+        return trial.where((F.col("bin2") - F.col("bin1") > 1) & (F.col("bin2") - F.col("bin1") < max_gap)).join(around, ["cell_id", "chrom", "bin1", "bin2"], "left_anti")
 
     positives = materialise(positives.select("cell_id", "chrom", "bin1", "bin2"), "positives")
+    around = materialise(surroundings(positives), "surroundings")
     kept, lacking, low = None, positives, 0
-    for high in sorted({min(tries, 2) * per, min(tries, 8) * per, tries * per}):
+    for high in sorted({min(tries, n) * per for n in (2, 4, 8, 16, 32, tries)}):
         found = drawn(lacking, low, high)
         kept = materialise(found if kept is None else kept.unionByName(found), "negatives")
         low = high

@@ -59,7 +59,7 @@ def gauss3(sym: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
     steps = [(-1, w[0]), (0, w[1]), (1, w[0])]
     out = spread(sym, keys, steps, steps, index, "reflect")
     total = out.groupBy(*keys).agg(F.sum("v").alias("__t"))
-    return out.join(F.broadcast(total), keys).select(*keys, "i", "j", (F.col("v") / F.col("__t")).alias("v"))
+    return out.join(total, keys).select(*keys, "i", "j", (F.col("v") / F.col("__t")).alias("v"))
 
 
 def normal_density(x: float) -> float:
@@ -114,7 +114,7 @@ def walk(sym: DataFrame, keys: list[str], index: DataFrame, steps: int, restart:
 def match_coverage(sym: DataFrame, batches: DataFrame, least: float = 0.8) -> DataFrame:
     """(chrom, batch, correlation, scale): rank correlation of each batch's row sums with the bulk's, over bulk rows with
     values; where it is below ``least``, rows of that batch are to be scaled by bulk over batch."""
-    cover = sym.join(F.broadcast(batches), "cell_id").groupBy("chrom", "batch", "i").agg(F.sum("v").alias("s"))
+    cover = sym.join(batches, "cell_id").groupBy("chrom", "batch", "i").agg(F.sum("v").alias("s"))
     shares = cover.withColumn("s", F.col("s") / F.sum("s").over(Window.partitionBy("chrom", "batch")))
     all_rows = sym.groupBy("chrom", "i").agg(F.sum("v").alias("t"))
     all_rows = all_rows.withColumn("t", F.col("t") / F.sum("t").over(Window.partitionBy("chrom"))).where("t > 0")

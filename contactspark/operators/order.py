@@ -31,7 +31,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str | Column], sums: d
     inside = Window.partitionBy(*keys, "__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumns({k: F.coalesce(F.sum(names[k]).over(inside), F.lit(0)) for k in sums})
     on = [F.col("__part") == F.col("__at"), *[F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]]
-    out = out.join(F.broadcast(offsets), on)  # at most the number of partitions and keys
+    out = out.join(offsets, on)  # a row for each partition and key
     return out.select(*rows.columns, *[(F.col(k) + F.col(f"__before_{k}")).alias(k) for k in sums])
 
 

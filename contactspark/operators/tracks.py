@@ -88,7 +88,7 @@ def z_score(tracks: DataFrame, keys: list[str], value: str) -> DataFrame:
 def quantile_ranks(tracks: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Uniform quantile transform with as many quantiles as values: mean of the lowest and highest place of ties, in [0, 1]."""
     count = tracks.groupBy(*keys).agg(F.count("*").alias("__n"))
-    ranked = tie_ranked(tracks, keys, {"__r": value}).join(F.broadcast(count), keys)  # a row for each group
+    ranked = tie_ranked(tracks, keys, {"__r": value}).join(count, keys)  # a row for each group
     return ranked.withColumn(value, F.when(F.col("__n") > 1, (F.col("__r") - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))).drop("__r", "__n")
 
 

@@ -105,9 +105,9 @@ def _(spark, d):
     return r6(N.bin_features(X.bulk(spark, d), X.index(spark)), "v")
 
 
-@query("n18_node_attributes", sql("SELECT chrom, CAST(bin AS BIGINT) AS bin, CAST(chrom = 'chr1' AS INT) AS is1, CAST(chrom = 'chr2' AS INT) AS is2, CAST(chrom = 'chr3' AS INT) AS is3, round(bin / 40, 6) AS place FROM bins", "bins"))
+@query("n18_node_attributes", sql("SELECT chrom, CAST(bin AS BIGINT) AS bin, CAST(chrom = 'chr1' AS INT) AS is1, CAST(chrom = 'chr2' AS INT) AS is2, CAST(chrom = 'chr3' AS INT) AS is3, round(bin / n_bins, 6) AS place FROM seen_bins", "seen_bins"))
 def _(spark, d):
-    return r6(N.node_attributes(X.index(spark)), "place").select("chrom", "bin", *[F.col("hot")[k].alias(f"is{k + 1}") for k in range(3)], "place")
+    return r6(N.node_attributes(X.seen_index(spark, d)), "place").select("chrom", "bin", *[F.col("hot")[k].alias(f"is{k + 1}") for k in range(3)], "place")
 
 
 @query("n19_cell_covariates", sql("SELECT cell_id, round(ln(1 + sum(count)), 6) AS reads, CAST(batch = 'batch0' AS INT) AS batch0, CAST(batch = 'batch1' AS INT) AS batch1 FROM pixels JOIN labels_cells USING (cell_id) GROUP BY cell_id, batch", "pixels", "labels_cells"))

@@ -31,9 +31,9 @@ def query(name: str, text: str | None = None):
     return keep
 
 
-@query("s18_cool_bins", sql('SELECT start_bin + b AS bin_id, chrom, b * 1000000 AS start, (b + 1) * 1000000 AS "end" FROM idx, range(40) r(b)', "idx"))
+@query("s18_cool_bins", sql('SELECT start_bin + bin AS bin_id, chrom, bin * 1000000 AS start, (bin + 1) * 1000000 AS "end" FROM seen_bins', "seen_bins"))
 def _(spark, d):
-    return W.cool_tables(X.pixels(spark, d), X.index(spark), X.RES)[0]
+    return W.cool_tables(X.pixels(spark, d), X.seen_index(spark, d), X.RES)[0]
 
 
 @query("s18_cool_pixels", sql("SELECT cell_id, start_bin + bin1 AS bin1_id, start_bin + bin2 AS bin2_id, CAST(count AS FLOAT) AS count FROM pixels JOIN idx USING (chrom) WHERE bin2 >= bin1", "pixels", "idx"))

@@ -38,9 +38,9 @@ def _(spark, d):
     return C.negatives_policy(M.occupancy(X.pixels(spark, d), X.index(spark), 2))
 
 
-@query("w2_node_ranges", "SELECT * FROM (VALUES ('cell', 1, 21), ('chr1', 21, 61), ('chr2', 61, 101), ('chr3', 101, 141)) t(node_type, start_id, end_id)")
+@query("w2_node_ranges", sql("SELECT 'cell' AS node_type, CAST(1 AS BIGINT) AS start_id, CAST(1 + n AS BIGINT) AS end_id FROM (SELECT count(DISTINCT cell_id) AS n FROM contacts) UNION ALL SELECT chrom, 1 + n + start_bin, 1 + n + end_bin FROM seen_idx, (SELECT count(DISTINCT cell_id) AS n FROM contacts)", "seen_idx"))
 def _(spark, d):
-    return C.node_ranges(20, X.index(spark))
+    return C.node_ranges(X.contacts(spark, d).select("cell_id").distinct().count(), X.seen_index(spark, d))
 
 
 @query("w5_merge_close_boundaries", _scored(f"""SELECT chrom, bin FROM (SELECT chrom, bin, n, lead(bin) OVER w - bin AS gap_r, lead(n) OVER w AS n_r, bin - lag(bin) OVER w AS gap_l, lag(n) OVER w AS n_l FROM (SELECT chrom, bin, bin * 7 % 5 AS n FROM ({_MIN}) WHERE boundary) WINDOW w AS (PARTITION BY chrom ORDER BY bin)) WHERE NOT (coalesce(gap_r <= 4 AND n_r > n, false) OR coalesce(gap_l <= 4 AND n_l >= n, false))"""))

@@ -41,6 +41,23 @@ def index(spark: SparkSession) -> DataFrame:
     return C.bin_index(chrom_sizes(spark), RES, CHROMS)
 
 
+def seen_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, size): sizes that the contacts' largest places give."""
+    c = contacts(spark, sf_dir)
+    ends = c.select(F.col("chrom1").alias("chrom"), F.col("pos1").alias("p")).unionByName(c.select(F.col("chrom2").alias("chrom"), F.col("pos2").alias("p")))
+    return ends.groupBy("chrom").agg((F.max("p") + 1).alias("size"))
+
+
+def seen_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.bin_index(seen_sizes(spark, sf_dir), RES, CHROMS)
+
+
+def seen_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands of chromosomes of 40 megabases, drawn out to the sizes seen."""
+    to = lambda c: F.expr(f"CAST({c} * size DIV 40000000 AS BIGINT)").alias(c)
+    return cytoband(spark).join(seen_sizes(spark, sf_dir), "chrom").select("chrom", to("start"), to("end"), "name", "type")
+
+
 def cytoband(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CYTOBAND, "chrom string, start long, end long, name string, type string")
 
@@ -106,15 +123,19 @@ PARTS = {
     "kept": "SELECT * FROM contacts WHERE chrom1 <> chrom2 OR abs(pos2 - pos1) >= 2500 OR pos1 = pos2",
     "pixels": f"SELECT cell_id, chrom1 AS chrom, least(pos1 // {RES}, pos2 // {RES}) AS bin1, greatest(pos1 // {RES}, pos2 // {RES}) AS bin2, CAST(sum(count) AS BIGINT) AS count FROM kept WHERE chrom1 = chrom2 GROUP BY ALL",
     "idx": f"SELECT * FROM (VALUES (0, 'chr1', {N_BINS}, 0, 40), (1, 'chr2', {N_BINS}, 40, 80), (2, 'chr3', {N_BINS}, 80, 120)) t(chrom_idx, chrom, n_bins, start_bin, end_bin)",
+    "seen": "SELECT chrom, max(p) + 1 AS size FROM (SELECT chrom1 AS chrom, pos1 AS p FROM contacts UNION ALL SELECT chrom2, pos2 FROM contacts) GROUP BY chrom",
+    "seen_idx": f"SELECT CAST(row_number() OVER (ORDER BY chrom) - 1 AS INTEGER) AS chrom_idx, chrom, n_bins, CAST(sum(n_bins) OVER (ORDER BY chrom) - n_bins AS BIGINT) AS start_bin, CAST(sum(n_bins) OVER (ORDER BY chrom) AS BIGINT) AS end_bin FROM (SELECT chrom, CAST(ceil(size / {RES}) AS BIGINT) AS n_bins FROM seen)",
+    "seen_bins": "SELECT chrom, n_bins, start_bin, unnest(range(n_bins)) AS bin FROM seen_idx",
     "bins": f"SELECT chrom, b AS bin FROM idx, range({N_BINS}) r(b)",
     "sums": "SELECT chrom, bin1, bin2, CAST(sum(count) AS BIGINT) AS count FROM pixels GROUP BY ALL",
     "bulk": "SELECT chrom, bin1 AS i, bin2 AS j, CASE WHEN bin1 = bin2 THEN 2 * count ELSE count END AS v FROM sums UNION ALL SELECT chrom, bin2, bin1, count FROM sums WHERE bin1 <> bin2",
     "sym": "SELECT cell_id, chrom, bin1 AS i, bin2 AS j, CASE WHEN bin1 = bin2 THEN 2 * count ELSE count END AS v FROM pixels UNION ALL SELECT cell_id, chrom, bin2, bin1, count FROM pixels WHERE bin1 <> bin2",
     "labels_cells": "SELECT cell_id, 'type' || CAST(cell_id % 4 AS VARCHAR) AS cell_type, 'batch' || CAST(cell_id % 2 AS VARCHAR) AS batch FROM (SELECT DISTINCT cell_id FROM contacts)",
     "cytoband": "SELECT * FROM (VALUES " + ", ".join(map(str, CYTOBAND)) + ") t(chrom, start, stop, name, type)",
+    "bands": "SELECT chrom, start * size // 40000000 AS start, stop * size // 40000000 AS stop, name, type FROM cytoband JOIN seen USING (chrom)",
     "calibration": "SELECT 'chr' || CAST(1 + p_partkey // 40 AS VARCHAR) AS chrom, p_partkey % 40 * 1000000 AS bin, CASE WHEN p_partkey % 40 % 13 = 0 THEN -1.0::DOUBLE ELSE (p_partkey % 40 * 37 % 101) / 100.0::DOUBLE END AS value FROM part WHERE p_partkey < 120",
     "scored": "SELECT o_orderkey AS id, CAST(o_orderstatus = 'F' AS INT) AS label, CAST(o_totalprice AS DOUBLE) / 500000.0::DOUBLE AS score, CAST(1 + o_orderkey % 7 AS DOUBLE) AS weight FROM orders",
     "signals": "SELECT CAST(user_id % 20 AS BIGINT) AS cell_id, 'chr' || CAST(event_id % 3 + 1 AS VARCHAR) AS chrom, event_id // 3 % 40 AS bin, event_type AS signal, round(avg(value), 6) AS value FROM events GROUP BY ALL",
     "genome": "SELECT 'doc' || CAST(doc_id AS VARCHAR) AS chrom, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTNN') AS sequence FROM documents WHERE lang = 'en'",
 }
-NEEDS = {"kept": ["contacts"], "pixels": ["kept"], "bins": ["idx"], "sums": ["pixels"], "bulk": ["sums"], "sym": ["pixels"], "labels_cells": ["contacts"]}
+NEEDS = {"kept": ["contacts"], "seen": ["contacts"], "seen_idx": ["seen"], "seen_bins": ["seen_idx"], "bands": ["cytoband", "seen"], "pixels": ["kept"], "bins": ["idx"], "sums": ["pixels"], "bulk": ["sums"], "sym": ["pixels"], "labels_cells": ["contacts"]}

@@ -22,9 +22,10 @@ def query(name: str, text: str | None = None):
     return keep
 
 
-@query("w1_bin_index", "SELECT * FROM (VALUES (0, 'chr1', 41, 0, 41), (1, 'chr2', 41, 41, 82), (2, 'chr3', 41, 82, 123)) t(chrom_idx, chrom, n_bins, start_bin, end_bin)")
+@query("w1_bin_index", sql("SELECT * FROM seen_idx", "seen_idx"))
 def _(spark, d):
-    return C.bin_index(X.chrom_sizes(spark, 40_500_000), X.RES, X.CHROMS)
+    """Bins of the chromosomes, as long as the contacts show them to be."""
+    return X.seen_index(spark, d)
 
 
 @query("f1_not_short", sql("SELECT * FROM kept", "kept"))
@@ -142,14 +143,14 @@ def _(spark, d):
     return r6(M.cell_weight(X.pixels(spark, d)), "weight")
 
 
-@query("a11_arm_length", sql("SELECT chrom, name[1] AS arm, CAST(sum(stop - start) AS BIGINT) AS length FROM cytoband GROUP BY ALL", "cytoband"))
+@query("a11_arm_length", sql("SELECT chrom, name[1] AS arm, CAST(sum(stop - start) AS BIGINT) AS length FROM bands GROUP BY ALL", "bands"))
 def _(spark, d):
-    return M.arm_lengths(X.cytoband(spark))
+    return M.arm_lengths(X.seen_bands(spark, d))
 
 
-@query("n31_arm_split", sql("SELECT chrom, CAST(max(CASE WHEN len >= 20000000 THEN len END) AS BIGINT) AS split FROM (SELECT chrom, sum(stop - start) AS len FROM cytoband WHERE name[1] = 'p' GROUP BY chrom) GROUP BY chrom", "cytoband"))
+@query("n31_arm_split", sql("SELECT chrom, CAST(max(CASE WHEN len >= 15000000 THEN len END) AS BIGINT) AS split FROM (SELECT chrom, sum(stop - start) AS len FROM bands WHERE name[1] = 'p' GROUP BY chrom) GROUP BY chrom", "bands"))
 def _(spark, d):
-    return M.split_arms(X.cytoband(spark))
+    return M.split_arms(X.seen_bands(spark, d), 15_000_000)
 
 
 @query("a12_group_merge", sql("SELECT cell_type, chrom, bin1, bin2, round(sum(count) / n, 6) AS v FROM pixels JOIN labels_cells USING (cell_id) JOIN (SELECT cell_type, count(*) AS n FROM labels_cells GROUP BY 1) s USING (cell_type) GROUP BY cell_type, chrom, bin1, bin2, n", "pixels", "labels_cells"))
@@ -187,9 +188,9 @@ def _(spark, d):
     return r6(M.read_counts(X.pixels(spark, d), 120), "shown")
 
 
-@query("f9_centromere_mask", sql("SELECT DISTINCT chrom, CAST(b AS BIGINT) AS bin FROM cytoband, range(60) r(b) WHERE type = 'acen' AND b >= greatest(floor((start - 100000) / 1000000), 0) AND b < ceil((stop + 100000) / 1000000)", "cytoband"))
+@query("f9_centromere_mask", sql("SELECT DISTINCT chrom, CAST(b AS BIGINT) AS bin FROM bands, range(60) r(b) WHERE type = 'acen' AND b >= greatest(floor((start - 100000) / 1000000), 0) AND b < ceil((stop + 100000) / 1000000)", "bands"))
 def _(spark, d):
-    return M.centromere_bins(X.cytoband(spark), X.RES, 100_000)
+    return M.centromere_bins(X.seen_bands(spark, d), X.RES, 100_000)
 
 
 @query("j4_masked_map", sql("""SELECT chrom, i, j, v FROM bulk ANTI JOIN (SELECT chrom, b AS i FROM cytoband, range(60) r(b) WHERE type = 'acen' AND b >= greatest(floor((start - 1000000) / 1000000), 0) AND b < ceil((stop + 1000000) / 1000000)) USING (chrom, i)
@@ -226,9 +227,9 @@ def _(spark, d):
     return bulk.join(F.broadcast(low)).select("chrom", "i", "j", F.when(F.col("v") - F.col("m") <= 1e-5, F.lit(0)).otherwise(F.col("v") - F.col("m")).alias("v"))
 
 
-@query("j5_bin_pairs", sql("SELECT chrom, a.bin AS bin1, b.bin AS bin2 FROM bins a JOIN bins b USING (chrom) WHERE b.bin >= a.bin + 2 AND b.bin < a.bin + 7", "bins"))
+@query("j5_bin_pairs", sql("SELECT chrom, a.bin AS bin1, b.bin AS bin2 FROM seen_bins a JOIN seen_bins b USING (chrom) WHERE b.bin >= a.bin + 2 AND b.bin < a.bin + 7", "seen_bins"))
 def _(spark, d):
-    return M.bin_pairs(X.index(spark), 2, 7)
+    return M.bin_pairs(X.seen_index(spark, d), 2, 7)
 
 
 @query("j2_label_join", sql("SELECT cell_id, cell_type, batch, CAST(sum(count) AS BIGINT) AS reads FROM pixels JOIN labels_cells USING (cell_id) GROUP BY ALL", "pixels", "labels_cells"))
