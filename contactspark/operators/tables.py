@@ -28,10 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Run folders that are marked to go when the driver's JVM ends.
+_MARKED: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared folder; it goes when the driver's JVM ends, or by ``clear``."""
+    path = f"{shared_dir(spark).rstrip('/')}/contactspark/{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        folder, system = _folder(spark, path)
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _MARKED.add(path)
+    return path
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's tables, once nothing that was made from them is read any more."""
+    path = run_dir(spark)
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+    _MARKED.discard(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/contactspark/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -11,7 +11,7 @@ from contactspark.operators import linalg as L
 from contactspark.operators import maps as M
 from contactspark.operators import norms as N
 from contactspark.operators import tracks as T
-from contactspark.operators.tables import shared_dir
+from contactspark.operators.tables import run_dir
 from contactspark.plans import fixtures as X
 from contactspark.plans.features import SCORES
 from contactspark.plans.fixtures import r6, sql
@@ -70,8 +70,8 @@ def _(spark, d):
 
 
 def _written(spark, rows, index, append=None):
-    """Rows written as a table of cell maps in the shared folder; its path."""
-    path = f"{shared_dir(spark).rstrip('/')}/contactspark/cellmaps-{uuid.uuid4().hex}"
+    """Rows written as a table of cell maps in this run's folder; its path."""
+    path = f"{run_dir(spark)}/cellmaps-{uuid.uuid4().hex}"
     W.cell_maps(rows, index, X.RES, path)
     if append is not None:
         W.cell_maps(append, index, X.RES, path, append=True)
