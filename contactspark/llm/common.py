@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.operators.tables import materialise, shared_dir
+from contactspark.operators.tables import materialise, run_dir
 
-__all__ = ["documents", "id_and_text", "materialise", "shared_dir", "small_batches"]
+__all__ = ["documents", "id_and_text", "materialise", "run_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import id_and_text, materialise, shared_dir
+from contactspark.llm.common import id_and_text, materialise, run_dir
 
 BLOCK_SCHEMA = "part int, block int, first long, least_id long, greatest_id long, doc_ids array<long>, lengths array<int>, n_ids long, bits int, payload binary"
 BLOCK_COLUMNS = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
@@ -236,8 +236,8 @@ def read_document(blocks: DataFrame, doc_id: int) -> list[np.ndarray]:
 
 
 def written(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write the ids of ``docs`` in the shared folder and read them back as ``digests``."""
+    """Write the ids of ``docs`` in the run's folder and read them back as ``digests``."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/contactspark/ids-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, path, tokenizer, end_id)
     return digests(open_ids(spark, path))
