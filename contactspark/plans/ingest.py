@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contactspark.operators import contacts as C
 from contactspark.operators import maps as M
+from contactspark.operators import order as O
 from contactspark.plans import fixtures as X
 from contactspark.plans.fixtures import r6, sql
 
@@ -123,7 +124,8 @@ def _(spark, d):
 
 @query("a6_median_sparsity", sql("""SELECT round(median(filled / 600.0::DOUBLE), 6) AS median_sparsity FROM (SELECT cell_id, count(*) AS filled FROM (SELECT DISTINCT cell_id, chrom, bin1 // 2, bin2 // 2 FROM pixels) GROUP BY 1)""", "pixels"))
 def _(spark, d):
-    return M.occupancy(X.pixels(spark, d), X.index(spark), 2).agg(F.round(F.percentile("sparsity", F.lit(0.5)), 6).alias("median_sparsity"))
+    middle = O.quantiles(M.occupancy(X.pixels(spark, d), X.index(spark), 2), "sparsity", [0.5])
+    return spark.createDataFrame([tuple(middle)], "median_sparsity double").select(F.round("median_sparsity", 6).alias("median_sparsity"))
 
 
 @query("a8_pseudo_bulk", sql("""SELECT chrom, i, j, round(v / sum(v) OVER (PARTITION BY chrom, i), 6) AS v FROM (SELECT chrom, i, j, least(v, top) AS v FROM

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark import schema as S
+from contactspark.operators.contacts import not_short_intra
 from contactspark.operators.maps import grid, symmetric
 from contactspark.operators.order import running
 from contactspark.operators.tables import materialise
@@ -20,22 +23,34 @@ def contacts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CONTACTS).csv(path, sep="\t", header=True, enforceSchema=True).withColumn("count", F.coalesce("count", F.lit(1.0)))
 
 
+def _place(path: Column) -> Column:
+    """A path without its scheme and host, as files' own paths and those of a list may differ in these."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
 def cell_contacts(spark: SparkSession, file_list: str, columns: str = S.CELL_CONTACTS, header: bool = False, comment: str | None = "#") -> DataFrame:
-    """One file for each cell; cell_id is the line of the file's path in ``file_list``, from 0. A missing count is 1."""
-    lines = spark.read.text(file_list).where(F.trim("value") != "")
-    # the list is the small side: one row for each file
-    files = [(F.trim(F.lit(r["value"])), i) for i, r in enumerate(lines.coalesce(1).toLocalIterator())]
-    paths = [r["value"].strip() for r in lines.toLocalIterator()]
-    order = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "name string, cell_id long")
-    if len({p.rsplit("/", 1)[-1] for p in paths}) != len(files):
-        raise ValueError("file names of a list must differ")
+    """One file for each cell; cell_id is the line of the file's path in ``file_list``, from 0. A missing count is 1.
+
+    Files are told apart by their whole paths; ``cell_name`` is the last part. A relative path is one of the driver's folder. Paths
+    that are listed twice are refused.
+    """
+    listed = [r["value"].strip() for r in spark.read.text(file_list, wholetext=False).coalesce(1).where(F.trim("value") != "").toLocalIterator()]  # a row for each file
+    paths = [p if ":" in p.split("/")[0] or p.startswith("/") else os.path.abspath(p) for p in listed]
+    if len(set(paths)) != len(paths):
+        raise ValueError("the paths of a list must differ")
+    order = spark.createDataFrame(list(enumerate(paths)), "cell_id long, path string").select("cell_id", _place(F.col("path")).alias("__place"), F.element_at(F.split("path", "/"), -1).alias("cell_name"))
     options = {"sep": "\t", "header": header} | ({"comment": comment} if comment else {})
-    rows = spark.read.schema(columns).csv(paths, **options).withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    rows = rows.join(order, "name").withColumnRenamed("name", "cell_name")
+    rows = spark.read.schema(columns).csv(paths, **options).withColumn("__place", _place(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))  # given as a URI
+    rows = rows.join(order, "__place").drop("__place")
     count = F.coalesce("count", F.lit(1.0)) if "count" in rows.columns else F.lit(1.0)
     return rows.withColumn("count", count)
 
 
+def cell_contacts_intra(spark: SparkSession, file_list: str, **options) -> DataFrame:
+    """The fast path of ``cell_contacts``: only pairs on one chromosome that aren't too near, dropped in the scan."""
+    return not_short_intra(cell_contacts(spark, file_list, **options))
+
+
 def cytoband(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CYTOBAND).csv(path, sep="\t", comment="#")
 

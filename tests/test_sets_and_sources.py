@@ -137,3 +137,16 @@ def test_small_readers(spark, tmp_path):
     assert [(r.track, r.chrom, r.cell_id, r.value) for r in spark.read.parquet(f"{tmp_path}/tracks").collect()] == [("insulation", "a", None, 0.5)]
     writers.embeddings(spark.createDataFrame([(1, [0.5, 1.0], "x")], "id long, v array<double>, more string"), f"{tmp_path}/e")
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/e").collect()] == [(1, [0.5, 1.0])]
+
+
+def test_cell_files_in_several_folders(spark, tmp_path):
+    for k, folder in enumerate(("x", "y z")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.tsv").write_text(f"a\t1\ta\t{9000 + k}\t2\na\t1\ta\t5\t1\na\t1\tb\t9000\t\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/y z/same.tsv\nfile://{tmp_path}/x/same.tsv\n")
+    rows = readers.cell_contacts(spark, str(tmp_path / "list")).collect()
+    assert sorted((r.cell_id, r.cell_name, r.pos2, r["count"]) for r in rows) == sorted((c, "same.tsv", p, n) for c in (0, 1) for p, n in ((9001 - c, 2.0), (5, 1.0), (9000, 1.0)))
+    assert sorted((r.cell_id, r.pos2) for r in readers.cell_contacts_intra(spark, str(tmp_path / "list")).collect()) == [(0, 9001), (1, 9000)]
+    (tmp_path / "list").write_text(f"{tmp_path}/x/same.tsv\n\n{tmp_path}/x/same.tsv\n")
+    with pytest.raises(ValueError):
+        readers.cell_contacts(spark, str(tmp_path / "list"))
