@@ -15,7 +15,7 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -71,6 +71,20 @@ def splits_at_spaces(config: dict) -> bool:
     return words and to_bytes.get("type") == "ByteLevel" and not to_bytes.get("add_prefix_space") and to_bytes.get("use_regex") is False
 
 
+class Words(dict):
+    """The ids of words, learned as they are first asked for; once there are ``REMEMBERED`` all are forgotten."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = self.learn(word)
+        return found
+
+
 class Encoder:
     """Ids of whole texts, by the tokenizer file at ``path``.
 
@@ -96,7 +110,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.wide, self.code = (2, "H") if self.vocabulary <= 1 << 16 else (4, "I")
         self.kind = f"<u{self.wide}"
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self._learn)
         self.letters: dict[int, str] = {}
         if self.by_word:
             normal, before = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -113,19 +127,13 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        tokenize, letters_only, pack_ids, known, letters = self.tokenizer.model.tokenize, self.LETTERS.fullmatch, self._bytes, self.words, self.letters
-        other = []
-        for w in words:
-            if not letters_only(w):
-                other.append(w)
-            elif w.isascii():  # letters that stand for themselves
-                known[w] = pack_ids([t.id for t in tokenize(w)])
-            elif all(ord(c) in letters for c in w):
-                known[w] = pack_ids([t.id for t in tokenize(w.translate(letters))])
-            else:
-                other.append(w)
-        known.update(zip(other, self._raw(other)))
+    def _learn(self, word: str) -> bytes:
+        if self.LETTERS.fullmatch(word):
+            if word.isascii():  # letters that stand for themselves
+                return self._bytes([t.id for t in self.tokenizer.model.tokenize(word)])
+            if all(ord(c) in self.letters for c in word):
+                return self._bytes([t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))])
+        return self._raw([word])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``kind``."""
@@ -133,14 +141,8 @@ class Encoder:
             return self._raw([t or "" for t in texts])
         latin, tail = self.LATIN.fullmatch, self.TAIL.sub
         plain = [not t or latin(t) is not None and not any(a in t for a in self.added) for t in texts]
-        split = [tail(r" \g<0>", t.lower()).split() if p and t else [] for t, p in zip(texts, plain)]
-        seen = set().union(*split)
-        new = seen.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words, new = {}, seen
-        self._learn(new)
         get = self.words.__getitem__
-        return [b"".join(map(get, s)) if p else self._raw([t])[0] for t, p, s in zip(texts, plain, split)]
+        return [(b"".join(map(get, tail(r" \g<0>", t.lower()).split())) if t else b"") if p else self._raw([t])[0] for t, p in zip(texts, plain)]
 
 
 @lru_cache(maxsize=2)
