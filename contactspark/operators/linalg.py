@@ -125,14 +125,15 @@ def compartments(sym: DataFrame, keys: list[str], index: DataFrame, arms: DataFr
     return cut.select(*cols).join(F.broadcast(models), ["chrom", "arm"]).groupBy(*keys, "arm").applyInPandas(project, schema)
 
 
-def balance(m: np.ndarray, tolerance: float = 1e-8, outer: int = 30, inner: int = 10) -> np.ndarray:
+def balance(m: np.ndarray, tolerance: float = 1e-8, outer: int = 1000, inner: int = 10) -> np.ndarray:
     """Scaling vector x with x * (m @ x) = 1 by Newton steps whose systems are solved by conjugate gradients.
 
-    The step keeps x between a tenth and three times its last value. Empty rows get 0.
+    It starts from the rows' sums, so that the size of the counts takes no steps. The step keeps x between a tenth and three times
+    its last value; maps that can't be balanced end after ``outer`` steps. Empty rows get 0.
     """
     live = m.sum(axis=1) > 0
     a = m[np.ix_(live, live)]
-    x = np.ones(len(a))
+    x = 1 / np.sqrt(a.sum(axis=1))
     for _ in range(outer):
         v = x * (a @ x)
         r = 1 - v

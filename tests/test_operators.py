@@ -78,6 +78,14 @@ def test_balanced_rows_sum_to_one(spark, index):
     assert np.allclose(out.sum(axis=1), 1, atol=1e-6) and np.allclose(out, out.T)
 
 
+@pytest.mark.parametrize("count", [1e2, 3e4, 1e6])
+def test_balanced_whatever_the_size_of_the_counts(count):
+    i = np.arange(40)
+    m = np.where((abs(i[:, None] - i) < 9) & (np.minimum(i[:, None], i) < 31), count, 0.0) + np.diag(np.where(i < 31, 0, 1e-5))
+    x = L.balance(m)
+    assert np.allclose((m * x[:, None] * x).sum(axis=1), 1, rtol=0, atol=1e-7)
+
+
 def test_random_walk(spark, index):
     m = random_map(12, 3)
     p = m - np.diag(np.diag(m))
