@@ -73,3 +73,17 @@ def test_one_and_none(spark):
     assert run(spark, [])[1].collect() == [] and run(spark, [(3, [1.0])])[1].collect() == []
     df, merges = run(spark, [(3, [1.0]), (1, [2.0])])
     assert [(r.left, r.right, r.size) for r in merges.collect()] == [(1, 3, 2)] and W.cut(merges, df.select("id"), 5).count() == 2
+
+
+def test_only_clusters_that_lost_their_nearest_look_again(spark, monkeypatch):
+    monkeypatch.setattr(W, "LAST", 60)
+    met, whole = [], W.sweep
+
+    def sweep(own, others, *rest):
+        met.append(tuple(x.agg(F.sum("n")).first()[0] for x in (own, others)))
+        return whole(own, others, *rest)
+
+    monkeypatch.setattr(W, "sweep", sweep)
+    r = np.random.default_rng(0)
+    run(spark, [(i, r.normal(size=8).tolist()) for i in range(150)])
+    assert met[0] == (150, 150) and len(met) > 1 and all(a < b for a, b in met[1:])
