@@ -71,9 +71,10 @@ def _(spark, d):
 def _(spark, d):
     cells = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 2, 14).alias("v"))
     near = G.nearest(cells, cells.count())
-    q = near.groupBy("id").agg(F.percentile("distance", F.lit(0.25)).alias("q"))
+    # the pairs are dealt by their row once, for the quartile and for the sum
+    near = near.withColumn("q", F.percentile("distance", F.lit(0.25)).over(Window.partitionBy("id")))
     w = F.exp(-F.col("distance") / F.col("q"))
-    return near.join(q, "id").select("id", "nbr", F.round(w / F.sum(w).over(Window.partitionBy("id")), 6).alias("weight"))
+    return near.select("id", "nbr", F.round(w / F.sum(w).over(Window.partitionBy("id")), 6).alias("weight"))
 
 
 @query("k4_near_with_cut", "SELECT id, nbr, round(d, 6) AS distance FROM (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id <> a.vec_id, b.vec_id) AS k FROM embeddings a, embeddings b) WHERE k <= 8 AND d < 1")
