@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactspark.operators import contacts as C
@@ -69,12 +68,7 @@ def _(spark, d):
 
 @query("n36_all_cell_weights", "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding[2:15] AS DOUBLE[]), CAST(b.embedding[2:15] AS DOUBLE[])) AS d FROM embeddings a, embeddings b), q AS (SELECT id, quantile_cont(d, 0.25) AS q FROM p GROUP BY 1) SELECT id, nbr, round(exp(-d / q) / sum(exp(-d / q)) OVER (PARTITION BY id), 6) AS weight FROM p JOIN q USING (id)")
 def _(spark, d):
-    cells = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 2, 14).alias("v"))
-    near = G.nearest(cells, cells.count())
-    # the pairs are dealt by their row once, for the quartile and for the sum
-    near = near.withColumn("q", F.percentile("distance", F.lit(0.25)).over(Window.partitionBy("id")))
-    w = F.exp(-F.col("distance") / F.col("q"))
-    return near.select("id", "nbr", F.round(w / F.sum(w).over(Window.partitionBy("id")), 6).alias("weight"))
+    return G.all_weights(X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 2, 14).alias("v")))
 
 
 @query("k4_near_with_cut", "SELECT id, nbr, round(d, 6) AS distance FROM (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id <> a.vec_id, b.vec_id) AS k FROM embeddings a, embeddings b) WHERE k <= 8 AND d < 1")
