@@ -87,3 +87,41 @@ def test_only_clusters_that_lost_their_nearest_look_again(spark, monkeypatch):
     r = np.random.default_rng(0)
     run(spark, [(i, r.normal(size=8).tolist()) for i in range(150)])
     assert met[0] == (150, 150) and len(met) > 1 and all(a < b for a, b in met[1:])
+
+
+def test_a_list_of_nearest_saves_looking_again(monkeypatch):
+    """New clusters meet all others; of the rest only those whose list is used up. Looking anew at each loss takes 3 n^2 pairs."""
+    met, whole = [], W.Closest.meet
+
+    def meet(self, x, y, state):
+        met.append(len(x[0]) * len(y[0]))
+        return whole(self, x, y, state)
+
+    monkeypatch.setattr(W.Closest, "meet", meet)
+    x = np.random.default_rng(1).normal(size=(700, 64))
+    got = sorted(m[1:4] for m in W._finish(np.arange(700), np.ones(700, int), x.copy(), 1))
+    assert got == sorted(m[:3] for m in plain([(i, v) for i, v in enumerate(x)])) and sum(met) < 2.4 * 700**2
+
+
+@pytest.mark.parametrize("shape", ["plain", "offset", "tiny", "copies"])
+def test_products_of_short_floats_lose_no_neighbour(shape):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(900, 12)) * (1e-30 if shape == "tiny" else 1) + (1e6 if shape == "offset" else 0)
+    x[:300] = x[0] if shape == "copies" else x[:300]
+    n, ids, new = r.integers(1, 9, 900), np.arange(900) * 7, np.arange(900) % 2
+    want = n[:, None] * n / (n[:, None] + n) * ((x[:, None] - x[None]) ** 2).sum(axis=-1)
+    np.fill_diagonal(want, np.inf)
+    reach = np.where(np.arange(900) % 3, np.sort(want, axis=1)[:, 20], -1.0)
+    x[5, 3] = np.nan
+    want[5], want[:, 5] = np.inf, np.inf
+    fold, own, told = W.Closest(), (ids, np.column_stack([x, new]), n), set()
+    state = fold.start(own)
+    for at in range(0, 900, 300):
+        out = fold.meet(own, (ids[at : at + 300], np.column_stack([x, reach])[at : at + 300], n[at : at + 300]), state)
+        told |= set(zip((out[0] // 7).tolist(), (out[1] // 7).tolist())) if out else set()
+    best, nearest, far, _ = state
+    assert np.allclose(far, np.sort(want, axis=1)[:, : W.LIST], rtol=1e-9, atol=0) and np.isinf(best[5])
+    some = [i for i in range(0, 900, 29) if i != 5]
+    assert all(nearest[i] == min(ids[want[i] == want[i].min()].tolist(), key=lambda k: W._order(int(ids[i]), k)) for i in some)
+    i, j = np.nonzero((want <= reach[:, None]) & np.isfinite(want) & (new > 0))
+    assert told == set(zip(i.tolist(), j.tolist()))
