@@ -64,3 +64,19 @@ def test_no_words_are_kept():
     kept, _ = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert kept < 500_000
+
+
+def test_a_passage_does_not_touch_the_next():
+    """Words with huge numbers in one document leave all digits of the following ones; documents without words stand between them."""
+    model = quality.new_model()
+    model.weights["embed"][:8] *= 1e12
+    r = np.random.default_rng(2)
+    bag = lambda low, high, n: (r.normal(size=(len(n), quality.N_FEATURES)), r.integers(low, high, sum(n)).astype(np.int32), np.array(n))
+    bags = [quality.passages(""), bag(0, 8, [4, 0, 6]), quality.passages(None), bag(8, 4096, [160, 0, 7]), bag(8, 4096, [1]), quality.passages("")]
+    _, s = model.bags(*quality.joined(bags))
+    rows, want = s["z"][:, quality.N_FEATURES :], []
+    for _, buckets, sizes in bags:
+        for part in np.split(buckets, np.cumsum(sizes)[:-1]):
+            want.append([math.fsum(model.weights["embed"][part, i]) / max(len(part), 1) for i in range(quality.EMBED)])
+    assert rows.shape == (len(want), quality.EMBED) and np.allclose(rows, want, rtol=1e-10, atol=1e-15)
+    assert np.isfinite(model.scores(bags)).all() and model.scores(bags[:1]) == model.scores(bags[2:3])
