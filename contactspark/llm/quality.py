op8_quality: short texts are read together, up to 128 kB at once

Symptom: op8_quality still used 226 CPU seconds a GB over 0.51 GB, 188 of them in Python workers, nearly all in the scoring stage (98 of some 114 task seconds).
Evidence: some 50 small array steps ran for each text, of 500 words at most times; over 6,000 texts figures took 1.5 s one by one and 1.0 s for runs of texts of 128 kB, with the same bits.
Fix: figures, hashes and scores are made for a run of texts of at most 128 kB (a longer text alone), with the words' borders kept apart; before it was 256 texts whatever their sizes, so less is held now.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 606 -> 339 s, shuffle 0.01 -> 0.01 GB, spill 0.00 -> 0.00 GB, read 1.81 -> 1.81 GB, longest task 33 -> 12 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 3611 -> 1618 s, shuffle 0.03 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 18.15 -> 18.15 GB, longest task 79 -> 28 s, most memory of a task 68 -> 68 MB; with hot keys, at 0.6 GB of input CPU 346 -> 228 s, shuffle 0.01 -> 0.01 GB, spill 0.00 -> 0.00 GB, read 0.54 -> 0.54 GB, longest task 16 -> 6 s, most memory of a task 68 -> 68 MB.

@@ -10,9 +10,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from contactspark.llm.toxicity import labelled_sample, remainder
 MAX_LABELLED, MAX_FIT_BYTES = 6_000, 64 << 20
 PASSAGE_WORDS = 80
 BUCKETS, EMBED, CODE, GATE = 4096, 8, 16, 8
+AT_ONCE = 1 << 17  # bytes of texts that are scored at once; a longer one alone
 REPEAT = 6  # words in a run that counts as repeated within its document
 
 _KINDS = np.full(256, 11, np.uint8)
@@ -46,42 +49,69 @@ def _word_hashes(whole: str, n: int) -> np.ndarray:
 
 def passages(text: str | None) -> Bag:
     """The passages of PASSAGE_WORDS words; a text without words is one passage without any."""
-    words = (text or "").split()
+    return all_passages([text])[:3]
+
+
+def all_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``joined`` passages of several texts, made at once; nothing of a text counts for another one."""
+    lists = [(t or "").split() for t in texts]
+    lengths = np.array([len(w) for w in lists])
+    many = np.maximum(-(-lengths // PASSAGE_WORDS), 1)
+    starts, ends = np.cumsum(many) - many, np.cumsum(lengths)
+    nth = np.arange(many.sum()) - np.repeat(starts, many)
+    sizes = np.minimum(np.repeat(lengths, many) - nth * PASSAGE_WORDS, PASSAGE_WORDS)
+    out = np.zeros((len(sizes), N_FEATURES))
+    words = list(chain.from_iterable(lists))
     if not words:
-        return np.zeros((1, N_FEATURES)), np.zeros(0, np.int32), np.zeros(1, np.int64)
-    whole = " ".join(words)
-    at = np.arange(0, len(words), PASSAGE_WORDS)
-    n = np.diff(at, append=len(words))
+        return out, np.zeros(0, np.int32), sizes, starts
+    n = sizes[sizes > 0]
+    at = np.cumsum(n) - n
+    single = _word_hashes(whole := " ".join(words), len(words)) * _ODD
+    after = np.append(single[1:], 0).astype(np.uint64)
+    after[ends[lengths > 0] - 1] = 0
+    pair = (single ^ after >> np.uint64(7)) * _ODD
+    counts, size = _byte_kinds(whole, at)
+    doubled = np.flatnonzero(single[1:] == single[:-1])
+    doubled = [i for i in doubled[~np.isin(doubled + 1, at)].tolist() if words[i] == words[i + 1]]
+    out[sizes > 0] = np.column_stack([
+        counts / np.maximum(size, 1)[:, None],
+        [len(set(words[i:j])) for i, j in zip(at.tolist(), (at + n).tolist())] / n,
+        np.bincount(np.searchsorted(at, doubled, "right") - 1, minlength=len(at)) / n,
+        np.log(size / n),
+        n / PASSAGE_WORDS,
+        np.add.reduceat(_repeated(single, ends - lengths, ends), at) / n,
+    ])
+    buckets = np.empty(2 * len(words), np.int32)
+    buckets[::2], buckets[1::2] = single >> np.uint64(52), pair >> np.uint64(52)
+    return out, buckets, 2 * sizes, starts
+
+
+def _byte_kinds(whole: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes of each kind the passages have that begin at words ``at``, and how many in all. A space stands between each two
+    words; one between two passages is in none."""
     raw = np.frombuffer(whole.encode("utf-8", "replace"), np.uint8)
-    start = np.append(0, np.flatnonzero(raw == _SPACE)[at[1:] - 1] + 1)  # a space stands between each two words
-    size = np.diff(start, append=len(raw))
+    size = np.diff(np.concatenate([[0], np.flatnonzero(raw == _SPACE)[at[1:] - 1] + 1, [len(raw)]]))
     counts = np.bincount(np.repeat(np.arange(len(at)) * N_KINDS, size) + _KINDS[raw], minlength=len(at) * N_KINDS).reshape(-1, N_KINDS)
-    counts[:-1, _KINDS[_SPACE]] -= 1  # the space between two passages is in none
+    counts[:-1, _KINDS[_SPACE]] -= 1
     size[:-1] -= 1
-    single = _word_hashes(whole, len(words)) * _ODD
-    pair = (single ^ np.append(single[1:], 0).astype(np.uint64) >> np.uint64(7)) * _ODD
+    return counts, size
+
+
+def _repeated(single: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """1 for each word that begins a run of REPEAT words which its text has twice; a text's words lie from ``begins`` to ``ends``."""
     run = single.copy()
-    for i in range(1, min(REPEAT, len(words))):
+    for i in range(1, min(REPEAT, len(run))):
         head = run[:-i]
         head *= _ODD
         head += single[i:]
-    run = run[: max(0, len(words) - REPEAT + 1)]
-    ordered = np.sort(run)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    again = np.zeros(len(words))
-    if len(twice):
-        again[: len(run)] = np.isin(run, twice)
-    doubled = [i for i in np.flatnonzero(single[1:] == single[:-1]).tolist() if (i + 1) % PASSAGE_WORDS and words[i] == words[i + 1]]
-    out = np.empty((len(at), N_FEATURES))
-    out[:, :N_KINDS] = counts / np.maximum(size, 1)[:, None]
-    out[:, 12] = [len(set(words[i : i + PASSAGE_WORDS])) for i in at.tolist()] / n
-    out[:, 13] = np.bincount(np.array(doubled, np.int64) // PASSAGE_WORDS, minlength=len(at)) / n
-    out[:, 14] = np.log(size / n)
-    out[:, 15] = n / PASSAGE_WORDS
-    out[:, 16] = np.add.reduceat(again, at) / n
-    buckets = np.empty(2 * len(words), np.int32)
-    buckets[::2], buckets[1::2] = single >> np.uint64(52), pair >> np.uint64(52)
-    return out, buckets, 2 * n
+    again = np.zeros(len(run))
+    for a, b in zip(begins.tolist(), (ends - REPEAT + 1).tolist()):
+        if b > a + 1:
+            ordered = np.sort(run[a:b])
+            twice = ordered[1:][ordered[1:] == ordered[:-1]]
+            if len(twice):
+                again[a:b] = twice[np.searchsorted(twice, run[a:b]).clip(max=len(twice) - 1)] == run[a:b]
+    return again
 
 
 def joined(bags: list[Bag]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +143,10 @@ class Model:
         return code @ w["score"] + w["score_0"], {"z": z, "h": h, "tanh": tanh, "gate": gate, "p": p, "code": code, "size": size}
 
     def scores(self, bags: list[Bag]) -> np.ndarray:
-        logit, _ = self.bags(*joined(bags))
+        return self.joined_scores(*joined(bags))
+
+    def joined_scores(self, x: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        logit, _ = self.bags(x, buckets, sizes, starts)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
     def gradient(self, x: np.ndarray, buckets: np.ndarray, sizes: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -194,6 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     return train(bags, y.astype(float))
 
 
+def at_once(texts: pa.Array) -> int:
+    """How many of the first texts have AT_ONCE bytes in all, but one at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    return max(1, int(np.searchsorted(sizes, AT_ONCE, "right")))
+
+
 def score(docs: DataFrame, model: Model | None, modulus: int = 3, held_out: int = 1, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, passages) for every row, by its text alone.
 
@@ -205,11 +244,13 @@ def score(docs: DataFrame, model: Model | None, modulus: int = 3, held_out: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                bags = [passages(t) for t in some.column(1).to_pylist()]
-                s = np.full(len(bags), 0.5) if model is None else model.scores(bags)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(s, pa.float64()), pa.array([len(b[0]) for b in bags], pa.int32())], ["doc_id", "score", "passages"])
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, at_once(batch.column(1).slice(at)))
+                bags = all_passages(some.column(1).to_pylist())
+                s = np.full(some.num_rows, 0.5) if model is None else model.joined_scores(*bags)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(s, pa.float64()), pa.array(np.diff(bags[3], append=len(bags[0])), pa.int32())], ["doc_id", "score", "passages"])
+                at += some.num_rows
 
     scored = id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, passages int")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from contactspark.llm import quality
 
@@ -80,3 +81,27 @@ def test_a_passage_does_not_touch_the_next():
             want.append([math.fsum(model.weights["embed"][part, i]) / max(len(part), 1) for i in range(quality.EMBED)])
     assert rows.shape == (len(want), quality.EMBED) and np.allclose(rows, want, rtol=1e-10, atol=1e-15)
     assert np.isfinite(model.scores(bags)).all() and model.scores(bags[:1]) == model.scores(bags[2:3])
+
+
+def test_texts_at_once_as_one_by_one():
+    """The same numbers however many texts are read together; short ones go together, long ones alone."""
+    texts = odd_texts()
+    for many in (2, 9, len(texts)):
+        for i in range(0, len(texts), many):
+            some = texts[i : i + many]
+            for a, b in zip(quality.all_passages(some), quality.joined([quality.passages(t) for t in some])):
+                assert a.dtype == b.dtype and a.shape == b.shape and (a == b).all()
+    sizes = lambda *texts: quality.at_once(pa.array(texts, pa.string()))
+    long = "w " * quality.AT_ONCE
+    assert sizes(*["a b"] * 50, long) == 50 and sizes(long, "a") == 1 and sizes(None, "", long) == 2 and sizes(None) == 1
+
+
+def test_scores_do_not_hang_on_neighbours(spark):
+    """Long and short, empty and null texts in one batch get the scores that each has alone."""
+    texts = ["w%d " % i * quality.AT_ONCE for i in range(2)] + [t for t in odd_texts() if not t or "\ud800" not in t]
+    rows = [(i, t) for i, t in enumerate(texts[2:] + texts[:1] + texts[2:5] + texts[1:2])]
+    model = quality.new_model()
+    out = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    for i, t in rows:
+        bag = quality.passages(t)
+        assert out[i].passages == len(bag[0]) and abs(out[i].score - model.scores([bag])[0]) < 1e-12
